@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .site_lines import marked_lines
+from .lookalike import look_pairs
+from .near_dups import near_duplicates, row_pairs
+from .ranking import combined_ranking
+from .site_lines import confirmed_set, marked_lines, remove_lines, repeated_lines
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -18,7 +21,46 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return marked_lines(_t(spark, d, "clustered_data")).select(F.col("row_id").alias("row_idx"), "line_no")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    articles = _t(spark, d, "clustered_data")
+    _, confirmed = repeated_lines(articles)
+    lines = confirmed_set(confirmed)
+    if lines is None:
+        articles = remove_lines(articles, out_col="document")
+    pairs, members = near_duplicates(articles, "row_idx", "document", run=3, threshold=0.5, source_col="source_domain", lines=lines)
+    return row_pairs(pairs, members).select(F.col("a").alias("row_a"), F.col("b").alias("row_b"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = look_pairs(_t(spark, d, "clustered_data"), "row_idx", ["title", "document"])
+    return pairs.select("field_name", F.col("a").alias("row_a"), F.col("b").alias("row_b"))
+
+
+SCORES = ["burst_score", "suspicion_score", "domain_entropy", "peak_to_baseline_ratio"]
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    stats = _t(spark, d, "cluster_temporal_stats").select("cluster", *SCORES)
+    ranked = combined_ranking(stats, "cluster", SCORES, weights="equal")
+    return ranked.where(F.col("place") <= (2 * stats.count() + 99) // 100).select(F.col("id").alias("cluster"))
+
+
+def p5_pc1_ranking(spark: SparkSession, d: str) -> DataFrame:
+    stats = _t(spark, d, "cluster_temporal_stats").select("cluster", *SCORES)
+    return combined_ranking(stats, "cluster", SCORES, weights="pc1").withColumnRenamed("id", "cluster")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_pc1_ranking": p5_pc1_ranking,
+}
+_STANDING = ", ".join(f"(rank() OVER (ORDER BY CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END NULLS FIRST) - 1) / n AS s{k}" for k, c in enumerate(SCORES))
+ORACLE: dict[str, str] = {
+    "p5_found": f"""
+        WITH s AS (SELECT cluster, n, {_STANDING} FROM (SELECT *, count(*) OVER () AS n FROM cluster_temporal_stats)),
+             r AS (SELECT cluster, n, row_number() OVER (ORDER BY (0.0::DOUBLE + s0 + s1 + s2 + s3) / 4.0::DOUBLE DESC, cluster) AS place FROM s)
+        SELECT cluster FROM r WHERE place <= (2 * n + 99) // 100""",
 }
-ORACLE: dict[str, str] = {}
