@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +59,20 @@ def drop_materialized(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/newsgrain/" in f}:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_newsgrain_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="newsgrain-"), "newsgrain.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("newsgrain", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    context._newsgrain_shipped = True
