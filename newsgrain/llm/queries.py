@@ -7,16 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .lookalike import look_pairs
 from .near_dups import near_duplicates, row_pairs
+from .permutation_index import nearest, similar_pairs
 from .ranking import combined_ranking
 from .site_lines import confirmed_set, marked_lines, remove_lines, repeated_lines
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = similar_pairs(_t(spark, d, "article_vectors"), "topic_row_idx", "vec", "topic_group")
+    return pairs.select(F.col("grp").alias("topic_group"), F.col("a").alias("idx_a"), F.col("b").alias("idx_b"))
+
+
+def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar articles of every article, however similar."""
+    return nearest(_t(spark, d, "article_vectors"), "topic_row_idx", "vec", "topic_group").withColumnsRenamed({"grp": "topic_group", "id": "topic_row_idx"})
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return marked_lines(_t(spark, d, "clustered_data")).select(F.col("row_id").alias("row_idx"), "line_no")
 
@@ -51,6 +64,8 @@ def p5_pc1_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_nearest": p1_nearest,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
@@ -59,6 +74,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 _STANDING = ", ".join(f"(rank() OVER (ORDER BY CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END NULLS FIRST) - 1) / n AS s{k}" for k, c in enumerate(SCORES))
 ORACLE: dict[str, str] = {
+    "p1_found": """
+        WITH v AS (SELECT topic_group AS t, topic_row_idx AS i, vec FROM article_vectors
+                   WHERE vec IS NOT NULL AND list_inner_product(vec, vec) > 0),
+             s AS (SELECT a.t, a.i, b.i AS j, round(list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]), 7) AS c
+                   FROM v a JOIN v b ON a.t = b.t AND a.i <> b.i),
+             r AS (SELECT *, row_number() OVER (PARTITION BY t, i ORDER BY c DESC, j) AS place FROM s)
+        SELECT DISTINCT t AS topic_group, least(i, j) AS idx_a, greatest(i, j) AS idx_b FROM r WHERE place <= 10 AND c >= 0.85""",
     "p5_found": f"""
         WITH s AS (SELECT cluster, n, {_STANDING} FROM (SELECT *, count(*) OVER () AS n FROM cluster_temporal_stats)),
              r AS (SELECT cluster, n, row_number() OVER (ORDER BY (0.0::DOUBLE + s0 + s1 + s2 + s3) / 4.0::DOUBLE DESC, cluster) AS place FROM s)
