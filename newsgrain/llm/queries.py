@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .encode import encode_corpus
+from .leaks import leaked_spans, leaks
 from .lookalike import look_pairs
 from .near_dups import near_duplicates, row_pairs
 from .permutation_index import nearest, similar_pairs
@@ -63,6 +65,19 @@ def p5_pc1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return combined_ranking(stats, "cluster", SCORES, weights="pc1").withColumnRenamed("id", "cluster")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(_t(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items")).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The spans of words to take out of each document."""
+    return leaked_spans(_t(spark, d, "documents"), _t(spark, d, "eval_items")).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_nearest": p1_nearest,
@@ -71,12 +86,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_pc1_ranking": p5_pc1_ranking,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
 }
 _STANDING = ", ".join(f"(rank() OVER (ORDER BY CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END NULLS FIRST) - 1) / n AS s{k}" for k, c in enumerate(SCORES))
 ORACLE: dict[str, str] = {
     "p1_found": """
         WITH v AS (SELECT topic_group AS t, topic_row_idx AS i, vec FROM article_vectors
-                   WHERE vec IS NOT NULL AND list_inner_product(vec, vec) > 0),
+                   WHERE vec IS NOT NULL AND len(list_filter(vec, lambda x: x IS NULL)) = 0
+                     AND list_sum(list_transform(vec, lambda x: abs(x))) > 0),
              s AS (SELECT a.t, a.i, b.i AS j, round(list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]), 7) AS c
                    FROM v a JOIN v b ON a.t = b.t AND a.i <> b.i),
              r AS (SELECT *, row_number() OVER (PARTITION BY t, i ORDER BY c DESC, j) AS place FROM s)
