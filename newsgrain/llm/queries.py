@@ -13,6 +13,7 @@ from .leaks import leaked_spans, leaks
 from .lookalike import look_pairs
 from .near_dups import near_duplicates, row_pairs
 from .permutation_index import nearest, similar_pairs
+from .personal import personal_data, redacted
 from .ranking import combined_ranking
 from .site_lines import confirmed_set, marked_lines, remove_lines, repeated_lines
 
@@ -78,6 +79,14 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leaked_spans(_t(spark, d, "documents"), _t(spark, d, "eval_items")).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data(_t(spark, d, "documents")).withColumnsRenamed({"id": "doc_id", "kind": "pii_kind", "found": "pii_text"})
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redacted(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "redacted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_nearest": p1_nearest,
@@ -89,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 _STANDING = ", ".join(f"(rank() OVER (ORDER BY CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END NULLS FIRST) - 1) / n AS s{k}" for k, c in enumerate(SCORES))
 ORACLE: dict[str, str] = {
