@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Characters handled at a time, so that the kernels' arrays stay in a core's cache.
 CHUNK_CHARS = 150_000
@@ -34,7 +35,14 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def broadcast_if_small(spark: SparkSession, df: DataFrame, limit: int) -> list | None:
-    """All rows of `df` if there are at most `limit`, else None (the caller then joins instead)."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def hash_sample(df: DataFrame, key: Column, columns: list[Column], size: int, rows: int | None = None) -> list:
+    """About `size` rows of `df` and never more, chosen by a hash of their key alone.
+
+    Every task keeps only rows whose hash falls below the share wanted, so what reaches the driver does not grow with
+    the number of tasks.
+    """
+    rows = df.count() if rows is None else rows
+    share = min(1.0, (size + 4 * size**0.5) / max(rows, 1))
+    h = F.xxhash64(key)
+    kept = df.where(F.pmod(h, F.lit(1 << 40)) <= F.lit(int(share * (1 << 40)))).select(h.alias("__h"), *columns)
+    return sorted(kept.collect(), key=lambda r: r["__h"])[:size]

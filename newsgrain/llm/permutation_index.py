@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .arrowio import column, int64
+from .arrowio import column, hash_sample, int64
 from .fold import mix
 
 MAX_PIVOTS = 4096
@@ -198,7 +198,7 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, group_col: str | None = No
     reps = base.select("grp", "id", "vec").join(copies, F.col("grp").eqNullSafe(F.col("g2")) & (F.col("id") == F.col("i2")), "left_anti")
     n = base.count()
     count = min(pivots or max(PREFIX, n // ROWS_A_PIVOT), MAX_PIVOTS)
-    drawn = reps.orderBy(F.xxhash64("grp", "id"), "id").limit(count).select("vec").collect()
+    drawn = hash_sample(reps, F.struct("grp", "id"), [F.col("vec")], count, n)
     none = spark.createDataFrame([], "grp string, id long, neighbour long, cos double, place int")
     if len(drawn) < 2:
         cross = spark.createDataFrame([], "grp string, a long, b long, cos double")
