@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .encode import encode_corpus
+from .grid_clusters import group_pairs, group_report, occurrence_groups
 from .leaks import leaked_spans, leaks
 from .lookalike import look_pairs
 from .near_dups import near_duplicates, row_pairs
@@ -66,6 +67,24 @@ def p5_pc1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return combined_ranking(stats, "cluster", SCORES, weights="pc1").withColumnRenamed("id", "cluster")
 
 
+def _occurrences(spark: SparkSession, d: str) -> DataFrame:
+    articles = _t(spark, d, "clustered_data")
+    _, confirmed = repeated_lines(articles)
+    lines = confirmed_set(confirmed)
+    if lines is None:
+        articles = remove_lines(articles, out_col="document")
+    return occurrence_groups(articles, "row_idx", "document", "source_domain", lines)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return group_pairs(_occurrences(spark, d)).select(F.col("a").alias("row_a"), F.col("b").alias("row_b"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    strengths = _t(spark, d, "clustered_data").select(F.col("row_idx").alias("id"), F.col("cluster_membership_strength").alias("strength"))
+    return group_report(_occurrences(spark, d), strengths)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(_t(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -95,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_pc1_ranking": p5_pc1_ranking,
+    "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
