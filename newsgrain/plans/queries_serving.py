@@ -67,8 +67,8 @@ def _(spark, d):
 
 @query("A8_mode_domain", """
     SELECT topic_group, cluster, source_domain AS top_domain FROM (
-        SELECT topic_group, cluster, source_domain, row_number() OVER (PARTITION BY topic_group, cluster ORDER BY count(*) DESC, source_domain) AS r
-        FROM clustered_data WHERE cluster <> -1 AND source_domain IS NOT NULL AND trim(source_domain) <> '' GROUP BY ALL) WHERE r = 1""")
+        SELECT topic_group, cluster, source_domain, row_number() OVER (PARTITION BY topic_group, cluster ORDER BY c DESC, source_domain) AS r
+        FROM (SELECT topic_group, cluster, source_domain, count(*) AS c FROM clustered_data WHERE cluster <> -1 AND trim(source_domain) <> '' GROUP BY ALL)) WHERE r = 1""")
 def _(spark, d):
     return serving.mode_by_count(cd(spark, d).where("cluster <> -1"), ["topic_group", "cluster"], "source_domain", "top_domain")
 
@@ -116,7 +116,7 @@ def _(spark, d):
 _CORR = ("domain_entropy", "peak_day_share", "active_day_ratio", "concentration")
 
 
-@query("A21_correlations", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM cluster_temporal_stats WHERE " + " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in _CORR) for i, a in enumerate(_CORR) for b in _CORR[i + 1 :]))
+@query("A21_correlations", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM cluster_temporal_stats WHERE " + " AND ".join(f"{c} IS NOT NULL AND isfinite({c})" for c in _CORR) for i, a in enumerate(_CORR) for b in _CORR[i + 1 :]))
 def _(spark, d):
     s = stats(spark, d)
     for c in _CORR:
@@ -128,7 +128,7 @@ def _(spark, d):
 
 
 @query("A23_W8_burst_on_off", """
-    WITH r AS (SELECT topic_group, suspicion_score AS s, row_number() OVER (PARTITION BY topic_group ORDER BY suspicion_score DESC NULLS LAST, cluster) AS r FROM cluster_temporal_stats WHERE suspicion_score IS NOT NULL AND NOT isnan(suspicion_score))
+    WITH r AS (SELECT topic_group, suspicion_score AS s, row_number() OVER (PARTITION BY topic_group ORDER BY suspicion_score DESC NULLS LAST, cluster) AS r FROM cluster_temporal_stats WHERE suspicion_score IS NOT NULL AND isfinite(suspicion_score))
     SELECT topic_group, round(avg(s), 6) AS mean_score, round(median(s), 6) AS median_score, round(avg(s) FILTER (r <= 5), 6) AS top5_mean FROM r GROUP BY 1""")
 def _(spark, d):
     s = stats(spark, d).where(F.col("suspicion_score").isNotNull() & ~F.isnan("suspicion_score"))
@@ -201,7 +201,7 @@ _NARR = "CASE " + " ".join("WHEN regexp_matches(n, '" + "|".join(w.split(", "))
 
 
 @query("X8_A32_J20_F15_narratives", f"""
-    WITH t AS (SELECT cluster, campaign_candidate_score AS s, representative_title AS title, {_NARR} AS kind FROM (SELECT *, {_NORMAL} AS n FROM cluster_temporal_stats) WHERE campaign_candidate_score > 0 AND NOT isnan(campaign_candidate_score)),
+    WITH t AS (SELECT cluster, campaign_candidate_score AS s, representative_title AS title, {_NARR} AS kind FROM (SELECT *, {_NORMAL} AS n FROM cluster_temporal_stats) WHERE campaign_candidate_score > 0 AND isfinite(campaign_candidate_score)),
          r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY s DESC, cluster) AS r FROM t)
     SELECT kind, count(*) AS n, round(sum(s), 6) AS total, max(s) AS best, max(CASE WHEN r = 1 THEN cluster END) AS example FROM r GROUP BY 1""")
 def _(spark, d):
@@ -294,7 +294,7 @@ def _(spark, d):
     return stats(spark, d).where("article_count is not null").select("cluster", F.format_string("#%d | %s | %d articles", "cluster", "topic_group", "article_count").alias("label"))
 
 
-@query("T10_severity", "SELECT cluster, CASE WHEN campaign_candidate_score >= 5 THEN 'HIGH' WHEN campaign_candidate_score >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM cluster_temporal_stats WHERE NOT isnan(campaign_candidate_score)")
+@query("T10_severity", "SELECT cluster, CASE WHEN campaign_candidate_score >= 5 THEN 'HIGH' WHEN campaign_candidate_score >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM cluster_temporal_stats WHERE isfinite(campaign_candidate_score)")
 def _(spark, d):
     s = F.col("campaign_candidate_score")
     return stats(spark, d).where(s.isNotNull() & ~F.isnan(s)).select("cluster", F.when(s >= 5, "HIGH").when(s >= 2, "MEDIUM").otherwise("LOW").alias("severity"))
@@ -381,7 +381,7 @@ def _(spark, d):
             CAST(floor((epoch_us(max(published_at)) - epoch_us(min(published_at))) / 86400000000) AS BIGINT) AS span_days, count(DISTINCT CAST(published_at AS DATE)) AS active_days,
             round(avg(CAST(cluster_membership_strength AS DOUBLE)), 6) AS mean_strength FROM clustered_data WHERE cluster <> -1 GROUP BY 1, 2),
         p AS (SELECT topic_group, cluster, max(n) AS peak_day_articles FROM (SELECT topic_group, cluster, CAST(published_at AS DATE) AS day, count(*) AS n FROM clustered_data WHERE cluster <> -1 AND published_at IS NOT NULL GROUP BY ALL) GROUP BY 1, 2),
-        s AS (SELECT topic_group, cluster, source_domain AS top_domain FROM (SELECT topic_group, cluster, source_domain, row_number() OVER (PARTITION BY topic_group, cluster ORDER BY count(*) DESC, source_domain) AS r FROM clustered_data WHERE cluster <> -1 AND trim(source_domain) <> '' GROUP BY ALL) WHERE r = 1),
+        s AS (SELECT topic_group, cluster, source_domain AS top_domain FROM (SELECT topic_group, cluster, source_domain, row_number() OVER (PARTITION BY topic_group, cluster ORDER BY c DESC, source_domain) AS r FROM (SELECT topic_group, cluster, source_domain, count(*) AS c FROM clustered_data WHERE cluster <> -1 AND trim(source_domain) <> '' GROUP BY ALL)) WHERE r = 1),
         t AS (SELECT topic_group, cluster, title AS representative_title, row_idx AS representative_row FROM (SELECT *, row_number() OVER (PARTITION BY topic_group, cluster ORDER BY cluster_membership_strength DESC NULLS LAST, cluster_outlier_score ASC NULLS LAST, row_idx) AS r FROM clustered_data WHERE cluster <> -1) WHERE r = 1)
     SELECT * FROM a LEFT JOIN p USING (topic_group, cluster) LEFT JOIN s USING (topic_group, cluster) LEFT JOIN t USING (topic_group, cluster)""")
 def _(spark, d):
@@ -448,7 +448,7 @@ def _any(terms):
 
 
 _ORGANIC = f"({_any(campaign.HARD_EVENT_TERMS)} OR (regexp_matches(n, 'covid|coronavirus|vaccin|carantin|pcr') AND {_any(ROUTINE_HEALTH_TERMS)}))"
-_Z = "coalesce(CASE WHEN isnan(CAST({0} AS DOUBLE)) THEN NULL ELSE CAST({0} AS DOUBLE) END, 0)"
+_Z = "coalesce(CASE WHEN isfinite(CAST({0} AS DOUBLE)) THEN CAST({0} AS DOUBLE) END, 0)"
 
 
 @query("B8_campaign", f"""
@@ -468,7 +468,7 @@ def _(spark, d):
 
 
 @query("X9_F13_timelines", f"""
-    WITH t AS (SELECT cluster FROM (SELECT cluster, campaign_candidate_score AS s, {_NORMAL} AS n FROM cluster_temporal_stats) WHERE NOT regexp_matches(n, 'covid|coronavirus|vaccin|anticovid|carantin|pcr|pandemie|imuniz') AND NOT isnan(s) ORDER BY s DESC, cluster LIMIT 3)
+    WITH t AS (SELECT cluster FROM (SELECT cluster, campaign_candidate_score AS s, {_NORMAL} AS n FROM cluster_temporal_stats) WHERE NOT regexp_matches(n, 'covid|coronavirus|vaccin|anticovid|carantin|pcr|pandemie|imuniz') AND isfinite(s) ORDER BY s DESC, cluster LIMIT 3)
     SELECT cluster, CAST(published_at AS DATE) AS day, count(*) AS articles FROM clustered_data WHERE published_at IS NOT NULL AND cluster IN (SELECT cluster FROM t) GROUP BY ALL""")
 def _(spark, d):
     s = F.col("campaign_candidate_score")
@@ -611,8 +611,8 @@ def _(spark, d):
 
 
 @query("F11_score_histograms", """
-    SELECT 'all' AS kind, CAST(floor(suspicion_score) AS BIGINT) AS bin, count(*) AS n FROM cluster_temporal_stats WHERE suspicion_score > 0 AND NOT isnan(suspicion_score) GROUP BY ALL
-    UNION ALL SELECT 'multi', CAST(floor(suspicion_score) AS BIGINT), count(*) FROM cluster_temporal_stats WHERE suspicion_score > 0 AND NOT isnan(suspicion_score) AND domain_count > 1 GROUP BY ALL""")
+    SELECT 'all' AS kind, CAST(floor(suspicion_score) AS BIGINT) AS bin, count(*) AS n FROM cluster_temporal_stats WHERE suspicion_score > 0 AND isfinite(suspicion_score) GROUP BY ALL
+    UNION ALL SELECT 'multi', CAST(floor(suspicion_score) AS BIGINT), count(*) FROM cluster_temporal_stats WHERE suspicion_score > 0 AND isfinite(suspicion_score) AND domain_count > 1 GROUP BY ALL""")
 def _(spark, d):
     s = F.col("suspicion_score")
     base = stats(spark, d).where((s > 0) & ~F.isnan(s)).withColumn("bin", F.floor(s))
