@@ -189,7 +189,7 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, group_col: str | None = No
     spark = df.sparkSession
     group = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
     base = df.select(group.alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where("id is not null and vec is not null")
-    base = materialize(base.mapInArrow(_normalised(dim), "grp string, id long, cls long, vec array<float>"), "vectors")
+    base = materialize(base.mapInArrow(_normalised(dim), "grp string, id long, cls long, vec array<float>").dropDuplicates(["grp", "id"]), "vectors")
     classes = base.groupBy("grp", "cls").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     shared = classes.where("n > 1").select(F.col("grp").alias("g2"), F.col("cls").alias("c2"), "rep")
     same_class = F.col("grp").eqNullSafe(F.col("g2")) & (F.col("cls") == F.col("c2"))

@@ -122,7 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
     "p9_redacted": p9_redacted,
 }
-_STANDING = ", ".join(f"(rank() OVER (ORDER BY CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END NULLS FIRST) - 1) / n AS s{k}" for k, c in enumerate(SCORES))
+_STANDING = ", ".join(f"(rank() OVER (ORDER BY CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END NULLS FIRST) - 1) / n AS s{k}" for k, c in enumerate(SCORES))
 ORACLE: dict[str, str] = {
     "p1_found": """
         WITH v AS (SELECT topic_group AS t, topic_row_idx AS i, vec FROM article_vectors

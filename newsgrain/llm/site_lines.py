@@ -11,8 +11,7 @@ frequent: no frequent line is lost. Where a stream's error alone reaches the thr
 Two lines are the same if their letters are the same, case and marks on letters aside. A line counts once a document.
 
 Defined cases: null and empty documents have no lines; rows without a source neither count nor are removed from;
-lines with fewer than `min_letters` letters are never removed; a repeated row counts as often as it occurs; an empty
-table gives an empty result; columns of any other name are ignored.
+lines with fewer than `min_letters` letters are never removed; rows that repeat an id count as one row; an empty table gives an empty result; columns of any other name are ignored.
 """
 
 from __future__ import annotations
