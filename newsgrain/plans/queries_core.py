@@ -167,12 +167,12 @@ def _(spark, d):
     return table(spark, d, "clustered_data").select("row_idx", text.fix_link(F.col("url")).alias("link"))
 
 
-@query("X14_fingerprint", "SELECT topic_group, sha256(string_agg(coalesce(title, ''), chr(0) ORDER BY topic_row_idx)) AS fingerprint FROM clustered_data WHERE topic_group IN ('necunoscut', 'diverse') GROUP BY topic_group")
+@query("X14_fingerprint", "SELECT topic_group, topic_row_idx // 1000 AS block, sha256(string_agg(coalesce(title, ''), chr(0) ORDER BY topic_row_idx)) AS fingerprint FROM clustered_data GROUP BY ALL")
 def _(spark, d):
-    """The fingerprint of a bounded set of texts (two small topics)."""
-    df = table(spark, d, "clustered_data").where(F.col("topic_group").isin("necunoscut", "diverse"))
+    """Fingerprints of blocks of a thousand texts."""
+    df = table(spark, d, "clustered_data")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("topic_row_idx", F.coalesce("title", F.lit("")).alias("t")))), lambda e: e["t"])
-    return df.groupBy("topic_group").agg(text.fingerprint(texts).alias("fingerprint"))
+    return df.groupBy("topic_group", F.floor(F.col("topic_row_idx") / 1000).alias("block")).agg(text.fingerprint(texts).alias("fingerprint"))
 
 
 # --- topics -----------------------------------------------------------------------------------------------------------
