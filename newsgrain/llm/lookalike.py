@@ -70,7 +70,7 @@ def one_form(df: DataFrame, columns: list[str], suffix: str = "_look") -> DataFr
             con.register("b", pa.Table.from_batches([batch]))
             yield from con.sql(f"SELECT {exprs} FROM b").to_arrow_table().to_batches()
 
-    schema = df.select("*", *[F.lit("").alias(f"{c}{suffix}") for c in columns]).schema
+    schema = df.select("*", *[F.lit(None).cast("string").alias(f"{c}{suffix}") for c in columns]).schema
     return df.mapInArrow(work, schema)
 
 

@@ -18,25 +18,13 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running_total
 from ..session import materialize
 
 
-def running_total(df: DataFrame, order: Sequence[Column], weight: str, out: str, group: str | None = None) -> DataFrame:
-    """`df` with the sum of `weight` over all rows before each row in the given order (of its group), computed by range partitions."""
-    keys = [F.col(group), *order] if group else list(order)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = materialize(df.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "running-total")
-    g = F.col(group) if group else F.lit(0)
-    sums = spread.groupBy(g.alias("__g"), "__part").agg(F.sum(weight).alias("__w"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("__w").over(Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__w")
-    own = F.coalesce(F.sum(weight).over(Window.partitionBy("__part", g).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = spread.withColumn("__own", own).withColumn("__g", g).join(F.broadcast(before), ["__g", "__part"])
-    return joined.withColumn(out, F.col("__own") + F.col("__before")).drop("__g", "__part", "__own", "__before")
-
-
 def standings(df: DataFrame, id_col: str, scores: Sequence[str]) -> DataFrame:
     """(id, one column `<score>_standing` per score): the share of rows with a lower value."""
     n = df.count()
@@ -51,13 +39,13 @@ def standings(df: DataFrame, id_col: str, scores: Sequence[str]) -> DataFrame:
 
 def loadings(df: DataFrame, columns: Sequence[str], directions: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(means, standard deviations, loadings of the first principal component of the correlation matrix, signs turned)."""
-    aggs = [F.avg(c) for c in columns] + [F.stddev_pop(c) for c in columns] + [F.corr(a, b) for a, b in combinations(columns, 2)]
+    aggs = [F.avg(c) for c in columns] + [F.stddev_pop(c) for c in columns] + [F.covar_pop(a, b) for a, b in combinations(columns, 2)]
     row = [0.0 if x is None or x != x else float(x) for x in df.agg(*aggs).first()]
     k = len(columns)
     mean, std, rest = np.array(row[:k]), np.array(row[k : 2 * k]), row[2 * k :]
     matrix = np.eye(k)
     for (i, j), r in zip(combinations(range(k), 2), rest):
-        matrix[i, j] = matrix[j, i] = r
+        matrix[i, j] = matrix[j, i] = r / (std[i] * std[j]) if std[i] > 0 and std[j] > 0 else 0.0
     matrix[std == 0] = matrix[:, std == 0] = 0
     vector = np.linalg.eigh(matrix)[1][:, -1]
     sign = np.sign(vector @ np.array(directions, dtype=float)) or 1.0
