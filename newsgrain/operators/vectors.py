@@ -17,31 +17,61 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """A vector of length 1; null for null or zero vectors."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    # the norm as an array beside the elements, so that it is computed once a row and not once an element
+    return F.when(norm(a) > 0, F.zip_with(a, F.array_repeat(norm(a), F.size(a)), lambda x, n: x.cast("double") / n))
 
 
-def vector_sums(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
-    """(keys, n, sums): element-wise sums of vectors, aggregated on both sides of the shuffle."""
-    at = df.select(*keys, F.posexplode(vec).alias("k", "x")).groupBy(*keys, "k").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
+def vector_sums(df: DataFrame, keys: list[str], vec: str, weight: str | None = None) -> DataFrame:
+    """(keys, n, sums): element-wise sums of vectors (times `weight`), aggregated on both sides of the shuffle."""
+    x = F.col("x").cast("double") * F.col(weight) if weight else F.col("x").cast("double")
+    at = df.select(*keys, *([weight] if weight else []), F.posexplode(vec).alias("k", "x")).groupBy(*keys, "k").agg(F.sum(x).alias("x"), F.count("*").alias("n"))
     return at.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("sums"))
 
 
+BLOCK = 1024
+
+
+def _blocks(df: DataFrame, prefix: str) -> DataFrame:
+    """(grp, <prefix>ids, <prefix>vecs): the rows of each group in blocks of about BLOCK rows."""
+    n = df.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    cut = df.join(n, "grp").groupBy("grp", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
+    return cut.agg(F.collect_list(F.struct("id", "vec")).alias("rows")).select("grp", F.col("rows.id").alias(f"{prefix}ids"), F.col("rows.vec").alias(f"{prefix}vecs"))
+
+
 def exact_knn(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, group_col: str, k: int = 10) -> DataFrame:
     """(group, id, neighbour, rank, score): the k nearest of each query row by inner product, itself left out.
 
-    A stated query set against all rows of its group; ties go to the smaller id.
+    A stated query set against all rows of its group, block by block: a pair of blocks is one matrix product, and only
+    its k best of each query go on. Vectors must not be null and of one length; ties go to the smaller id.
     """
-    q = queries.select(F.col(group_col).alias("grp"), F.col(id_col).alias("id"), F.col(vec_col).alias("qv"))
-    c = df.select(F.col(group_col).alias("grp"), F.col(id_col).alias("neighbour"), F.col(vec_col).alias("cv"))
-    scored = q.join(c, "grp").where("id <> neighbour").select("grp", "id", "neighbour", F.round(dot(F.col("qv"), F.col("cv")), 6).alias("score"))
+    pick = lambda x: x.select(F.col(group_col).alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    pairs = _blocks(pick(queries), "q").join(_blocks(pick(df), "c"), "grp")
+
+    def products(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda name: batch.column(batch.schema.get_field_index(name))[row].values  # noqa: B023, E731
+                qi, ci = get("qids").to_numpy(), get("cids").to_numpy()
+                q = get("qvecs").flatten().to_numpy(zero_copy_only=False).reshape(len(qi), -1)
+                c = get("cvecs").flatten().to_numpy(zero_copy_only=False).reshape(len(ci), -1)
+                s = np.where(qi[:, None] == ci[None, :], -np.inf, np.round(q @ c.T, 6))
+                m = min(k, len(ci))
+                kth = np.partition(s, len(ci) - m, axis=1)[:, len(ci) - m]
+                x, y = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+                grp = batch.column(0)[row].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([grp] * len(x), pa.string()), pa.array(qi[x]), pa.array(ci[y]), pa.array(s[x, y])], names=["grp", "id", "neighbour", "score"])
+
+    best = pairs.select(F.col("grp").cast("string").alias("grp"), "qids", "qvecs", "cids", "cvecs").mapInArrow(products, "grp string, id long, neighbour long, score double")
     rank = F.row_number().over(Window.partitionBy("grp", "id").orderBy(F.desc("score"), "neighbour"))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
 def intra_cluster_cosine(df: DataFrame, keys: list[str], vec_col: str) -> DataFrame:
     """Mean cosine over all pairs of a cluster without forming pairs: (|sum of unit vectors|^2 - n) / (n (n - 1))."""
-    sums = vector_sums(df.withColumn("__u", unit(F.col(vec_col))).where("__u is not null"), keys, "__u")
+    sums = vector_sums(df.withColumn("__n", norm(F.col(vec_col))).where("__n > 0").withColumn("__w", 1 / F.col("__n")), keys, vec_col, "__w")
     n = F.col("n")
     return sums.select(*keys, "n", F.when(n > 1, (dot(F.col("sums"), F.col("sums")) - n) / (n * (n - 1))).alias("mean_cosine"))
 
