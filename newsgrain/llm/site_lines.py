@@ -10,7 +10,7 @@ frequent: no frequent line is lost. Where a stream's error alone reaches the thr
 
 Two lines are the same if their letters are the same, case and marks on letters aside. A line counts once a document.
 
-Defined cases: null and empty documents have no lines; rows without a source neither count nor are removed from;
+Defined cases: null and empty documents have no lines; rows without a source (null or blank) neither count nor are removed from;
 lines with fewer than `min_letters` letters are never removed; rows that repeat an id count as one row; an empty table gives an empty result; columns of any other name are ignored.
 """
 
@@ -43,13 +43,13 @@ def reduce_counters(kept: np.ndarray, counts: np.ndarray, counters: int) -> tupl
 
 
 def _source_ids(sources: list[str | None]) -> np.ndarray:
-    """A 64-bit id per source name; 0 for none."""
+    """A 64-bit id per source name; 0 for none (null or blank)."""
     import xxhash
 
     seen = {None: 0}
     for s in sources:
         if s not in seen:
-            seen[s] = xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) or 1
+            seen[s] = (xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) or 1) if s.strip() else 0
     return np.array([seen[s] for s in sources], dtype=np.uint64)
 
 
