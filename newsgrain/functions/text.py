@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The stopword list of the reference, one word a line.
+STOPWORD_FILE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "stopwords-ro.txt")
 #: Fixed value: characters stripped from both ends of a token.
 TOKEN_EDGES = ".,;:!?\"'()…»«/\\"
 #: Substrings that mark routine health news, and the whole terms one of which must stand beside them.
@@ -68,8 +71,8 @@ def tokens(c: Column) -> Column:
 
 def remove_stopwords(c: Column, stopwords: list[str]) -> Column:
     """The tokens of a text that are not among the stopwords, joined by spaces. `stopwords` is a bounded list (hundreds)."""
-    words = F.array(*[F.lit(w) for w in sorted(set(stopwords))]) if stopwords else F.array().cast("array<string>")
-    return F.array_join(F.filter(tokens(c), lambda w: ~F.array_contains(words, w)), " ")
+    words = sorted(set(stopwords))
+    return F.array_join(F.filter(tokens(c), lambda w: ~w.isin(words)), " ")  # isin becomes a hash set
 
 
 def load_stopwords(path: str) -> list[str]:
@@ -80,6 +83,11 @@ def load_stopwords(path: str) -> list[str]:
     return sorted(words | bare)
 
 
+def document_nostop(c: Column, stopwords: list[str] | None = None) -> Column:
+    """A whole document, cleaned, without its stopwords: those of STOPWORD_FILE unless others are given."""
+    return remove_stopwords(clean_text(c), load_stopwords(STOPWORD_FILE) if stopwords is None else stopwords)
+
+
 def normalize_text(c: Column) -> Column:
     """Lower case, marks off, every run of other characters one space, trimmed: the form in which terms are looked up."""
     return F.trim(F.regexp_replace(F.lower(strip_diacritics(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", " "))

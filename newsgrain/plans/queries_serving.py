@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.text import ROUTINE_HEALTH_TERMS, normalize_text, shorten
 from ..operators import campaign, density, serving, text_model, vectors
 from ..operators.ranks import row_numbers
@@ -565,10 +566,21 @@ def _(spark, d):
     return text_model.tfidf(cd(spark, d), "row_idx", "title", ["topic_group"]).withColumn("weight", F.round("weight", 6))
 
 
+def nostop(spark, d):
+    return cd(spark, d).select("topic_group", "row_idx", "cluster", text.document_nostop(F.col("document")).alias("document_nostop"))
+
+
+@query("V14_tfidf_documents")
+def _(spark, d):
+    """TF-IDF of whole documents without stopwords; V14_tfidf is that of titles, to which its SQL is bound."""
+    return text_model.tfidf(nostop(spark, d), "row_idx", "document_nostop", ["topic_group"]).withColumn("weight", F.round("weight", 6))
+
+
 @query("V19_top_terms")
 def _(spark, d):
-    df = cd(spark, d)
-    w = text_model.tfidf(df, "row_idx", "title", ["topic_group"])
+    """Top terms of every cluster, from whole documents without stopwords."""
+    df = nostop(spark, d)
+    w = text_model.tfidf(df, "row_idx", "document_nostop", ["topic_group"])
     labels = df.where("cluster <> -1").select("topic_group", F.col("row_idx").alias("id"), F.col("cluster").alias("label"))
     return text_model.top_terms(w, labels, ["topic_group"])
 
