@@ -3,7 +3,10 @@
 Published algorithm (Campello, Moulavi, Sander 2013): core distances, mutual reachability, minimum spanning tree,
 hierarchy condensed by a least cluster size, clusters chosen by stability (`eom`) or as leaves (`leaf`). A topic is one
 group of vectors; its tree is built in Prim's order with memory linear in the rows, so one task holds one topic's
-vectors. Topics beyond `MAX_ROWS` must be divided first (by the coarse cells of an index, say); that is checked.
+vectors. A topic beyond `MAX_ROWS` is divided into blocks: core distances are merged from pairs of blocks, and the
+spanning tree is that of the union of the trees of all pairs of blocks, which holds every edge of the whole tree. The
+result is the same: distances are rounded, and equal ones are ordered by id. Only the edges of the tree and the
+hierarchy of one topic, both linear in its rows, then stand in one task.
 """
 
 from __future__ import annotations
@@ -13,39 +16,85 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import row_numbers
+
 MAX_ROWS = 50_000
 BLOCK = 512
+#: Distances are rounded, so that they are the same in whichever block they are computed.
+DECIMALS = 6
 
 
-def core_distances(x: np.ndarray, k: int) -> np.ndarray:
-    """Distance of every row to its k-th nearest row, itself counted."""
-    out = np.empty(len(x))
-    sq = (x * x).sum(axis=1)
-    k = min(k, len(x)) - 1
+def nearest_distances(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The k least distances, in no order, of every row of x to the rows of y."""
+    out = np.empty((len(x), k))
+    sq = (y * y).sum(axis=1)
     for a in range(0, len(x), BLOCK):
-        d = np.sqrt(np.maximum(sq[a : a + BLOCK, None] + sq[None] - 2 * x[a : a + BLOCK] @ x.T, 0))
-        out[a : a + BLOCK] = np.partition(d, k, axis=1)[:, k]
+        part = x[a : a + BLOCK]
+        d = np.maximum((part * part).sum(axis=1)[:, None] + sq[None] - 2 * part @ y.T, 0)
+        out[a : a + BLOCK] = np.round(np.sqrt(np.partition(d, k - 1, axis=1)[:, :k]), DECIMALS)
     return out
 
 
+def core_distances(x: np.ndarray, k: int) -> np.ndarray:
+    """Distance of every row to its k-th nearest row, itself counted."""
+    return nearest_distances(x, x, min(k, len(x))).max(axis=1)
+
+
 def spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Edges (i, j, distance) of the minimum spanning tree under mutual reachability, by Prim's algorithm."""
+    """Edges (i, j, distance), i < j, of the minimum spanning tree under mutual reachability, by Prim's algorithm.
+
+    Edges are ordered by (distance, i, j), in which the tree is the only one.
+    """
     n = len(x)
     sq = (x * x).sum(axis=1)
-    best, source = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
-    inside = np.zeros(n, dtype=bool)
+    rest = np.arange(1, n)  # rows outside the tree, with their best edge into it
+    best, source = np.full(len(rest), np.inf), np.zeros(len(rest), dtype=np.int64)
+    y, ysq, ycore = x[1:].copy(), sq[1:].copy(), core[1:].copy()
     edges = np.empty((max(n - 1, 0), 3))
-    at = 0
+    at, m = 0, n - 1
     for k in range(n - 1):
-        inside[at] = True
-        d = np.sqrt(np.maximum(sq + sq[at] - 2 * (x @ x[at]), 0))
-        d = np.maximum(np.maximum(d, core), core[at])
-        near = (d < best) & ~inside
-        best[near], source[near] = d[near], at
-        nxt = int(np.argmin(np.where(inside, np.inf, best)))
-        edges[k] = source[nxt], nxt, best[nxt]
-        at = nxt
-    return edges
+        d = np.round(np.sqrt(np.maximum(ysq[:m] + sq[at] - 2 * (y[:m] @ x[at]), 0)), DECIMALS)
+        d = np.maximum(np.maximum(d, ycore[:m]), core[at])
+        b, s, r = best[:m], source[:m], rest[:m]
+        near = d < b
+        tie = np.flatnonzero(d == b)
+        if len(tie):
+            lo, hi, old_lo, old_hi = np.minimum(at, r[tie]), np.maximum(at, r[tie]), np.minimum(s[tie], r[tie]), np.maximum(s[tie], r[tie])
+            near[tie] = (lo < old_lo) | ((lo == old_lo) & (hi < old_hi))
+        b[near], s[near] = d[near], at
+        least = np.flatnonzero(b == b.min())
+        lo, hi = np.minimum(s[least], r[least]), np.maximum(s[least], r[least])
+        p = int(least[np.lexsort((hi, lo))[0]])
+        i, j = sorted((int(source[p]), int(rest[p])))
+        edges[k] = i, j, best[p]
+        at, m = int(rest[p]), m - 1
+        for v in (rest, best, source, y, ysq, ycore):  # the last row takes the place of the one that joined
+            v[p] = v[m]
+    return edges[np.lexsort((edges[:, 1], edges[:, 0], edges[:, 2]))]
+
+
+def forest(edges: np.ndarray) -> np.ndarray:
+    """Of edges (i, j, distance) those of the minimum spanning forest, by Kruskal's algorithm in the order of spanning_tree."""
+    if not len(edges):
+        return edges
+    edges = edges[np.lexsort((edges[:, 1], edges[:, 0], edges[:, 2]))]
+    names, ends = np.unique(edges[:, :2].astype(np.int64), return_inverse=True)
+    ends = ends.reshape(-1, 2).tolist()
+    parent = list(range(len(names)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    keep = []
+    for e, (i, j) in enumerate(ends):
+        a, b = find(i), find(j)
+        if a != b:
+            parent[a] = b
+            keep.append(e)
+    return edges[keep]
 
 
 def condensed_labels(edges: np.ndarray, n: int, least: int, method: str = "eom", epsilon: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -142,21 +191,72 @@ def condensed_labels(edges: np.ndarray, n: int, least: int, method: str = "eom",
     return labels, strength
 
 
+def _matrix(vecs) -> np.ndarray:  # noqa: ANN001
+    return np.stack(vecs.to_numpy()).astype(np.float64)
+
+
+def _divided(rows: DataFrame, sizes: dict[str, int], least: int, samples: int, method: str, epsilon: float) -> DataFrame:
+    """density_clusters of groups of more than MAX_ROWS rows; sizes: their rows."""
+    from ..session import materialize
+
+    spark = rows.sparkSession
+    counts = spark.createDataFrame([(g, n, -(-2 * n // MAX_ROWS)) for g, n in sizes.items()], "grp string, n long, blocks long")
+    numbered = row_numbers(rows.join(F.broadcast(counts), "grp"), "grp", [F.col("id")], "pos")
+    numbered = materialize(numbered.select("grp", "id", "vec", "n", "blocks", "pos", F.floor(F.col("pos") * F.col("blocks") / F.col("n")).alias("block")), "density-rows")
+    parts = max(2, max(-(-2 * n // MAX_ROWS) for n in sizes.values()))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, c = pdf[pdf["asks"]], pdf[pdf["answers"]]
+        d = nearest_distances(_matrix(q["vec"]), _matrix(c["vec"]), min(samples, len(c)))
+        return pd.DataFrame({"grp": q["grp"], "pos": q["pos"], "d": list(d)})
+
+    sent = numbered.withColumn("o", F.explode(every)).withColumn("side", F.explode(F.array(F.lit("q"), F.lit("c"))))
+    own = F.col("side") == "q"
+    sent = sent.select("grp", "pos", "vec", F.when(own, F.col("block")).otherwise(F.col("o")).alias("qb"), F.when(own, F.col("o")).otherwise(F.col("block")).alias("cb"), own.alias("asks"), (~own).alias("answers"))
+    found = sent.repartition(parts * parts, "grp", "qb", "cb").groupBy("grp", "qb", "cb").applyInPandas(near, "grp string, pos long, d array<double>")
+    core = found.groupBy("grp", "pos").agg(F.element_at(F.sort_array(F.flatten(F.collect_list("d"))), samples).alias("core"))
+    cored = materialize(numbered.join(core, ["grp", "pos"]), "density-cores")
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        e = spanning_tree(_matrix(pdf["vec"]), pdf["core"].to_numpy())
+        pos = pdf["pos"].to_numpy()
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "bucket": int(pdf["lo"].iloc[0]), "i": pos[e[:, 0].astype(int)], "j": pos[e[:, 1].astype(int)], "d": e[:, 2]})
+
+    pairs = cored.withColumn("o", F.explode(every)).where("o <> block").select("grp", "pos", "vec", "core", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"))
+    edges_of = "grp string, bucket long, i long, j long, d double"
+    trees = pairs.repartition(parts * parts, "grp", "lo", "hi").groupBy("grp", "lo", "hi").applyInPandas(tree, edges_of)
+
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = forest(pdf[["i", "j", "d"]].to_numpy(np.float64))
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "bucket": 0, "i": e[:, 0].astype(np.int64), "j": e[:, 1].astype(np.int64), "d": e[:, 2]})
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = forest(pdf[["i", "j", "d"]].to_numpy(np.float64))
+        labels, strength = condensed_labels(e, len(e) + 1, least, method, epsilon)
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "pos": np.arange(len(labels)), "label": labels, "strength": strength})
+
+    thinned = trees.groupBy("grp", "bucket").applyInPandas(thin, edges_of)
+    labelled = thinned.groupBy("grp").applyInPandas(label, "grp string, pos long, label long, strength double")
+    return cored.select("grp", "pos", "id").join(labelled, ["grp", "pos"]).select("grp", "id", "label", "strength")
+
+
 def density_clusters(df: DataFrame, group_col: str, id_col: str, vec_col: str, min_cluster_size: int = 8, min_samples: int = 3, method: str = "eom", epsilon: float = 0.0) -> DataFrame:
     """(grp, id, label, strength) of every row with a vector; labels count from 0 within each group, -1 is noise."""
     rows = df.where(F.col(vec_col).isNotNull()).select(F.col(group_col).alias("grp"), F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    sizes = rows.groupBy("grp").count().where(F.col("count") > MAX_ROWS).limit(1).collect()
-    if sizes:
-        raise ValueError(f"group {sizes[0]['grp']} has more than {MAX_ROWS} rows: divide it before clustering")
+    large = {r["grp"]: r["count"] for r in rows.groupBy("grp").count().where(F.col("count") > MAX_ROWS).collect()}
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+        x = _matrix(pdf["vec"])
         core = core_distances(x, min_samples)
         labels, strength = condensed_labels(spanning_tree(x, core), len(x), min_cluster_size, method, epsilon)
         return pd.DataFrame({"grp": pdf["grp"], "id": pdf["id"], "label": labels, "strength": strength})
 
-    return rows.groupBy("grp").applyInPandas(fit, "grp string, id long, label long, strength double")
+    whole = rows.where(~F.col("grp").isin(list(large))) if large else rows
+    out = whole.groupBy("grp").applyInPandas(fit, "grp string, id long, label long, strength double")
+    return out.unionByName(_divided(rows.where(F.col("grp").isin(list(large))), large, min_cluster_size, min_samples, method, epsilon)) if large else out
 
 
 def global_labels(local: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..operators import campaign, curation, density, serving, temporal, text_model, vectors
 from ..sources.tables import table
+from .queries_serving import topic_vectors
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -151,12 +152,12 @@ def _(spark, d):
 
 @query("V6_density_sweep")
 def _(spark, d):
-    """Four density configurations over the vectors of `embeddings`: clusters and noise of each."""
-    e = table(spark, d, "embeddings").select(F.lit("all").alias("g"), F.col("vec_id").cast("long").alias("id"), "embedding")
+    """Four density configurations over every eligible topic: clusters and noise of each."""
+    v = topic_vectors(spark, d).where("eligible")
     out = None
     for size, samples, method in ((8, 3, "eom"), (10, 4, "eom"), (12, 6, "leaf"), (15, 8, "leaf")):
-        c = density.density_clusters(e, "g", "id", "embedding", size, samples, method).agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"), F.count_if(F.col("label") < 0).alias("noise"))
-        c = c.select(F.lit(size).alias("min_cluster_size"), F.lit(samples).alias("min_samples"), F.lit(method).alias("method"), "clusters", "noise")
+        c = density.density_clusters(v, "topic_group", "topic_row_idx", "vec", size, samples, method).groupBy(F.col("grp").alias("topic_group")).agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"), F.count_if(F.col("label") < 0).alias("noise"))
+        c = c.select("topic_group", F.lit(size).alias("min_cluster_size"), F.lit(samples).alias("min_samples"), F.lit(method).alias("method"), "clusters", "noise")
         out = c if out is None else out.unionByName(c)
     return out
 

@@ -595,11 +595,20 @@ def _(spark, d):
     return text_model.kmeans(av(spark, d), "vec", 10).select("topic_group", "topic_row_idx", F.col("label").cast("long").alias("label"))
 
 
+def topic_vectors(spark, d):
+    """Unit vectors of the articles, and whether their topic is large enough to be clustered."""
+    eligible = cd(spark, d).where("topic_is_eligible").select("topic_group", F.lit(True).alias("eligible")).distinct()
+    v = av(spark, d).join(eligible, "topic_group", "left")
+    return v.select("topic_group", "topic_row_idx", vectors.unit(F.col("vec")).alias("vec"), F.coalesce("eligible", F.lit(False)).alias("eligible"))
+
+
 @query("V5_density_clusters")
 def _(spark, d):
-    """Density clusters of the topic vectors of `embeddings` (one group a third of its labels)."""
-    e = table(spark, d, "embeddings").select(F.concat(F.lit("g"), (F.col("label") % 3).cast("string")).alias("grp0"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    return density.global_labels(density.density_clusters(e, "grp0", "vec_id", "embedding"))
+    """Density clusters of every eligible topic; the articles of other topics are noise."""
+    v = topic_vectors(spark, d)
+    found = density.global_labels(density.density_clusters(v.where("eligible"), "topic_group", "topic_row_idx", "vec"))
+    rest = v.where("not eligible").select(F.col("topic_group").alias("grp"), F.col("topic_row_idx").alias("id"), F.lit(-1).cast("long").alias("cluster"), F.lit(0.0).alias("strength"))
+    return found.unionByName(rest)
 
 
 @query("V12_graph_cohesion")

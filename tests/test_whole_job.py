@@ -4,9 +4,11 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from newsgrain.operators import density
 
 
 @pytest.fixture
@@ -53,3 +55,37 @@ def test_tfidf_of_whole_documents(run):
 def test_top_terms_of_whole_documents(run):
     found = {r["term"] for r in run("V19_top_terms", clustered_data=(docs(), DOCS))}
     assert {"meci", "buget"} <= found and not found & {"pentru", "dupa"}
+
+
+VECTORS = "topic_group string, topic_row_idx long, vec array<float>"
+LABELS = "topic_group string, topic_row_idx long, cluster long, topic_is_eligible boolean"
+
+
+def blobs():
+    """Two eligible topics, of three and two blobs with noise and repeated rows, and a small one."""
+    rng = np.random.default_rng(7)
+    out = []
+    for topic, k in (("a", 3), ("b", 2)):
+        x = np.concatenate([rng.normal(np.eye(4)[c] * 5, 0.3, size=(30, 4)) for c in range(k)] + [rng.uniform(-5, 5, size=(8, 4))])
+        x[5] = x[4]
+        out += [(topic, i, v.tolist()) for i, v in enumerate(x)]
+    return out + [("small", i, [1.0, float(i), 0.0, 0.0]) for i in range(10)]
+
+
+def tables_of(vecs):
+    labels = [(t, i, -1 if t == "small" else i // 30 if i % 7 else -1, t != "small") for t, i, _ in vecs]
+    return {"article_vectors": (vecs, VECTORS), "clustered_data": (labels, LABELS)}
+
+
+def test_density_clusters_of_topics_divided(run, monkeypatch):
+    key = lambda rows: sorted((r["grp"], r["id"], r["cluster"], round(r["strength"], 9)) for r in rows)
+    whole = key(run("V5_density_clusters", **tables_of(blobs())))
+    monkeypatch.setattr(density, "MAX_ROWS", 40)
+    assert key(run("V5_density_clusters", **tables_of(blobs()))) == whole
+    assert len(whole) == len(blobs()) and len({c for g, _, c, _ in whole if g == "a" and c >= 0}) == 3
+    assert {c for g, _, c, _ in whole if g == "small"} == {-1}
+
+
+def test_density_sweep_of_topics(run):
+    got = run("V6_density_sweep", **tables_of(blobs()))
+    assert len(got) == 8 and {r["topic_group"] for r in got} == {"a", "b"}
