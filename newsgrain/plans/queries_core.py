@@ -65,10 +65,23 @@ def _(spark, d):
     WITH w AS (SELECT DISTINCT row_idx, unnest(string_split(trim(regexp_replace(lower(strip_accents(coalesce(short_document, ''))), '[^a-z]+', ' ', 'g')), ' ')) AS word FROM clustered_data),
          n AS (SELECT count(*) AS n FROM clustered_data)
     SELECT word, count(*) AS n_docs FROM w, n WHERE word <> '' GROUP BY word, n.n HAVING count(*) * 10 >= n.n""")
+def _(spark, d):
+    """The words of a tenth of all short documents or more; the rule over whole documents is S12_frequent_words_documents."""
+    return frequent_words(table(spark, d, "clustered_data"), "short_document")
+
+
+@query("S12_frequent_words_documents", """
+    WITH w AS (SELECT DISTINCT row_idx, unnest(string_split(trim(regexp_replace(lower(strip_accents(coalesce(document, ''))), '[^a-z]+', ' ', 'g')), ' ')) AS word FROM clustered_data),
+         n AS (SELECT count(*) AS n FROM clustered_data)
+    SELECT word, count(*) AS n_docs FROM w, n WHERE word <> '' GROUP BY word, n.n HAVING count(*) * 10 >= n.n""")
 def _(spark, d):
     """A stopword list by rule: the words of a tenth of all documents or more."""
-    df = table(spark, d, "clustered_data")
-    plain = F.trim(F.regexp_replace(F.lower(text.strip_diacritics(F.coalesce("short_document", F.lit("")))), "[^a-z]+", " "))
+    return frequent_words(table(spark, d, "clustered_data"), "document")
+
+
+def frequent_words(df: DataFrame, column: str) -> DataFrame:
+    """(word, n_docs): the words that stand in a tenth of all rows or more."""
+    plain = F.trim(F.regexp_replace(F.lower(text.strip_diacritics(F.coalesce(column, F.lit("")))), "[^a-z]+", " "))
     words = df.select(F.explode(F.array_distinct(F.split(plain, " "))).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n_docs"))
     return words.where(F.col("n_docs") * 10 >= df.count())
 

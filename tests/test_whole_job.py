@@ -89,3 +89,8 @@ def test_density_clusters_of_topics_divided(run, monkeypatch):
 def test_density_sweep_of_topics(run):
     got = run("V6_density_sweep", **tables_of(blobs()))
     assert len(got) == 8 and {r["topic_group"] for r in got} == {"a", "b"}
+
+
+def test_frequent_words_of_whole_documents(run):
+    words = {r["word"]: r["n_docs"] for r in run("S12_frequent_words_documents", clustered_data=(docs(), DOCS))}
+    assert words["meci"] == 3 and words["buget"] == 3 and words["titlu"] == 5
