@@ -613,9 +613,10 @@ def _(spark, d):
 
 @query("V12_graph_cohesion")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select(F.lit("all").alias("g"), F.col("vec_id").cast("long").alias("id"), "embedding", F.col("label").cast("long").alias("label"))
-    edges = vectors.exact_knn(e, e.where("id % 20 = 0"), "id", "embedding", "g")  # a stated query set against all rows
-    return vectors.graph_cohesion(edges.select("grp", "id", "neighbour"), e.select(F.col("g").alias("grp"), "id", "label"))
+    """Cohesion over every labelled article: each with its ten nearest by cosine in its topic."""
+    v = labelled(spark, d).select("topic_group", "topic_row_idx", "cluster", vectors.unit(F.col("vec")).alias("vec"))
+    edges = vectors.exact_knn(v, v, "topic_row_idx", "vec", "topic_group")
+    return vectors.graph_cohesion(edges.select("grp", "id", "neighbour"), v.select(F.col("topic_group").alias("grp"), F.col("topic_row_idx").alias("id"), F.col("cluster").alias("label")))
 
 
 # --- figure inputs not covered above ----------------------------------------------------------------------------------

@@ -94,3 +94,20 @@ def test_density_sweep_of_topics(run):
 def test_frequent_words_of_whole_documents(run):
     words = {r["word"]: r["n_docs"] for r in run("S12_frequent_words_documents", clustered_data=(docs(), DOCS))}
     assert words["meci"] == 3 and words["buget"] == 3 and words["titlu"] == 5
+
+
+def test_graph_cohesion_counts_every_point(run):
+    vecs = blobs()
+    labels = {(t, i): k for t, i, k, _ in tables_of(vecs)["clustered_data"][0]}
+    shares = {}
+    for t in {t for t, _, _ in vecs}:
+        ids = [i for u, i, _ in vecs if u == t]
+        x = np.array([v for u, _, v in vecs if u == t], dtype=np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        s = np.round(x @ x.T, 6)
+        for a, i in enumerate(ids):
+            near = sorted((b for b in range(len(ids)) if b != a), key=lambda b: (-s[a, b], ids[b]))[:10]
+            shares[t, i] = np.mean([labels[t, ids[b]] == labels[t, i] for b in near])
+    real = [v for k, v in shares.items() if labels[k] != -1]
+    (r,) = run("V12_graph_cohesion", **tables_of(vecs))
+    assert abs(r["cohesion"] - np.mean(list(shares.values()))) < 1e-9 and abs(r["cohesion_real"] - np.mean(real)) < 1e-9
