@@ -73,3 +73,67 @@ def effective_k(requested: int, size: int, cap: int | None = None) -> int:
     """Clusters to ask for: at least 2, below the number of rows, and no more than the cap."""
     k = max(2, min(requested, size - 1))
     return min(k, cap) if cap else k
+
+
+#: Rows from which a topic is fitted by Spark's own k-means and not in one task, and with fewer initialisations.
+LARGE_TOPIC = 50_000
+SEEDS, SEEDS_LARGE, ITERATIONS = tuple(range(42, 52)), tuple(range(42, 47)), 300
+
+
+def lloyd(x, k: int, seed: int, max_iter: int = ITERATIONS):  # noqa: ANN001, ANN201
+    """(label of every row of x, cost) of k-means from one k-means++ start."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    sq = (x * x).sum(axis=1)
+    chosen = [int(rng.integers(len(x)))]
+    d = np.full(len(x), np.inf)
+    for _ in range(k - 1):
+        c = x[chosen[-1]]
+        d = np.minimum(d, np.maximum(sq + c @ c - 2 * (x @ c), 0))
+        d[chosen[-1]] = 0
+        total = d.sum()
+        chosen.append(int(rng.choice(len(x), p=d / total)) if total > 0 else int(rng.integers(len(x))))
+    centres, labels = x[chosen].copy(), None
+    for _ in range(max_iter):
+        parts = [(centres * centres).sum(axis=1)[None] - 2 * x[a : a + 4096] @ centres.T for a in range(0, len(x), 4096)]
+        new = np.concatenate([p.argmin(axis=1) for p in parts])
+        cost = float(np.maximum(sq + np.concatenate([p.min(axis=1) for p in parts]), 0).sum())
+        if labels is not None and (new == labels).all():
+            break
+        labels = new
+        order = np.argsort(labels, kind="stable")
+        used, first = np.unique(labels[order], return_index=True)
+        centres[used] = np.add.reduceat(x[order], first, axis=0) / np.diff(np.append(first, len(x)))[:, None]
+    return labels, cost
+
+
+def kmeans_by_topic(df: DataFrame, group_col: str, id_col: str, vec_col: str, requested: DataFrame, default_k: int = 10) -> DataFrame:
+    """(grp, id, label): k-means of every group apart, the one of least cost over the seeds.
+
+    requested: (grp, k), the clusters asked for, bounded by effective_k; groups it lacks ask for `default_k`. A group up
+    to LARGE_TOPIC rows is one task a seed, a larger one is fitted by Spark's own k-means.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from ..session import materialize
+
+    rows = df.where(F.col(vec_col).isNotNull()).select(F.col(group_col).alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    rows = rows.join(F.broadcast(requested.select("grp", F.col("k").cast("long").alias("k"))), "grp", "left").withColumn("k", F.coalesce("k", F.lit(default_k).cast("long")))
+    large = rows.groupBy("grp").agg(F.count("*").alias("n"), F.max("k").alias("k")).where(F.col("n") >= LARGE_TOPIC).collect()
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+        labels, cost = lloyd(x, min(effective_k(int(pdf["k"].iloc[0]), len(x)), len(x)), int(pdf["seed"].iloc[0]))
+        return pd.DataFrame({"grp": pdf["grp"], "id": pdf["id"], "label": labels, "seed": pdf["seed"], "cost": cost})
+
+    small = rows.where(~F.col("grp").isin([r["grp"] for r in large])).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
+    fits = materialize(small.repartition(len(SEEDS) * 12, "grp", "seed").groupBy("grp", "seed").applyInPandas(fit, "grp string, id long, label long, seed int, cost double"), "kmeans-fits")
+    best = fits.groupBy("grp").agg(F.min(F.struct("cost", "seed")).alias("b")).select("grp", F.col("b.seed").alias("seed"))
+    out = fits.join(F.broadcast(best), ["grp", "seed"]).select("grp", "id", "label")
+    for r in large:
+        one = kmeans(rows.where(F.col("grp") == r["grp"]), "vec", effective_k(r["k"], r["n"]), SEEDS_LARGE, ITERATIONS)
+        out = out.unionByName(one.select("grp", "id", F.col("label").cast("long").alias("label")))
+    return out

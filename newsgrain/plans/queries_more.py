@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import campaign, curation, density, serving, temporal, text_model, vectors
+from ..operators import campaign, curation, density, serving, temporal, vectors
 from ..sources.tables import table
-from .queries_serving import topic_vectors
+from .queries_serving import topic_kmeans, topic_vectors
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -191,9 +191,9 @@ def _(spark, d):
 
 @query("R20_ablation")
 def _(spark, d):
-    """K-means against the stored clusters on the article vectors: silhouette of each per topic."""
+    """K-means of each topic against the stored clusters on the article vectors: silhouette of each per topic."""
     v = table(spark, d, "article_vectors").where(F.col("vec").isNotNull() & (F.size(F.filter("vec", lambda x: x.isNull())) == 0)).where(vectors.norm(F.col("vec")) > 0)
-    km = text_model.kmeans(v, "vec", 10).withColumn("label", F.col("label").cast("long"))
+    km = v.join(topic_kmeans(spark, d).select(F.col("grp").alias("topic_group"), F.col("id").alias("topic_row_idx"), "label"), ["topic_group", "topic_row_idx"])
     stored = v.join(cd(spark, d).where("cluster <> -1").select("topic_group", "topic_row_idx", F.col("cluster").alias("label")), ["topic_group", "topic_row_idx"])
     score = lambda x, m: vectors.silhouette_cosine(x, "topic_group", "topic_row_idx", "label", "vec").groupBy("grp").agg(F.avg("silhouette").alias("silhouette")).withColumn("method", F.lit(m))
     return score(km, "kmeans").unionByName(score(stored, "stored"))

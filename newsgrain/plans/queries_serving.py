@@ -590,9 +590,17 @@ def _(spark, d):
     return text_model.reduce_dimensions(av(spark, d), "vec", 15).select("topic_group", "topic_row_idx", "reduced")
 
 
+def topic_kmeans(spark, d):
+    """(grp, id, label): k-means of each topic, with the number of clusters of its best sweep row, at least three."""
+    best = F.row_number().over(Window.partitionBy("topic_group").orderBy(F.desc_nulls_last("selection_score"), "min_cluster_size", "min_samples"))
+    k = table(spark, d, "sweep_results").withColumn("r", best).where("r = 1").select(F.col("topic_group").alias("grp"), F.greatest("num_clusters", F.lit(3)).alias("k"))
+    return text_model.kmeans_by_topic(topic_vectors(spark, d), "topic_group", "topic_row_idx", "vec", k)
+
+
 @query("V16_V17_kmeans")
 def _(spark, d):
-    return text_model.kmeans(av(spark, d), "vec", 10).select("topic_group", "topic_row_idx", F.col("label").cast("long").alias("label"))
+    """K-means of every topic apart; labels count from 0 within a topic."""
+    return topic_kmeans(spark, d).select(F.col("grp").alias("topic_group"), F.col("id").alias("topic_row_idx"), "label")
 
 
 def topic_vectors(spark, d):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from newsgrain.operators import density
+from newsgrain.operators import density, text_model
 
 
 @pytest.fixture
@@ -111,3 +111,20 @@ def test_graph_cohesion_counts_every_point(run):
     real = [v for k, v in shares.items() if labels[k] != -1]
     (r,) = run("V12_graph_cohesion", **tables_of(vecs))
     assert abs(r["cohesion"] - np.mean(list(shares.values()))) < 1e-9 and abs(r["cohesion_real"] - np.mean(real)) < 1e-9
+
+
+SWEEP = "topic_group string, num_clusters long, selection_score double, min_cluster_size long, min_samples long"
+
+
+@pytest.mark.parametrize("large", [50_000, 60])
+def test_kmeans_of_each_topic(run, monkeypatch, large):
+    """Topic a asks for 3 clusters in its best row and b for 2, which the least of three raises; the small one for 10, bounded by its rows."""
+    monkeypatch.setattr(text_model, "LARGE_TOPIC", large)
+    vecs = [v for v in blobs() if v[0] == "small" or v[1] < (90 if v[0] == "a" else 60)]
+    sweep = [("a", 3, 9.0, 8, 3), ("a", 50, 1.0, 10, 3), ("b", 2, 9.0, 8, 3)]
+    got = run("V16_V17_kmeans", sweep_results=(sweep, SWEEP), **tables_of(vecs))
+    by = {}
+    for r in got:
+        by.setdefault(r["topic_group"], {})[r["topic_row_idx"]] = r["label"]
+    assert len(got) == len(vecs) and {t: len(set(x.values())) for t, x in by.items()} == {"a": 3, "b": 3, "small": 9}
+    assert all(len({by["a"][i] for i in range(30 * c, 30 * c + 30)}) == 1 for c in range(3))
