@@ -29,12 +29,13 @@ def clean_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({c: text.clean_text(F.col(c) if c in df.columns else F.lit(None).cast("string")) for c in CLEANED})
 
 
-def build_documents(df: DataFrame) -> DataFrame:
-    """document and short_document (first 500 characters of the text) from title and text."""
+def build_documents(df: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
+    """document, short_document (first 500 characters of the text) and document_nostop from title and text; stopwords: see text.document_nostop."""
     title, body = F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))
     return df.withColumns({
         "document": text.clean_text(F.concat(title, F.lit(". "), body)),
         "short_document": text.clean_text(F.concat(title, F.lit(". "), F.substring(body, 1, 500))),
+        "document_nostop": text.document_nostop(F.concat(title, F.lit(". "), body), stopwords),
     })
 
 

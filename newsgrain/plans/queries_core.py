@@ -138,6 +138,18 @@ def _(spark, d):
     return table(spark, d, "clustered_data").select("row_idx", text.remove_stopwords(F.col("title"), STOPWORDS).alias("kept"))
 
 
+@query("X4_remove_stopwords_documents", """
+    WITH t AS (SELECT row_idx, i, strip_accents(trim(w, '.,;:!?"''()…»«/\\')) AS w FROM (
+        SELECT row_idx, unnest(string_split(p, ' ')) AS w, generate_subscripts(string_split(p, ' '), 1) AS i FROM (
+            SELECT row_idx, trim(regexp_replace({clean}, '[\\s\\v\\x{{85}}\\p{{Z}}–—-]+', ' ', 'g')) AS p FROM clustered_data)))
+    SELECT a.row_idx, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (length(w) > 2 AND NOT regexp_full_match(w, '[0-9]+')
+        AND w NOT IN ({words})), '') AS kept
+    FROM clustered_data a JOIN t ON a.row_idx = t.row_idx GROUP BY a.row_idx""".format(clean=clean("document"), words=", ".join(f"'{w}'" for w in text.load_stopwords(text.STOPWORD_FILE))))
+def _(spark, d):
+    """Whole documents, cleaned, without the words of the stopword list."""
+    return table(spark, d, "clustered_data").select("row_idx", text.document_nostop(F.col("document")).alias("kept"))
+
+
 DUCK_NORMAL = "trim(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '[^a-z0-9]+', ' ', 'g'))"
 
 
@@ -368,7 +380,7 @@ def _(spark, d):
     """Curation end to end over the raw articles."""
     raw = table(spark, d, "raw_articles").withColumn("row_idx", F.struct("row_idx", "crawled_at"))
     out = curation.curate(raw, AS_OF)
-    return out.select(F.col("row_idx.row_idx").alias("row_idx"), "title", "document", "short_document", F.col("timestamp").alias("day"), "timestamp_source", "timestamp_quality")
+    return out.select(F.col("row_idx.row_idx").alias("row_idx"), "title", "document", "short_document", "document_nostop", F.col("timestamp").alias("day"), "timestamp_source", "timestamp_quality")
 
 
 # --- temporal ---------------------------------------------------------------------------------------------------------

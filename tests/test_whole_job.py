@@ -128,3 +128,13 @@ def test_kmeans_of_each_topic(run, monkeypatch, large):
         by.setdefault(r["topic_group"], {})[r["topic_row_idx"]] = r["label"]
     assert len(got) == len(vecs) and {t: len(set(x.values())) for t, x in by.items()} == {"a": 3, "b": 3, "small": 9}
     assert all(len({by["a"][i] for i in range(30 * c, 30 * c + 30)}) == 1 for c in range(3))
+
+
+RAW = "row_idx long, crawled_at timestamp, title string, text string, summary string, keywords string, topics string, dialect string, url string, author string"
+
+
+def test_curated_corpus_has_documents_without_stopwords(run):
+    body = "Această casă este mare, " * 40 + "iar la final Guvernul votează 2021."
+    rows = [(1, None, "Două știri pentru oraș", body, None, None, None, None, None, None), (2, None, "", "x", None, None, None, None, None, None)]
+    got = {r["row_idx"]: r["document_nostop"] for r in run("curated_corpus", raw_articles=(rows, RAW))}
+    assert got == {1: "stiri oras " + "casa " * 40 + "final guvernul voteaza"}
