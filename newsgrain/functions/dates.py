@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 
 from .urls import unquote
 
-#: Fixed values.
+#: Month names in calendar order.
 MONTHS = ("ianuarie", "februarie", "martie", "aprilie", "mai", "iunie", "iulie", "august", "septembrie", "octombrie", "noiembrie", "decembrie")
+#: Fixed value: the first year that is believed.
 MIN_YEAR = 2015
+#: Characters of a text that are searched, that are its header, and that may hold a cue before a date.
 SCAN_CHARS, HEADER_CHARS, CUE_CHARS = 220, 120, 35
+#: Words before a date of publication.
 CUES = ("publicat", "publicata", "publicată", "actualizat", "actualizata", "actualizată", "updated", "data", "ora")
+#: Parameters of a link that hold a date.
 QUERY_KEYS = ("date", "datetime", "published", "pubdate", "publish_date", "publishdate", "timestamp", "time", "created", "updated", "article_date", "news_date")
+#: Dates in links.
 YMD = r"(?<!\d)(20\d{2})[/._-](0?[1-9]|1[0-2])[/._-](0?[1-9]|[12]\d|3[01])(?!\d)"
 DMY = r"(?<!\d)(0?[1-9]|[12]\d|3[01])[/._-](0?[1-9]|1[0-2])[/._-](20\d{2})(?!\d)"
 COMPACT = r"(?<!\d)(20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?!\d)"
+#: The year before which a date in a text is of low quality, and the days a date may lie ahead.
 LOW_CONFIDENCE_BEFORE = 2018
 FUTURE_DAYS = {"url": 2, "text": 0}
 

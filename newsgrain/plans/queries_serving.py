@@ -199,7 +199,7 @@ def _(spark, d):
     return t.agg(F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"))
 
 
-_NARR = "CASE " + " ".join("WHEN regexp_matches(n, '" + "|".join(w.split(", ")) + f"') THEN '{t}'" for t, w in campaign.NARRATIVES) + f" ELSE '{campaign.OTHER_NARRATIVE}' END"
+_NARR = "CASE " + " ".join("WHEN regexp_matches(n, '" + "|".join(w) + f"') THEN '{t}'" for t, w in campaign.NARRATIVES) + f" ELSE '{campaign.OTHER_NARRATIVE}' END"
 
 
 @query("X8_A32_J20_F15_narratives", f"""
