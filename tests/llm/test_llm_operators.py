@@ -192,6 +192,21 @@ def test_hot_files_are_split_without_loss(spark, monkeypatch):
     assert {tuple(r) for r in similar_pairs(df, "id", "v", "g", dim=16).collect()} == whole and whole
 
 
+def test_large_groups_are_divided_into_regions(spark, monkeypatch):
+    from newsgrain.llm import permutation_index
+
+    x = vector_rows(4)
+    df = spark.createDataFrame([("g", i, v.tolist()) for i, v in enumerate(x)], "g string, id long, v array<float>")
+    monkeypatch.setattr(permutation_index, "REGION_ROWS", 200)
+    monkeypatch.setattr(permutation_index, "CHUNK_ROWS", 50)
+    got = {}
+    for r in nearest(df, "id", "v", "g", k=5, least=0.8, dim=16).collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    want = brute_neighbours(x, 5, 0.8)
+    assert sum(len(set(got.get(i, [])) & set(want[i])) for i in want) >= 0.95 * sum(map(len, want.values()))
+    assert all(len(v) == len(set(v)) for v in got.values())
+
+
 def test_copies_and_ties_go_to_smaller_ids(spark):
     x = vector_rows(1, 60)
     rows = [("g", i, v.tolist()) for i, v in enumerate(x)] + [("g", 100 + i, (x[7] * (1 + i)).tolist()) for i in range(30)] + [("g", 100, x[7].tolist())]
