@@ -40,14 +40,27 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "newsgrain-shared")
 
 
+def _session_folder(spark: SparkSession) -> str:
+    """The folder of this session's tables, marked to be deleted when the driver ends."""
+    context = spark.sparkContext
+    if not hasattr(context, "_newsgrain_folder"):
+        folder = f"{shared_dir(spark)}/newsgrain/{context.applicationId}-{uuid.uuid4().hex}"
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        context._newsgrain_folder = folder
+    return context._newsgrain_folder
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of `df`: write it once as parquet into the shared folder and read it back.
 
     Unlike `localCheckpoint` the copy outlives the executors that made it, and unlike `checkpoint` it is columnar,
-    compressed and pruned by later readers.
+    compressed and pruned by later readers. The tables of a session stand in one folder, which goes when the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/newsgrain/{name}-{uuid.uuid4().hex}"
+    path = f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
