@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .arrowio import int64
+from .blocks import opened, pairs_within
 from .fold import LOOKALIKES
 
 #: Accented letters of other alphabets that are drawn like accented Latin ones.
@@ -93,15 +94,37 @@ def _keys(id_: str, columns: list[str]):
     return work
 
 
-def look_pairs(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """(field_name, a, b): pairs of rows whose values in a column look the same but are different strings."""
+CLASS = ["field", "h1", "h2"]
+
+
+def _classes(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """(field, h1, h2, value, id) of the rows whose look has several strings; one row an id and string."""
     plain = df.select(F.col(id_col).cast("long").alias("__id"), *[F.col(c).cast("string").alias(c) for c in columns]).where("__id is not null")
     keys = plain.mapInArrow(_keys("__id", columns), "id long, field int, h1 long, h2 long, value long")
     keys = materialize(keys, "look-keys")
-    mixed = keys.groupBy("field", "h1", "h2").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select("field", "h1", "h2")
-    few = materialize(keys.join(mixed, ["field", "h1", "h2"], "left_semi").distinct(), "look-groups")
-    a, b = few.alias("a"), few.alias("b")
-    same = (F.col("a.field") == F.col("b.field")) & (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2"))
-    pairs = a.join(b, same & (F.col("a.id") < F.col("b.id")) & (F.col("a.value") != F.col("b.value")))
-    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("a.field") + 1)
-    return pairs.select(name.alias("field_name"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    mixed = keys.groupBy(*CLASS).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select(*CLASS)
+    return materialize(keys.join(mixed, CLASS, "left_semi").distinct(), "look-groups")
+
+
+def _field_name(columns: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("field") + 1).alias("field_name")
+
+
+def look_pairs(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """(field_name, a, b): pairs of rows whose values in a column look the same but are different strings.
+
+    Rows of one string are collapsed first: pairs are made of the different strings of a look, and opened to rows at
+    the end, where strings that many rows carry are divided into blocks.
+    """
+    rows = _classes(df, id_col, columns)
+    pairs = opened(pairs_within(rows, CLASS, "value"), rows, CLASS, "value", "id").where("ra <> rb")
+    return pairs.select(_field_name(columns), F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+
+
+def look_classes(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """(field_name, id, class_id, members, links): rows of a look with several strings; links: rows of its other strings."""
+    rows = _classes(df, id_col, columns)
+    one = rows.groupBy(*CLASS).agg(F.min("id").alias("class_id"), F.count("*").alias("members"))
+    same = rows.groupBy(*CLASS, "value").agg(F.count("*").alias("same"))
+    out = rows.join(same, [*CLASS, "value"]).join(one, CLASS)
+    return out.select(_field_name(columns), "id", "class_id", "members", (F.col("members") - F.col("same")).alias("links"))

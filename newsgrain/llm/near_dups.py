@@ -6,10 +6,11 @@ and dropped when the differing sketch bits exceed the Hamming budget. A record s
 pair is found if one trie holds both; the pairs left over are then verified on the exact sets of word runs.
 
 Records with the same set of runs are one class; the join works on one record a class, and classes are opened again at
-the end, so a group of exact copies costs the join nothing.
+the end, so a group of exact copies costs the join nothing. Band keys that one record holds alone are dropped after an
+exact count, before any sketch is sent; keys that very many hold are divided into blocks.
 
-Defined cases: null and blank texts, and texts with fewer words than a run, are in no pair; a repeated row under one id
-is one record; an empty table gives an empty result; columns of any other name are ignored.
+Defined cases: null and blank texts, and texts with fewer words than a run, are in no pair; of rows that repeat an id the
+one with the least hash of its set counts; an empty table gives an empty result; columns of any other name are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import drop_materialized, materialize
 from .arrowio import chunks, column, int64
+from .blocks import pairs_within
 from .fold import mix, words
 from .trie_join import LEVEL_BITS, trie_self_join
 
 SKETCH_BITS = 128
-#: Ids up to this number travel as a broadcast (8 bytes each); beyond it Spark joins them by shuffle.
-BROADCAST_IDS = 500_000
 #: A band key held by more records than this is divided into blocks, and pairs of blocks are joined apart.
 HOT_KEY = 20_000
 
@@ -129,19 +129,12 @@ def _join(budget: int):
     return work
 
 
-def _split_hot(banded: DataFrame, n_rows: int) -> DataFrame:
-    """Divide records of hot keys into blocks; every pair of blocks gets a key of its own."""
-    if n_rows <= HOT_KEY:
-        return banded
-    tops = banded.agg(F.expr("approx_top_k(key, 1000, 65536)").alias("t")).select(F.explode("t").alias("t")).select("t.item", "t.count").where(F.col("count") > HOT_KEY).collect()
-    if not tops:
-        return banded
-    blocks = F.create_map(*[F.lit(x) for r in tops for x in (r["item"], 1 + r["count"] // HOT_KEY)])
-    g = F.coalesce(F.try_element_at(blocks, "key"), F.lit(1))
-    own = F.pmod(F.xxhash64("id"), g)
-    spread = banded.withColumn("g", g).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g").cast("long") - 1)))
+def _shared_keys(banded: DataFrame) -> DataFrame:
+    """Records of the keys that several hold; those of hot keys in blocks, and every pair of blocks under a key of its own."""
+    held = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (1 + F.floor(F.col("n") / HOT_KEY)).cast("long").alias("g"))
+    own = banded.join(held, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("g"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
     pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    return spread.select(F.when(F.col("g") > 1, pair).otherwise(F.col("key")).alias("key"), "id", "sk1", "sk2")
+    return own.select(F.when(F.col("g") > 1, pair).otherwise(F.col("key")).alias("key"), "id", "sk1", "sk2")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, run: int = 5, threshold: float = 0.8, source_col: str | None = None, lines=None) -> tuple[DataFrame, DataFrame]:
@@ -156,41 +149,37 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, run: int = 5, thr
         cols.append(F.col(source_col).cast("string").alias("source"))
     sketched = df.select(*cols).where("id is not null and text is not null").mapInArrow(_sketches("id", "text", "source", lines, run, rows, bands), SKETCH_SCHEMA)
     sketched = materialize(sketched, "near-dup-sketches")
-    least = sketched.groupBy("set1", "set2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    shared = least.where("n > 1")
-    members = sketched.select("set1", "set2", "id").join(shared, ["set1", "set2"]).select("rep", "id")
-    members = materialize(members.distinct(), "near-dup-members")
-    copies = members.where("rep <> id").select("id")
-    reps = _without_ids(sketched, copies)
-    n = sketched.count()
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * bands // 2_000_000)
-    banded = reps.select(F.explode("bands").alias("key"), "id", "sk1", "sk2")
-    pairs = _split_hot(banded, n).repartition(parts, "key").mapInArrow(_join(budget), "a long, b long").distinct()
+    sets = sketched.groupBy("id").agg(F.min(F.struct("set1", "set2")).alias("s")).select("id", "s.set1", "s.set2")
+    least = sets.groupBy("set1", "set2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    members = materialize(sets.join(least, ["set1", "set2"]).select("rep", "id"), "near-dup-members")
+    copies = materialize(members.where("rep <> id").select("id"), "near-dup-copies")
+    # how the small tables below travel is left to the planner, which knows the size of their files
+    banded = sketched.join(copies, "id", "left_anti").select(F.explode("bands").alias("key"), "id", "sk1", "sk2")
+    shared = materialize(_shared_keys(banded), "near-dup-keys")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), shared.count() // 2_000_000)
+    pairs = shared.repartition(parts, "key").mapInArrow(_join(budget), "a long, b long").distinct()
     pairs = materialize(pairs, "near-dup-candidates")
-    sets = _with_ids(sketched, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()).select("id", "runs").dropDuplicates(["id"])
-    sets = materialize(sets, "near-dup-runs")
-    left, right = sets.select(F.col("id").alias("a"), F.col("runs").alias("ra")), sets.select(F.col("id").alias("b"), F.col("runs").alias("rb"))
+    drop_materialized(shared)
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-dup-ids")
+    runs = sketched.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("set1", "set2", "runs")).alias("s")).select("id", "s.runs")
+    runs = materialize(runs, "near-dup-runs")
+    left, right = runs.select(F.col("id").alias("a"), F.col("runs").alias("ra")), runs.select(F.col("id").alias("b"), F.col("runs").alias("rb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("c", F.size(F.array_intersect("ra", "rb")))
     jaccard = F.col("c") / (F.size("ra") + F.size("rb") - F.col("c"))
     return both.withColumn("jaccard", jaccard).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard"), members
 
 
-def _small(ids: DataFrame) -> bool:
-    return len(ids.limit(BROADCAST_IDS + 1).toPandas()) <= BROADCAST_IDS
-
-
-def _with_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(ids) if _small(ids) else ids, "id", "left_semi")
-
-
-def _without_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(ids) if _small(ids) else ids, "id", "left_anti")
-
-
 def row_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs of ids: those between classes and those within one."""
     rep_a, rep_b = members.select(F.col("rep").alias("a"), F.col("id").alias("ia")), members.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
     across = pairs.join(rep_a, "a", "left").join(rep_b, "b", "left").select(F.coalesce("ia", "a").alias("x"), F.coalesce("ib", "b").alias("y"))
-    other = members.select(F.col("rep").alias("rep2"), F.col("id").alias("y"))
-    within = members.join(other, (F.col("rep") == F.col("rep2")) & (F.col("id") < F.col("y"))).select(F.col("id").alias("x"), "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return across.unionByName(pairs_within(members, ["rep"], "id").select("a", "b"))
+
+
+def classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, class_id, members, links): one row per record that is a copy or linked: its class, the records of that, and its number of linked classes."""
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    sizes = members.groupBy("rep").agg(F.count("*").alias("members"))
+    heads = links.join(sizes, "rep", "full").select("rep", F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("links", F.lit(0)).alias("links"))
+    return heads.join(members, "rep", "left").select(F.coalesce("id", "rep").alias("id"), F.col("rep").alias("class_id"), F.col("members").cast("long").alias("members"), F.col("links").cast("long").alias("links"))
