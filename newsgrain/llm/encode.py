@@ -1,8 +1,8 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer.
 
 Method: monoid tree reduction. A text is halved until the pieces are short; the pieces are encoded apart and neighbours
-are joined up the tree. An element of the monoid is the list of a text's pre-tokens (each of which has ids of its own).
-Joining re-encodes a window around the seam, which grows until what lies outside provably cannot change:
+are joined up the tree. An element of the monoid is the list of a text's pre-tokens with the ids of each. Joining
+re-encodes a window around the seam, which grows until what lies outside provably cannot change:
 
 * to the left, a pre-token stays as it is if it ends `LOOKAHEAD` or more characters before the seam, because the
   pattern never looks further ahead than that past the end of a match;
@@ -33,7 +33,8 @@ from .arrowio import column
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The most characters past the end of a match that decide about it (two, for a contraction that begins at the seam).
 LOOKAHEAD = 3
-LEAF_CHARS = 4096
+#: Characters of a piece that is not halved again.
+LEAF_CHARS = 256
 #: Pre-tokens up to this length are remembered, and at most so many of them.
 CACHED_CHARS, CACHE_SIZE = 24, 400_000
 
@@ -44,6 +45,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: The pre-tokens of a text, and the ids of each.
+Element = tuple[list[str], list[tuple[int, ...]]]
+
+
 class Encoder:
     def __init__(self, vocabulary: str, leaf_chars: int = LEAF_CHARS):
         import regex
@@ -64,49 +69,55 @@ class Encoder:
             self._known[word] = ids
         return ids
 
-    def join(self, left: list[str], right: list[str]) -> list[str]:
-        """The pre-tokens of the joined text from those of its two halves."""
-        if not left or not right:
-            return left + right
+    def element(self, words: list[str]) -> Element:
+        known, missing = self._known.get, self._encode_word
+        return words, [known(w) or missing(w) for w in words]
+
+    def join(self, left: Element, right: Element) -> Element:
+        """The element of the joined text from those of its two halves."""
+        words, ids = left
+        if not words or not right[0]:
+            return words + right[0], ids + right[1]
         tail = keep = 0
-        for word in reversed(left):
+        for word in reversed(words):
             if tail >= LOOKAHEAD:
                 break
             tail += len(word)
             keep += 1
-        seam = "".join(left[len(left) - keep :])
-        taken, grow = 0, 8
+        stays = len(words) - keep
+        seam = "".join(words[stays:])
+        taken, grow = 0, 4
         window = seam
+        starts, at = {len(seam): 0}, len(seam)
         while True:
-            more = right[taken : taken + grow]
+            more = right[0][taken : taken + grow]
             window += "".join(more)
-            taken += len(more)
-            starts, at = {}, len(seam)
-            for k, word in enumerate(right[:taken]):
-                starts[at] = k
+            for word in more:
+                taken += 1
                 at += len(word)
-            starts[at] = taken
-            whole = taken == len(right)
+                starts[at] = taken
+            whole = taken == len(right[0])
             fresh: list[str] = []
             for m in self._scan.finditer(window):
-                if not whole and m.end() + LOOKAHEAD > len(window):
+                end = m.end()
+                if not whole and end + LOOKAHEAD > len(window):
                     break
                 fresh.append(m.group())
-                if m.end() in starts:
-                    return left[: len(left) - keep] + fresh + right[starts[m.end()] :]
+                if end in starts:
+                    middle, rest = self.element(fresh), starts[end]
+                    return words[:stays] + middle[0] + right[0][rest:], ids[:stays] + middle[1] + right[1][rest:]
             grow *= 2
 
-    def words(self, text: str) -> list[str]:
+    def encoded(self, text: str) -> Element:
         if len(text) <= self.leaf_chars:
-            return self._scan.findall(text)
+            return self.element(self._scan.findall(text))
         half = len(text) // 2
-        return self.join(self.words(text[:half]), self.words(text[half:]))
+        return self.join(self.encoded(text[:half]), self.encoded(text[half:]))
 
     def ids(self, text: str | None) -> list[int]:
         if not text:
             return []
-        known, missing = self._known.get, self._encode_word
-        return list(chain.from_iterable([known(w) or missing(w) for w in self.words(text)]))
+        return list(chain.from_iterable(self.encoded(text)[1]))
 
     def decode(self, ids: list[int]) -> str:
         if len(ids) <= 1024:
