@@ -4,7 +4,8 @@ Method: an FM-index per training shard. All runs of `run` words of the test item
 wavelet-matrix ranks, the occurrences are located by sampled suffix positions, and overlapping hits of one item in one
 document are merged into removal spans.
 
-A shard's index holds the stretches of at least `run` words that occur somewhere in the test items; other words cannot
+All items travel with one scan of the corpus, up to `SCAN_WORDS` words of them, as word numbers; their runs are laid out
+block by block beside the index. A shard's index holds the stretches of at least `run` words that occur somewhere in the test items; other words cannot
 be part of a hit, so nothing is lost by leaving them out. Words are compared without case, marks on letters,
 punctuation, invisible characters and look-alikes.
 
@@ -27,36 +28,39 @@ from .fold import words
 
 #: Words of a shard's index; bounds the memory of one build.
 SHARD_WORDS = 1_500_000
-#: Items whose runs are broadcast at a time; more items are taken in blocks.
-ITEM_BLOCK = 20_000
+#: Items whose runs are laid out at a time, and words of items that travel with one scan of the corpus (12 bytes each at most).
+ITEM_BLOCK, SCAN_WORDS = 20_000, 16_000_000
 
 
-def _phrases(items: list[tuple[int, str]], run: int) -> dict[str, np.ndarray] | None:
-    """The items' vocabulary (sorted word hashes), distinct runs as rows of word numbers, and which item has which run where."""
-    texts = [t for _, t in items]
-    hashes, off = words(texts)
+def _known(items: list[tuple[int, str]], run: int) -> dict[str, np.ndarray] | None:
+    """The items of `run` words or more: their vocabulary (sorted word hashes), their words by number, and where each item begins."""
+    hashes, off = words([t for _, t in items])
     vocabulary = np.unique(hashes)
     code = (np.searchsorted(vocabulary, hashes) + 1).astype(np.int32)
-    rows, owner = [], []
-    for k, (item, _) in enumerate(items):
-        w = code[off[k] : off[k + 1]]
-        if len(w) >= run:
-            rows.append(np.lib.stride_tricks.sliding_window_view(w, run))
-            owner.append(np.full(len(w) - run + 1, item, dtype=np.int64))
-    if not rows:
+    long_ = [k for k in range(len(items)) if off[k + 1] - off[k] >= run]
+    if not long_:
         return None
-    distinct, inverse = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-    inverse, owner = inverse.ravel(), np.concatenate(owner)
-    order = np.lexsort((owner, inverse))
-    pairs = np.unique(np.stack((inverse[order], owner[order])), axis=1)
-    starts = np.searchsorted(pairs[0], np.arange(len(distinct) + 1))
-    return {"vocabulary": vocabulary, "runs": distinct, "owners": pairs[1], "starts": starts}
-
-
-def _search_shard(text: np.ndarray, doc: np.ndarray, word: np.ndarray, known: dict[str, np.ndarray]):
-    """(document, item, first word, number of words) of the merged spans in a shard."""
+    parts = [code[off[k] : off[k + 1]] for k in long_]
+    return {"vocabulary": vocabulary, "codes": np.concatenate(parts), "offsets": np.cumsum([0, *map(len, parts)]), "items": np.array([items[k][0] for k in long_], dtype=np.int64)}
+
+
+def _phrases(known: dict[str, np.ndarray], run: int) -> Iterator[dict[str, np.ndarray]]:
+    """Block by block of items: the distinct runs as rows of word numbers, and which items have which run."""
+    off = known["offsets"]
+    for lo in range(0, len(known["items"]), ITEM_BLOCK):
+        hi = min(lo + ITEM_BLOCK, len(known["items"]))
+        rows = [np.lib.stride_tricks.sliding_window_view(known["codes"][off[k] : off[k + 1]], run) for k in range(lo, hi)]
+        owner = np.repeat(known["items"][lo:hi], [len(r) for r in rows])
+        distinct, inverse = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        inverse = inverse.ravel()
+        order = np.lexsort((owner, inverse))
+        pairs = np.unique(np.stack((inverse[order], owner[order])), axis=1)
+        yield {"runs": distinct, "owners": pairs[1], "starts": np.searchsorted(pairs[0], np.arange(len(distinct) + 1))}
+
+
+def _search_shard(index: FMIndex, doc: np.ndarray, word: np.ndarray, known: dict[str, np.ndarray]):
+    """(document, item, first word, number of words) of the merged spans of one block of items in a shard."""
     runs, run = known["runs"], known["runs"].shape[1]
-    index = FMIndex(text, len(known["vocabulary"]) + 1)
     lo, hi = index.ranges(runs)
     n = hi - lo
     which = np.repeat(np.arange(len(runs)), n)
@@ -80,10 +84,14 @@ def _shards(known, run: int):
         k = known.value
         vocabulary = k["vocabulary"]
         text, doc, word, held = [], [], [], 0
+        blocks = list(_phrases(k, run)) if len(k["items"]) <= ITEM_BLOCK else None  # few enough to keep
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if text:
-                d, item, first, n = _search_shard(np.concatenate(text), np.concatenate(doc), np.concatenate(word), k)
+            if not text:
+                return
+            index, docs, places = FMIndex(np.concatenate(text), len(vocabulary) + 1), np.concatenate(doc), np.concatenate(word)
+            for block in blocks or _phrases(k, run):
+                d, item, first, n = _search_shard(index, docs, places, block)
                 if len(d):
                     yield pa.RecordBatch.from_arrays([int64(d), int64(item), int64(first), int64(n)], names=["doc", "item", "first_word", "n_words"])
 
@@ -134,11 +142,12 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
     plain = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_text).cast("string").alias("text")).where("doc is not null and text is not null")
     wanted = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
     schema = "doc long, item long, first_word long, n_words long"
-    blocks = -(-wanted.count() // ITEM_BLOCK)
+    size = wanted.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    scans = max(1, -(-(size["chars"] or 0) // (4 * SCAN_WORDS)))  # a word has some four characters or more
     out = None
-    for block in range(blocks):
-        own = wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).distinct().collect()
-        known = _phrases([(r["item"], r["text"]) for r in own], run)
+    for scan in range(scans if size["n"] else 0):
+        own = wanted.where(F.pmod(F.xxhash64("item"), F.lit(scans)) == scan).distinct().collect()
+        known = _known([(r["item"], r["text"]) for r in own], run)
         if known is None:
             continue
         part = plain.mapInArrow(_shards(spark.sparkContext.broadcast(known), run), schema)
