@@ -11,11 +11,11 @@ from ..session import ship
 from .encode import encode_corpus
 from .grid_clusters import group_pairs, group_report, occurrence_groups
 from .leaks import leaked_spans, leaks
-from .lookalike import look_pairs
-from .near_dups import near_duplicates, row_pairs
+from .lookalike import look_classes, look_pairs
+from .near_dups import classes, near_duplicates, row_pairs
 from .permutation_index import nearest, similar_pairs
 from .personal import personal_data, redacted
-from .ranking import combined_ranking
+from .ranking import combined_ranking, weighting_report
 from .site_lines import confirmed_set, marked_lines, remove_lines, repeated_lines
 
 
@@ -38,14 +38,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return marked_lines(_t(spark, d, "clustered_data")).select(F.col("row_id").alias("row_idx"), "line_no")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     articles = _t(spark, d, "clustered_data")
     _, confirmed = repeated_lines(articles)
     lines = confirmed_set(confirmed)
     if lines is None:
         articles = remove_lines(articles, out_col="document")
-    pairs, members = near_duplicates(articles, "row_idx", "document", run=3, threshold=0.5, source_col="source_domain", lines=lines)
-    return row_pairs(pairs, members).select(F.col("a").alias("row_a"), F.col("b").alias("row_b"))
+    return near_duplicates(articles, "row_idx", "document", run=3, threshold=0.5, source_col="source_domain", lines=lines)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return row_pairs(*_copies(spark, d)).select(F.col("a").alias("row_a"), F.col("b").alias("row_b"))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per article that is taken over: its class of equal texts, and how many other classes that is near to."""
+    return classes(*_copies(spark, d)).withColumnRenamed("id", "row_idx")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +61,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("field_name", F.col("a").alias("row_a"), F.col("b").alias("row_b"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per article and field whose look is stored in several ways: its class and its number of links."""
+    return look_classes(_t(spark, d, "clustered_data"), "row_idx", ["title", "document"]).withColumnRenamed("id", "row_idx")
+
+
 SCORES = ["burst_score", "suspicion_score", "domain_entropy", "peak_to_baseline_ratio"]
 
 
@@ -67,6 +80,11 @@ def p5_pc1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return combined_ranking(stats, "cluster", SCORES, weights="pc1").withColumnRenamed("id", "cluster")
 
 
+def p5_weightings(spark: SparkSession, d: str) -> DataFrame:
+    """The loadings of the component, and how its ranking and that of p5_found compare."""
+    return weighting_report(_t(spark, d, "cluster_temporal_stats").select("cluster", *SCORES), "cluster", SCORES)
+
+
 def _occurrences(spark: SparkSession, d: str) -> DataFrame:
     articles = _t(spark, d, "clustered_data")
     _, confirmed = repeated_lines(articles)
@@ -111,9 +129,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_nearest": p1_nearest,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p4_found": p4_found,
+    "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p5_pc1_ranking": p5_pc1_ranking,
+    "p5_weightings": p5_weightings,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p7_ids": p7_ids,

@@ -129,8 +129,8 @@ def test_joining_is_associative():
     for t in ("abc  def'll 12.5\n\n x", "'''s're  re"):
         for i in range(len(t)):
             for j in range(i, len(t)):
-                a, b, c = scan(t[:i]), scan(t[i:j]), scan(t[j:])
-                assert enc.join(enc.join(a, b), c) == enc.join(a, enc.join(b, c)) == scan(t)
+                a, b, c = (enc.element(scan(x)) for x in (t[:i], t[i:j], t[j:]))
+                assert enc.join(enc.join(a, b), c) == enc.join(a, enc.join(b, c)) == enc.element(scan(t))
 
 
 def found(text, model=None):
@@ -179,3 +179,39 @@ def test_names_learned_from_weak_labels():
 def test_repeated_letters_of_decomposed_text_count_as_one():
     s = "ș"
     assert fold.word_strings([unicodedata.normalize("NFD", s)])[0] == fold.word_strings([s])[0] == ["s"]
+
+
+def name_corpus():
+    """Names whose given names no list holds, with bodies and places beside them."""
+    rng = random.Random(5)
+    first, stems, ends = ["Belzuna", "Corvadin", "Telmira", "Ostavel", "Rinzela"], ["Pop", "Mor", "Ciul", "Bur", "Vran", "Lup", "Tal", "Dor"], ["escu", "eanu", "aru"]
+    docs = []
+    for _ in range(400):
+        n = f"{rng.choice(first)} {rng.choice(stems)}{rng.choice(ends)}"
+        docs.append(f"Luni, ministrul {n} a spus. În Belveaia, Compania Nordică {rng.choice(['Olveiș', 'Mureza', 'Tigara'])} a cerut bani. Uniunea Belveaia a fost la Belveaia. „Nu”, a zis {n}.")
+    return docs
+
+
+def test_given_names_are_learnt():
+    from newsgrain.llm.given_names import learnt_given_names
+
+    assert learnt_given_names(name_corpus(), frozenset()) == {"belzuna", "corvadin", "telmira", "ostavel", "rinzela"}
+    assert learnt_given_names([], frozenset({"ana"})) == {"ana"}
+
+
+def test_names_in_lower_case_beside_many_capitals():
+    model = personal.train_names(name_corpus())
+    t = "Banca Nationala si Curtea Suprema si Ministerul Justitiei si Agentia Fiscala au confirmat. martor telmira popescu, citat."
+    assert ("name", "telmira popescu") in found(t, model)
+
+
+def test_context_before_a_number_counts_whole():
+    good = "3501101655227"
+    assert found(f"cod de{' ' * 60}bare {good}") == set() and found(f"CNP {good}") == {("id_number", good)}
+    assert found("buletin" + "u" * 80 + "l xq191910") == {("id_number", "xq191910")}
+
+
+def test_similar_tokens_are_joined():
+    lex = personal.lexicon(frozenset({"elena"}))
+    batch = personal.Batch(["Elena Popescu a venit. Doamnei Popescului Elena i s-a spus."], lex)
+    assert len(batch.edges[2]) == 1 and len(batch.edges[1]) == 1

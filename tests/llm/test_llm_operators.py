@@ -9,11 +9,11 @@ from newsgrain.llm.encode import decode_corpus, encode_corpus
 from newsgrain.llm.fold import word_strings
 from newsgrain.llm.grid_clusters import group_pairs, group_report, occurrence_groups, spread_labels
 from newsgrain.llm.leaks import leaked_spans, leaks
-from newsgrain.llm.lookalike import look_pairs, one_form
-from newsgrain.llm.near_dups import near_duplicates, row_pairs
+from newsgrain.llm.lookalike import look_classes, look_pairs, one_form
+from newsgrain.llm.near_dups import classes, near_duplicates, row_pairs
 from newsgrain.llm.permutation_index import nearest, similar_pairs
 from newsgrain.llm.personal import personal_data, redacted, train_names
-from newsgrain.llm.ranking import combined_ranking
+from newsgrain.llm.ranking import combined_ranking, weighting_report
 from newsgrain.llm.site_lines import confirmed_set, marked_lines, remove_lines, repeated_lines
 
 WORDS = "alfa beta gama delta epsilon zeta eta teta iota capa lambda miu niu csi omicron pi ro sigma tau ipsilon".split()
@@ -128,6 +128,38 @@ def test_equal_strings_are_no_pair(spark):
     assert look_pairs(df.where("false"), "id", ["t"]).count() == 0
 
 
+def test_large_classes_are_divided_without_loss(spark, monkeypatch):
+    from newsgrain.llm import blocks
+
+    rng = random.Random(4)
+    forms = ["Știri – fină", "Știri ‑ fină", "Ştiri - fină"]
+    df = spark.createDataFrame([(i, forms[rng.randrange(3)] if i < 60 else f"alt {i % 4}", 1) for i in range(80)], "id long, t string, value int")
+    whole = sorted(map(tuple, look_pairs(df, "id", ["t"]).collect()))
+    rows = {r["id"]: r["t"] for r in df.collect()}
+    assert whole == sorted(("t", a, b) for a in range(60) for b in range(a + 1, 60) if rows[a] != rows[b])
+    groups = df.select((F.col("id") % 3).alias("grp"), "id")
+    pairs = sorted(map(tuple, group_pairs(groups).collect()))
+    assert pairs == sorted((a, b) for a in range(80) for b in range(a + 1, 80) if a % 3 == b % 3)
+    monkeypatch.setattr(blocks, "BLOCK", 5)
+    assert sorted(map(tuple, look_pairs(df, "id", ["t"]).collect())) == whole
+    assert sorted(map(tuple, group_pairs(groups).collect())) == pairs
+
+
+def test_classes_count_links(spark):
+    t = text(random.Random(0), 30)
+    df = spark.createDataFrame([(1, t), (2, t), (5, t + " plus"), (7, "cu totul altceva aici")], "id long, text string")
+    got = {tuple(r) for r in classes(*near_duplicates(df, "id", "text", 3, 0.5)).collect()}
+    assert got == {(1, 1, 2, 1), (2, 1, 2, 1), (5, 5, 1, 1)}
+    look = spark.createDataFrame([(1, "a\u0103"), (2, "aa\u0306"), (3, "a\u0103"), (4, "b")], "id long, t string")
+    assert {tuple(r) for r in look_classes(look, "id", ["t"]).collect()} == {("t", 1, 1, 3, 1), ("t", 2, 1, 3, 2), ("t", 3, 1, 3, 1)}
+
+
+def test_weightings_compared(spark):
+    df = spark.createDataFrame([(i, float(i), float(-i) if i % 7 else None, 1.0) for i in range(100)], "id long, x double, y double, one double")
+    rows = {r["score"]: r for r in weighting_report(df, "id", ["x", "y", "one"]).collect()}
+    assert sum(r["turned"] for r in rows.values()) == 1 and rows["one"]["loading"] == 0 and -1 <= rows["x"]["rank_correlation"] <= 1
+
+
 # --- ranking ----------------------------------------------------------------------------------------------------------
 
 
@@ -148,7 +180,7 @@ def test_ranking_equals_brute_force(spark):
     pc = {r["id"]: r["projection"] for r in combined_ranking(df, "id", ["x", "y", "one"], [1, 1, 1]).collect()}
     z = (stand - stand.mean(axis=0)) / stand.std(axis=0)
     v = np.linalg.eigh(np.corrcoef(stand.T))[1][:, -1]
-    assert np.allclose([pc[i] for i in range(n)], z @ (v * np.sign(v.sum())), atol=1e-9)
+    assert np.allclose([pc[i] for i in range(n)], z @ np.abs(v), atol=1e-9)
     assert combined_ranking(df.where("false"), "id", ["x", "y"]).count() == 0
 
 
