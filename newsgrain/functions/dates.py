@@ -24,6 +24,9 @@ QUERY_KEYS = ("date", "datetime", "published", "pubdate", "publish_date", "publi
 YMD = r"(?<!\d)(20\d{2})[/._-](0?[1-9]|1[0-2])[/._-](0?[1-9]|[12]\d|3[01])(?!\d)"
 DMY = r"(?<!\d)(0?[1-9]|[12]\d|3[01])[/._-](0?[1-9]|1[0-2])[/._-](20\d{2})(?!\d)"
 COMPACT = r"(?<!\d)(20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?!\d)"
+#: Dates in the head of a text.
+DAY_FIRST = r"\b(\d{1,2})[./](\d{1,2})[./](20\d{2})\b"
+YEAR_FIRST = r"\b(20\d{2})[-.](\d{2})[-.](\d{2})\b"
 #: The year before which a date in a text is of low quality, and the days a date may lie ahead.
 LOW_CONFIDENCE_BEFORE = 2018
 FUTURE_DAYS = {"url": 2, "text": 0}
@@ -57,7 +60,8 @@ def url_date(url: Column, as_of: str) -> Column:
     u = unquote(url)
     rest = F.regexp_replace(F.when(F.contains(u, F.lit("://")), u).otherwise(F.concat(F.lit("http://"), u)), r"^[^:]*://[^/?#]*", "")
     path, query, fragment = F.regexp_extract(rest, r"^([^?#]*)", 1), F.regexp_extract(rest, r"\?([^#]*)", 1), F.regexp_extract(rest, r"#(.*)$", 1)
-    return F.coalesce(candidate_date(path, as_of), candidate_date(fragment, as_of), query_date(query, as_of), candidate_date(u, as_of))
+    found = F.coalesce(candidate_date(path, as_of), candidate_date(fragment, as_of), query_date(query, as_of), candidate_date(u, as_of))
+    return F.when(u.rlike("20|%"), found)  # every date has a year of this century, written plainly or encoded once more
 
 
 def text_date(text: Column, as_of: str) -> Column:
@@ -66,20 +70,18 @@ def text_date(text: Column, as_of: str) -> Column:
     A match counts near the beginning or after a cue word; the first pattern whose match counts decides.
     """
     head = F.substring(text, 1, SCAN_CHARS)
-    month_rules = [(rf"(?iu)\b(\d{{1,2}})\s+{m}\s+(20\d{{2}})\b", 2, 0, 1, f"{k:02d}") for k, m in enumerate(MONTHS, 1)]
-    rules = [*month_rules, (r"\b(\d{1,2})[./](\d{1,2})[./](20\d{2})\b", 3, 2, 1, ""), (r"\b(20\d{2})[-.](\d{2})[-.](\d{2})\b", 1, 2, 3, "")]
-    names = ("pattern", "y", "m", "d", "month")
-    # the rules are an array, so that the expression is compiled once and not once a rule
-    table = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r)]) for r in rules])
-
-    def tried(r: Column) -> Column:
-        at = F.regexp_instr(head, r["pattern"]) - 1
+    low = F.lower(head)
+    rules = [(rf"(?iu)\b(\d{{1,2}})\s+{m}\s+(20\d{{2}})\b", low.contains(m), 2, F.lit(f"{k:02d}"), 1) for k, m in enumerate(MONTHS, 1)]
+    rules += [(DAY_FIRST, F.lit(True), 3, 2, 1), (YEAR_FIRST, F.lit(True), 1, 2, 3)]
+    # every pattern is a literal, so that each is compiled once, and is tried only where a year stands at all
+    found = F.when(~F.coalesce(head.rlike(r"20\d{2}"), F.lit(False)), F.lit(None).cast("date"))
+    for pattern, possible, y, m, d in rules:
+        group = lambda g: F.regexp_extract(head, pattern, g) if isinstance(g, int) else g  # noqa: B023, E731
+        at = F.regexp_instr(head, F.lit(pattern)) - 1
         before = F.lower(F.substr(head, F.greatest(at - CUE_CHARS, F.lit(0)) + 1, F.greatest(F.least(at, F.lit(CUE_CHARS)), F.lit(0))))
-        group = lambda g: F.call_function("regexp_extract", head, r["pattern"], r[g])
-        date = build_date(group("y"), F.when(r["m"] == 0, r["month"]).otherwise(group("m")), group("d"), as_of)
-        return F.struct(((at >= 0) & ((at <= HEADER_CHARS) | before.rlike("|".join(CUES)))).alias("counts"), date.alias("date"))
-
-    return F.get(F.filter(F.transform(table, tried), lambda t: t["counts"]), F.lit(0))["date"]
+        counts = possible & (at >= 0) & ((at <= HEADER_CHARS) | before.rlike("|".join(CUES)))
+        found = found.when(counts, build_date(group(y), group(m), group(d), as_of))
+    return found
 
 
 def timestamp_quality(date: Column, source: Column, as_of: str) -> Column:

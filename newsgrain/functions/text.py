@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The stopword list of the reference, one word a line.
-STOPWORD_FILE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "stopwords-ro.txt")
 #: Fixed value: characters stripped from both ends of a token.
 TOKEN_EDGES = ".,;:!?\"'()…»«/\\"
 #: Substrings that mark routine health news, and the whole terms one of which must stand beside them.
@@ -64,8 +61,9 @@ def deep_clean(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Tokens of a text: hyphens and dashes split, edges stripped, marks off, short and numeric ones out."""
-    parts = F.split(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s\-–—]+", " ")), " ")
-    bare = F.transform(parts, lambda w: strip_diacritics(F.btrim(w, F.lit(TOKEN_EDGES))))
+    # marks come off the whole text at once: an edge character never is a letter with marks
+    parts = F.split(F.trim(F.regexp_replace(strip_diacritics(F.coalesce(c, F.lit(""))), r"(?U)[\s\-–—]+", " ")), " ")
+    bare = F.transform(parts, lambda w: F.btrim(w, F.lit(TOKEN_EDGES)))
     return F.filter(bare, lambda w: (F.length(w) > 2) & ~w.rlike(r"^[0-9]+$"))
 
 
@@ -75,17 +73,9 @@ def remove_stopwords(c: Column, stopwords: list[str]) -> Column:
     return F.array_join(F.filter(tokens(c), lambda w: ~w.isin(words)), " ")  # isin becomes a hash set
 
 
-def load_stopwords(path: str) -> list[str]:
-    """A stopword file, one word a line, with the forms without marks added."""
-    with open(path, encoding="utf-8") as f:
-        words = {line.strip().lower() for line in f if line.strip()}
-    bare = {"".join(y for y in unicodedata.normalize("NFKD", w) if not unicodedata.combining(y)) for w in words}
-    return sorted(words | bare)
-
-
-def document_nostop(c: Column, stopwords: list[str] | None = None) -> Column:
-    """A whole document, cleaned, without its stopwords: those of STOPWORD_FILE unless others are given."""
-    return remove_stopwords(clean_text(c), load_stopwords(STOPWORD_FILE) if stopwords is None else stopwords)
+def document_nostop(c: Column, stopwords: list[str]) -> Column:
+    """A whole document, cleaned, without its stopwords."""
+    return remove_stopwords(clean_text(c), stopwords)
 
 
 def normalize_text(c: Column) -> Column:

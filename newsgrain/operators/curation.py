@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import dates, text
+from ..sources.tables import stopword_table
 
 CLEANED = ["title", "text", "summary", "keywords", "topics", "dialect", "author"]
 SOURCES = ["url", "text", "htmldate", "missing"]
 
 
-def ensure_columns(df: DataFrame, schema: StructType) -> DataFrame:
-    """The columns of `schema`, in its order, absent ones as typed nulls."""
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+#: The columns of the clean table in its order.
+CANONICAL_COLUMNS = ("title", "text", "summary", "keywords", "topics", "dialect", "url", "author", "document", "short_document", "document_nostop", "timestamp", "timestamp_source", "timestamp_quality")
+
+
+def canonical(df: DataFrame, names: Sequence[str] = CANONICAL_COLUMNS) -> DataFrame:
+    """The named columns in their order, absent ones as empty text."""
+    return df.select(*[F.col(n) if n in df.columns else F.lit("").alias(n) for n in names])
+
+
+def corpus_stopwords(df: DataFrame, column: str, share: float = 0.1) -> list[str]:
+    """The stopwords of a corpus: those of the file the setting `spark.newsgrain.stopwords` names, else the tokens that stand in `share` of all rows or more.
+
+    By the rule there are at most 1 / share times as many as a row has different tokens on average.
+    """
+    path = df.sparkSession.conf.get("spark.newsgrain.stopwords", "")
+    if path:
+        found = stopword_table(df.sparkSession, path)
+    else:
+        rows = df.count()
+        seen = df.select(F.explode(F.array_distinct(text.tokens(text.clean_text(F.col(column))))).alias("word"))
+        found = seen.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= F.lit(share) * rows)
+    return sorted(r["word"] for r in found.select("word").collect())
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -29,13 +50,13 @@ def clean_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({c: text.clean_text(F.col(c) if c in df.columns else F.lit(None).cast("string")) for c in CLEANED})
 
 
-def build_documents(df: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
-    """document, short_document (first 500 characters of the text) and document_nostop from title and text; stopwords: see text.document_nostop."""
+def build_documents(df: DataFrame, stopwords: Sequence[str] = ()) -> DataFrame:
+    """document, short_document (first 500 characters of the text) and document_nostop (document without `stopwords`) from title and text."""
     title, body = F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))
     return df.withColumns({
         "document": text.clean_text(F.concat(title, F.lit(". "), body)),
         "short_document": text.clean_text(F.concat(title, F.lit(". "), F.substring(body, 1, 500))),
-        "document_nostop": text.document_nostop(F.concat(title, F.lit(". "), body), stopwords),
+        "document_nostop": text.document_nostop(F.concat(title, F.lit(". "), body), list(stopwords)),
     })
 
 
@@ -56,15 +77,21 @@ def attach_dates(df: DataFrame, as_of: str, page_dates: DataFrame | None = None)
 
 
 def keep_first_documents(df: DataFrame, order: str = "row_idx") -> DataFrame:
-    """Rows with title and document, the first one of every document by `order`."""
+    """Rows with title and document, the first one of every document by `order`. Documents are told apart by a hash of 128 bits."""
     full = df.where((F.trim("title") != "") & (F.trim("document") != ""))
-    w = Window.partitionBy("document").orderBy(order)
+    w = Window.partitionBy(F.md5("document")).orderBy(order)
     return full.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def curate(raw: DataFrame, as_of: str) -> DataFrame:
-    """The whole of curation: cleaned, dated, with documents, one row a document."""
-    return keep_first_documents(build_documents(attach_dates(clean_columns(raw), as_of)))
+def curate(raw: DataFrame, as_of: str, stopwords: Sequence[str] | None = None, page_dates: DataFrame | None = None) -> DataFrame:
+    """The whole of curation: cleaned, dated, with documents, one row a document.
+
+    stopwords: those of the raw texts by rule unless given (see corpus_stopwords); page_dates: dates of stored pages by link.
+    """
+    if stopwords is None:
+        whole = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("text", F.lit("")))
+        stopwords = corpus_stopwords(raw.select(whole.alias("whole")), "whole")
+    return keep_first_documents(build_documents(attach_dates(clean_columns(raw), as_of, page_dates), stopwords))
 
 
 def domain_coverage(df: DataFrame) -> DataFrame:

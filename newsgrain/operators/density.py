@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import row_numbers
@@ -259,6 +259,75 @@ def density_clusters(df: DataFrame, group_col: str, id_col: str, vec_col: str, m
     return out.unionByName(_divided(rows.where(F.col("grp").isin(list(large))), large, min_cluster_size, min_samples, method, epsilon)) if large else out
 
 
+#: Configurations (least cluster size, samples, selection, epsilon) tried for every topic, and those of some topics in their stead.
+DEFAULT_CONFIGS = ((8, 3, "eom", 0.0), (10, 4, "eom", 0.0), (12, 6, "eom", 0.0), (15, 8, "eom", 0.0))
+TOPIC_CONFIGS = {
+    "politica": ((12, 4, "leaf", 0.0), (15, 6, "leaf", 0.0), (20, 8, "leaf", 0.02), (25, 10, "eom", 0.05)),
+    "social": ((10, 3, "eom", 0.0), (15, 6, "leaf", 0.0), (20, 8, "leaf", 0.02), (25, 10, "eom", 0.05)),
+    "international": ((10, 3, "eom", 0.0), (15, 6, "leaf", 0.0), (20, 8, "leaf", 0.02), (25, 10, "eom", 0.05)),
+    "economie": ((8, 3, "eom", 0.0), (12, 4, "leaf", 0.0), (15, 6, "leaf", 0.02), (20, 8, "eom", 0.05)),
+}
+
+
+def selection_score(noise_percent: Column, largest: Column, size: Column, silhouette: Column, clusters: Column) -> Column:
+    """How good a configuration is: little noise, no giant cluster, separated clusters, and several of them."""
+    small = size < 1000
+    s = (100 - noise_percent) - F.when(small, 120).otherwise(150) * largest / size + F.when(small, 30).otherwise(20) * F.coalesce(silhouette, F.lit(0.0)) + F.least(clusters, F.lit(100)) / 10
+    return s - F.when(clusters < 3, 100).otherwise(0)
+
+
+def sweep(df: DataFrame, group_col: str, id_col: str, vec_col: str) -> DataFrame:
+    """(topic_group, configuration, its measures, selection_score, best): every configuration of every topic; of equal scores the first is best.
+
+    Each pair of topic and configuration is a group of its own, so all of them run side by side. Measures are over all
+    rows, not a sample; noise is left out of the silhouette, the two dispersion measures and graph_cohesion_real.
+    """
+    from pyspark.sql import Window
+
+    from ..session import materialize
+    from . import vectors
+
+    spark = df.sparkSession
+    names = [r[group_col] for r in df.select(group_col).distinct().collect()]
+    configs = [(t, k, *c) for t in names for k, c in enumerate(TOPIC_CONFIGS.get(t, DEFAULT_CONFIGS))]
+    table = spark.createDataFrame(configs, "topic string, number int, min_cluster_size int, min_samples int, cluster_selection_method string, cluster_selection_epsilon double")
+    rows = df.where(F.col(vec_col).isNotNull()).select(F.col(group_col).alias("topic"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    parts = []
+    for c in sorted({c[2:] for c in configs}):  # a bounded number of configurations
+        own = [(t, k) for t, k, *rest in configs if tuple(rest) == c]
+        of = spark.createDataFrame([(t, f"{t}\u0001{k}") for t, k in own], "topic string, grp string")
+        parts.append(density_clusters(rows.join(F.broadcast(of), "topic"), "grp", "id", "vec", *c))  # at most one row a topic
+    found = parts[0] if parts else None
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    if found is None:
+        found = spark.createDataFrame([], "grp string, id long, label long, strength double")
+    found = materialize(found.select("grp", "id", "label"), "sweep-labels")
+    topic = F.substring_index("grp", "\u0001", 1).alias("topic")
+    labelled = materialize(found.withColumn("topic", topic).join(rows, ["topic", "id"]).select("grp", "topic", "id", "label", "vec"), "sweep-points")
+    real = labelled.where("label >= 0")
+    counts = found.groupBy("grp", "label").agg(F.count("*").alias("n")).groupBy("grp").agg(
+        F.sum("n").alias("topic_size"), F.count_if(F.col("label") >= 0).alias("num_clusters"), F.coalesce(F.sum(F.when(F.col("label") < 0, F.col("n"))), F.lit(0)).alias("num_noise"), F.coalesce(F.max(F.when(F.col("label") >= 0, F.col("n"))), F.lit(0)).alias("largest_real_cluster")
+    )
+    sil = vectors.silhouette_cosine(real, "grp", "id", "label", "vec").groupBy("grp").agg(F.avg("silhouette").alias("silhouette"))
+    db = vectors.davies_bouldin(real, "grp", "label", "vec")
+    ch = vectors.dispersion(real, "grp", "label", "vec").select("grp", "calinski_harabasz")
+    edges = vectors.exact_knn(rows, rows, "id", "vec", "topic").select(F.col("grp").alias("topic"), "id", "neighbour")
+    keyed = spark.createDataFrame([(t, f"{t}\u0001{k}") for t, k, *_ in configs], "topic string, grp string")
+    edges = materialize(edges, "sweep-edges").join(F.broadcast(keyed), "topic")  # four rows a topic
+    cohesion = vectors.graph_cohesion(edges, found, ["grp"]).withColumnsRenamed({"cohesion": "graph_cohesion", "cohesion_real": "graph_cohesion_real"})
+    out = counts.join(sil, "grp", "left").join(db, "grp", "left").join(ch, "grp", "left").join(cohesion, "grp", "left")
+    several = F.col("num_clusters") > 1
+    out = out.withColumns({"silhouette": F.when(several, F.col("silhouette")), "noise_percent": 100 * F.col("num_noise") / F.col("topic_size"), "topic": topic, "number": F.substring_index("grp", "\u0001", -1).cast("int")})
+    out = out.join(F.broadcast(table), ["topic", "number"])  # the configurations
+    out = out.withColumn("selection_score", selection_score(F.col("noise_percent"), F.col("largest_real_cluster"), F.col("topic_size"), F.col("silhouette"), F.col("num_clusters")))
+    place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("selection_score"), "number"))
+    return out.withColumn("best", place == 1).select(
+        F.col("topic").alias("topic_group"), "topic_size", "min_cluster_size", "min_samples", "cluster_selection_method", "cluster_selection_epsilon", "num_clusters", "num_noise", "noise_percent", "largest_real_cluster",
+        "silhouette", "davies_bouldin", "calinski_harabasz", "graph_cohesion", "graph_cohesion_real", "selection_score", "best",
+    )
+
+
 def global_labels(local: DataFrame) -> DataFrame:
     """Labels made unique over groups: each group's labels start after those of all larger groups."""
     from pyspark.sql import Window

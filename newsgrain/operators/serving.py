@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import serving_domain
+
 
 def mode_by_count(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Most frequent non-empty value per key; the smaller value on ties."""
@@ -26,18 +28,36 @@ def representative(df: DataFrame, best: bool = True) -> DataFrame:
 
 
 def cluster_overview(df: DataFrame) -> DataFrame:
-    """Size, dates, days, strengths, leading site and representative title of every cluster."""
+    """The overview of every cluster: sizes, dates, days, strengths, reasons and the representative article.
+
+    Means count a null strength or outlier score as 0; undated clusters have span and peak 0.
+    """
     keys = ["topic_group", "cluster"]
     real = df.where("cluster <> -1")
-    span = F.floor((F.unix_micros(F.max("published_at").cast("timestamp")) - F.unix_micros(F.min("published_at").cast("timestamp"))) / F.lit(86_400_000_000))
+    zero = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0))
     agg = real.groupBy(*keys).agg(
-        F.count("*").alias("articles"), F.count("published_at").alias("dated"), F.to_date(F.min("published_at")).alias("first_day"), F.to_date(F.max("published_at")).alias("last_day"),
-        span.alias("span_days"), F.count_distinct(F.to_date("published_at")).alias("active_days"), F.round(F.avg(F.col("cluster_membership_strength").cast("double")), 6).alias("mean_strength"),
+        F.count("*").alias("article_count"), F.count("published_at").alias("timestamped_articles"), F.min("published_at").alias("first_seen"), F.max("published_at").alias("last_seen"),
+        (F.sum(zero("cluster_membership_strength")) / F.count("*")).alias("mean_membership_strength"), (F.sum(zero("cluster_outlier_score")) / F.count("*")).alias("mean_outlier_score"),
     )
-    peak = daily_counts(df).groupBy(*keys).agg(F.max("articles").alias("peak_day_articles"))
-    site = mode_by_count(real, keys, "source_domain", "top_domain")
-    title = representative(df).select(*keys, F.col("title").alias("representative_title"), F.col("row_idx").alias("representative_row"))
-    return agg.join(peak, keys, "left").join(site, keys, "left").join(title, keys, "left")
+    days = daily_counts(df).groupBy(*keys).agg(F.count("*").alias("active_days"), F.max("articles").alias("peak_day_count"))
+    topic_reason = mode_by_count(real, keys, "topic_group_reason", "topic_group_reason_mode")
+    assigned = mode_by_count(real, keys, "cluster_assignment_reason", "cluster_assignment_reason_mode")
+    best = representative(df).select(
+        *keys, F.coalesce("title", F.lit("")).alias("representative_title"), F.coalesce("url", F.lit("")).alias("representative_url"), F.col("published_at").alias("representative_timestamp"),
+        serving_domain(F.col("url")).alias("representative_domain"), F.col("cluster_membership_strength").alias("representative_membership_strength"), F.col("cluster_outlier_score").alias("representative_outlier_score"),
+    )
+    out = agg
+    for part in (days, topic_reason, assigned, best):
+        out = out.join(part, keys, "left")
+    n, dated = F.col("article_count"), F.col("timestamped_articles")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    out = out.withColumns({"active_days": F.coalesce("active_days", F.lit(0)), "peak_day_count": F.coalesce("peak_day_count", F.lit(0))})
+    return out.select(
+        *keys, "article_count", n.alias("total_articles"), n.alias("cluster_size"), "timestamped_articles", (n - dated).alias("undated_articles"), (dated / n).alias("timestamp_coverage_ratio"), "first_seen", "last_seen",
+        F.coalesce(F.floor((micros("last_seen") - micros("first_seen")) / F.lit(86_400_000_000)), F.lit(0)).alias("span_days"), "active_days", "peak_day_count",
+        F.when(dated > 0, F.col("peak_day_count") / dated).otherwise(0.0).alias("peak_day_share"), "mean_membership_strength", "mean_outlier_score", "topic_group_reason_mode", "cluster_assignment_reason_mode",
+        "representative_title", "representative_url", "representative_timestamp", "representative_domain", "representative_membership_strength", "representative_outlier_score",
+    ).orderBy(F.desc("article_count"), F.desc("timestamped_articles"), *keys)
 
 
 def topic_summary(df: DataFrame) -> DataFrame:
@@ -69,8 +89,8 @@ def visible_clusters(overview: DataFrame, daily: DataFrame, topics: list[str], l
 
 
 def best_config(sweep: DataFrame, parity: bool = False) -> DataFrame:
-    """The best row of every topic by silhouette, then selection score. parity: the first non-null value of each column instead."""
-    order = [F.desc_nulls_last("silhouette"), F.desc("selection_score"), F.col("min_cluster_size")]
+    """The best row of every topic by selection score. parity: the first non-null value of each column in that order instead."""
+    order = [F.desc_nulls_last("selection_score"), F.col("min_cluster_size"), F.col("min_samples")]
     w = Window.partitionBy("topic_group").orderBy(*order)
     if not parity:
         return sweep.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
@@ -91,3 +111,41 @@ def quality_index(points: DataFrame) -> DataFrame:
     q = points.withColumn("sil_norm", scaled("silhouette")).withColumn("db_norm_inv", scaled("davies_bouldin", True))
     q = q.withColumn("quality_index", 0.65 * F.coalesce("sil_norm", F.lit(0.0)) + 0.35 * F.coalesce("db_norm_inv", F.lit(0.0)))
     return q.withColumn("quality_rank", F.dense_rank().over(Window.partitionBy("topic_group").orderBy(F.desc("quality_index"))).cast("long"))
+
+
+TEXT_COLUMNS = ("title", "summary", "topics", "url", "author", "timestamp_source", "timestamp_quality", "topic_group_reason", "cluster_assignment_reason")
+
+
+def normalised(df: DataFrame) -> DataFrame:
+    """The columns the serving tables are built from, with one form of absence: texts empty, clusters -1, topics `necunoscut`, numbers null."""
+    text = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(c)
+    number = lambda c, t: F.expr(f"try_cast({c} AS {t})").alias(c)
+    return df.select(
+        "row_idx", F.coalesce(F.nullif(F.trim("topic_group"), F.lit("")), F.lit("necunoscut")).alias("topic_group"), F.coalesce(F.expr("try_cast(cluster AS long)"), F.lit(-1)).alias("cluster"), "published_at", F.to_date("published_at").alias("published_on"),
+        serving_domain(F.col("url")).alias("source_domain"), *[text(c) for c in TEXT_COLUMNS], F.coalesce("topic_is_eligible", F.lit(False)).alias("topic_is_eligible"),
+        number("cluster_membership_strength", "double"), number("cluster_outlier_score", "double"), number("cluster_size", "long"), number("topic_row_idx", "long"),
+    )
+
+
+def repair(df: DataFrame, clean: DataFrame, keys: list[str], wanted: list[str], order: list[Column]) -> DataFrame:
+    """`df` with the wanted columns completed from the first row of `clean` (by `order`) under the same keys; columns neither has are null."""
+    held = [c for c in wanted if c in clean.columns]
+    first = clean.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").select(*keys, *[F.col(c).alias(f"__{c}") for c in held])
+    joined = df.join(first, keys, "left")
+    whole = {c: F.coalesce(*[x for x in ([F.col(c)] if c in df.columns else []) + ([F.col(f"__{c}")] if c in held else [])]) if c in df.columns or c in held else F.lit(None).cast("string") for c in wanted}
+    return joined.select(*[c for c in df.columns if c not in wanted], *[x.alias(c) for c, x in whole.items()])
+
+
+def global_meta(df: DataFrame, stats: DataFrame, vectors: DataFrame, scatter_cap: int) -> DataFrame:
+    """One row of figures about the serving tables."""
+    real = F.col("cluster") != -1
+    when = F.when(real, F.col("published_at"))
+    a = df.agg(
+        F.count("*").alias("total_rows"), F.count_if(real).alias("real_rows"), F.count_if(~real).alias("noise_rows"), F.count("published_at").alias("timestamped_rows"), F.count_distinct("topic_group").alias("topic_count"),
+        F.count_distinct(F.when(real, F.struct("topic_group", "cluster"))).alias("real_cluster_count"), F.min(when).alias("min_timestamp"), F.max(when).alias("max_timestamp"),
+    )
+    parts = [daily_counts(df).agg(F.count("*").alias("daily_count_rows")), stats.agg(F.count("*").alias("temporal_rows")), vectors.agg(F.count("*").alias("vector_rows"))]
+    for p in parts:
+        a = a.crossJoin(p)  # one row each
+    share = lambda c: F.when(F.col("total_rows") > 0, F.round(F.col(c) / F.col("total_rows"), 6)).otherwise(0.0)
+    return a.withColumns({"noise_rate": share("noise_rows"), "timestamp_coverage_ratio": share("timestamped_rows"), "scatter_cap": F.lit(scatter_cap)})

@@ -24,10 +24,6 @@ class BurstParams:
     least_buckets: int = 2
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b).otherwise(F.lit(0.0))
-
-
 def bucket_counts(df: DataFrame, step: int) -> DataFrame:
     """(cluster, bucket, c): dated articles per day (step 1) or per week from Tuesday (step 7)."""
     day = F.to_date("ts")
@@ -172,7 +168,8 @@ def multiyear_repair(stats: DataFrame) -> DataFrame:
 
 
 def burst_off(stats: DataFrame) -> DataFrame:
-    """The suspicion score had there been no burst terms (the counterfactual of the ablation)."""
-    bursts = 4 * F.col("burst_score_daily") + 3 * F.col("burst_score_weekly") + 4 * F.col("burst_stable") + 2.5 * F.col("burst_duration_share_daily") + 1.5 * F.col("burst_duration_share_weekly")
-    gates = F.col("support_weight") * F.col("coverage_weight") * F.col("source_weight") * F.col("domain_weight")
-    return stats.withColumn("score_without_bursts", F.greatest(F.lit(0.0), (F.col("suspicion_score_raw") - bursts) * gates - F.col("suspicion_penalty_total")))
+    """The suspicion score had there been no burst signal (the counterfactual of the ablation); absent values count as 0."""
+    zero = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0))
+    bursts = 4 * zero("burst_score_daily") + 3 * zero("burst_score_weekly") + 4 * zero("burst_stable")
+    gates = zero("support_weight") * zero("coverage_weight") * zero("source_weight") * zero("domain_weight")
+    return stats.withColumn("score_without_bursts", F.greatest(F.lit(0.0), (zero("suspicion_score_raw") - bursts) * gates - zero("suspicion_penalty_total")))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_diacritics
-
 
 def terms(df: DataFrame, id_col: str, text_col: str, keys: list[str]) -> DataFrame:
-    """(keys, id, term, tf): words of two or more letters or digits and pairs of neighbouring ones, with their counts."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(strip_diacritics(F.coalesce(text_col, F.lit("")))), "[^a-z0-9]+", " ")), " "), lambda w: F.length(w) >= 2)
+    """(keys, id, term, tf): words of two or more letters, digits or underscores, in any script, and pairs of neighbouring ones, with their counts."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     w = df.select(*keys, F.col(id_col).alias("id"), words.alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return w.select(*keys, "id", F.explode(F.concat("w", pairs)).alias("term")).groupBy(*keys, "id", "term").agg(F.count("*").alias("tf"))
@@ -69,6 +67,11 @@ def kmeans(df: DataFrame, vec_col: str, k: int, seeds: tuple[int, ...] = (42,),
     return best.transform(_features(df, vec_col)).drop("features")
 
 
+def bounded_k(requested: Column, size: Column) -> Column:
+    """effective_k as an expression."""
+    return F.greatest(F.lit(2), F.least(requested, size - 1))
+
+
 def effective_k(requested: int, size: int, cap: int | None = None) -> int:
     """Clusters to ask for: at least 2, below the number of rows, and no more than the cap."""
     k = max(2, min(requested, size - 1))
@@ -108,11 +111,126 @@ def lloyd(x, k: int, seed: int, max_iter: int = ITERATIONS):  # noqa: ANN001, AN
     return labels, cost
 
 
-def kmeans_by_topic(df: DataFrame, group_col: str, id_col: str, vec_col: str, requested: DataFrame, default_k: int = 10) -> DataFrame:
+def minibatch(x, k: int, seed: int, max_iter: int = 80):  # noqa: ANN001, ANN201
+    """(label of every row of x, cost) of mini-batch k-means from one k-means++ start; stops after ten batches without a better cost."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    size = min(len(x), max(2048, 16 * k))
+    start = x[rng.choice(len(x), min(len(x), max(4096, 4 * k)), replace=False)]
+    labels, _ = lloyd(start, min(k, len(start)), seed, 1)
+    centres = np.stack([start[labels == c].mean(axis=0) if (labels == c).any() else start[rng.integers(len(start))] for c in range(min(k, len(start)))])
+    seen = np.zeros(len(centres))
+    best, waited = np.inf, 0
+    for _ in range(max_iter):
+        part = x[rng.choice(len(x), size, replace=False)]
+        d = (centres * centres).sum(axis=1)[None] - 2 * part @ centres.T
+        near = d.argmin(axis=1)
+        n = np.bincount(near, minlength=len(centres))
+        total = np.zeros_like(centres)
+        np.add.at(total, near, part)
+        seen += n
+        used = n > 0
+        centres[used] += (total[used] - n[used, None] * centres[used]) / seen[used, None]
+        cost = float((d.min(axis=1) + (part * part).sum(axis=1)).mean())
+        best, waited = (cost, 0) if cost < best - 1e-4 * abs(best) or best == np.inf else (best, waited + 1)
+        if waited >= 10:
+            break
+    parts = [(centres * centres).sum(axis=1)[None] - 2 * x[a : a + 4096] @ centres.T for a in range(0, len(x), 4096)]
+    labels = np.concatenate([d.argmin(axis=1) for d in parts])
+    return labels, float(np.maximum(np.concatenate([d.min(axis=1) for d in parts]) + (x * x).sum(axis=1), 0).sum())
+
+
+#: Components of the reduced term space, rounds of the iteration, and topics whose bases travel with one pass.
+COMPONENTS, SPARE, ROUNDS, TOPICS_A_PASS = 100, 10, 4, 16
+
+
+def truncated_svd(weights: DataFrame, key: str, k: int = COMPONENTS) -> DataFrame:
+    """(key, id, reduced): documents in the space of the first k singular directions of each group's TF-IDF matrix.
+
+    Subspace iteration on the matrix of term products: every pass multiplies it with a block of k + SPARE directions, task
+    by task over the documents, and the tasks' sums are added before they reach the driver. The directions are bounded by
+    the terms of a group (a feature limit) and by TOPICS_A_PASS groups a pass. Groups of fewer than three documents or
+    terms have no such space and are left out. weights: (key, id, term, weight).
+    """
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    from ..session import materialize
+
+    spark = weights.sparkSession
+    terms = weights.select(key, "term").distinct().withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("term")) - 1)  # at most the feature limit a group
+    docs = weights.join(terms, [key, "term"]).groupBy(key, "id").agg(F.collect_list(F.struct("at", "weight")).alias("x"))
+    docs = materialize(docs.select(F.col(key).alias("grp"), "id", F.col("x.at").alias("at"), F.col("x.weight").alias("w")), "term-rows")
+    sizes = {r["grp"]: (r["n"], r["m"]) for r in docs.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.array_max("at") + 1).alias("m")).collect()}
+    wide = {g: min(k, n - 1, m - 1) for g, (n, m) in sizes.items()}
+    groups = sorted((g for g in sizes if wide[g] >= 2), key=str)
+    id_type = docs.schema["id"].dataType.simpleString()
+
+    def rows_of(batch: pa.RecordBatch):  # noqa: ANN202
+        at, w = batch.column(2), batch.column(3)
+        return zip(batch.column(0).to_pylist(), (x.values.to_numpy() for x in at), (x.values.to_numpy() for x in w))
+
+    def product(sent):  # noqa: ANN001, ANN202
+        def work(batches):  # noqa: ANN001, ANN202
+            total: dict = {}
+            for batch in batches:
+                for g, at, w in rows_of(batch):
+                    basis = sent.value.get(g)
+                    if basis is None:
+                        continue
+                    if g not in total:
+                        total[g] = np.zeros(basis.shape)
+                    total[g][at] += np.outer(w, w @ basis[at])
+            for g, z in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.string()), pa.array([z.tobytes()], pa.binary())], names=["grp", "z"])
+
+        return work
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(z) for z in pdf["z"])
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "z": [total.tobytes()]})
+
+    def projected(sent):  # noqa: ANN001, ANN202
+        def work(batches):  # noqa: ANN001, ANN202
+            for batch in batches:
+                keep, found = [], []
+                for i, (g, at, w) in enumerate(rows_of(batch)):
+                    if g in sent.value:
+                        keep.append(i)
+                        found.append(w @ sent.value[g][at])
+                take = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(found, pa.list_(pa.float64()))], names=["grp", "id", "reduced"])
+
+        return work
+
+    out = spark.createDataFrame([], f"grp string, id {id_type}, reduced array<double>")
+    rng = np.random.default_rng(42)
+    for lo in range(0, len(groups), TOPICS_A_PASS):
+        basis = {g: np.linalg.qr(rng.normal(size=(sizes[g][1], min(wide[g] + SPARE, sizes[g][1]))))[0] for g in groups[lo : lo + TOPICS_A_PASS]}
+        own = docs.where(F.col("grp").isin(list(basis)))
+        for turn in range(ROUNDS):
+            sent = spark.sparkContext.broadcast(basis)
+            sums = own.mapInArrow(product(sent), "grp string, z binary").groupBy("grp").applyInPandas(added, "grp string, z binary").collect()
+            fresh = {r["grp"]: np.frombuffer(bytes(r["z"])).reshape(basis[r["grp"]].shape) for r in sums}
+            if turn + 1 < ROUNDS:
+                basis = {g: np.linalg.qr(z)[0] for g, z in fresh.items()}
+            else:  # the directions within the block
+                for g, z in fresh.items():
+                    values, vectors = np.linalg.eigh(basis[g].T @ z)
+                    basis[g] = basis[g] @ vectors[:, np.argsort(-values)[: wide[g]]]
+            sent.unpersist()
+        out = out.unionByName(own.mapInArrow(projected(spark.sparkContext.broadcast(basis)), f"grp string, id {id_type}, reduced array<double>"))
+    return out.withColumnRenamed("grp", key)
+
+
+def kmeans_by_topic(df: DataFrame, group_col: str, id_col: str, vec_col: str, requested: DataFrame, default_k: int = 10, batches: bool = False) -> DataFrame:
     """(grp, id, label): k-means of every group apart, the one of least cost over the seeds.
 
     requested: (grp, k), the clusters asked for, bounded by effective_k; groups it lacks ask for `default_k`. A group up
-    to LARGE_TOPIC rows is one task a seed, a larger one is fitted by Spark's own k-means.
+    to LARGE_TOPIC rows is one task a seed, a larger one is fitted by Spark's own k-means. batches: by mini-batches, with
+    five starts.
     """
     import numpy as np
     import pandas as pd
@@ -126,10 +244,11 @@ def kmeans_by_topic(df: DataFrame, group_col: str, id_col: str, vec_col: str, re
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        labels, cost = lloyd(x, min(effective_k(int(pdf["k"].iloc[0]), len(x)), len(x)), int(pdf["seed"].iloc[0]))
+        fitted = minibatch if batches else lloyd
+        labels, cost = fitted(x, min(effective_k(int(pdf["k"].iloc[0]), len(x)), len(x)), int(pdf["seed"].iloc[0]))
         return pd.DataFrame({"grp": pdf["grp"], "id": pdf["id"], "label": labels, "seed": pdf["seed"], "cost": cost})
 
-    small = rows.where(~F.col("grp").isin([r["grp"] for r in large])).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
+    small = rows.where(~F.col("grp").isin([r["grp"] for r in large])).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in (SEEDS_LARGE if batches else SEEDS)])))
     fits = materialize(small.repartition(len(SEEDS) * 12, "grp", "seed").groupBy("grp", "seed").applyInPandas(fit, "grp string, id long, label long, seed int, cost double"), "kmeans-fits")
     best = fits.groupBy("grp").agg(F.min(F.struct("cost", "seed")).alias("b")).select("grp", F.col("b.seed").alias("seed"))
     out = fits.join(F.broadcast(best), ["grp", "seed"]).select("grp", "id", "label")

@@ -76,15 +76,56 @@ def intra_cluster_cosine(df: DataFrame, keys: list[str], vec_col: str) -> DataFr
     return sums.select(*keys, "n", F.when(n > 1, (dot(F.col("sums"), F.col("sums")) - n) / (n * (n - 1))).alias("mean_cosine"))
 
 
+def _pair_blocks(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+    """Rows of `left` and `right` of each group in blocks of about BLOCK rows, every pair of blocks one row (l, r: arrays of structs)."""
+
+    def blocks(df: DataFrame, out: str) -> DataFrame:
+        n = df.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        cut = df.join(n, "grp").groupBy("grp", F.pmod(F.xxhash64(by), "blocks").alias("block"))
+        return cut.agg(F.collect_list(F.struct(*[c for c in df.columns if c != "grp"])).alias(out)).select("grp", out)
+
+    return blocks(left, "l").join(blocks(right, "r"), "grp").select("grp", "l", "r")
+
+
+def _matrix(structs, name: str):  # noqa: ANN001, ANN202
+    """A field of an array of structs as numpy; lists of one length as a matrix."""
+    field = structs.field(name)
+    if hasattr(field, "flatten") and str(field.type).startswith("list"):
+        return field.flatten().to_numpy(zero_copy_only=False).reshape(len(field), -1)
+    return field.to_numpy(zero_copy_only=False)
+
+
 def silhouette_cosine(df: DataFrame, group_col: str, id_col: str, label_col: str, vec_col: str) -> DataFrame:
-    """(grp, id, label, silhouette) by cosine distance within a group: distances to clusters come from their vector sums, not from pairs of points."""
-    u = df.select(F.col(group_col).alias("grp"), F.col(id_col).alias("id"), F.col(label_col).alias("label"), unit(F.col(vec_col)).alias("u")).where("u is not null")
-    sums = vector_sums(u, ["grp", "label"], "u").withColumnRenamed("label", "other")
-    d = u.join(sums, "grp").withColumn("s", dot(F.col("u"), F.col("sums")))  # points x clusters of their group
-    own = F.col("label") == F.col("other")
-    dist = F.when(own, (F.col("n") - F.col("s")) / F.greatest(F.col("n") - 1, F.lit(1))).otherwise(1 - F.col("s") / F.col("n"))
-    g = d.withColumn("d", dist).groupBy("grp", "id", "label").agg(F.max(F.when(own, F.col("d"))).alias("a"), F.min(F.when(~own, F.col("d"))).alias("b"), F.max(F.when(own, F.col("n"))).alias("n"))
-    return g.select("grp", "id", "label", F.when(F.col("n") > 1, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0).alias("silhouette"))
+    """(grp, id, label, silhouette) by cosine distance within a group.
+
+    Distances to clusters come from their vector sums, not from pairs of points, and are taken block by block as matrix
+    products of points and sums, of which a point's nearest other cluster alone goes on.
+    """
+    u = df.select(F.col(group_col).alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), unit(F.col(vec_col)).alias("u")).where("u is not null")
+    sums = vector_sums(u, ["grp", "label"], "u")
+
+    def products(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                points, clusters = (batch.column(batch.schema.get_field_index(c))[row].values for c in ("l", "r"))
+                label, other, n = _matrix(points, "label"), _matrix(clusters, "label"), _matrix(clusters, "n")
+                s = _matrix(points, "u") @ _matrix(clusters, "sums").T
+                own = label[:, None] == other[None, :]
+                d = np.where(own, (n - s) / np.maximum(n - 1, 1), 1 - s / n)
+                near = np.where(own, np.inf, d).min(axis=1)
+                mine = np.where(own, d, -np.inf).max(axis=1)
+                size = np.where(own, n, 0).max(axis=1)
+                grp = pa.array([batch.column(0)[row].as_py()] * len(label), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [grp, pa.array(_matrix(points, "id")), pa.array(label), pa.array(mine, mask=~np.isfinite(mine)), pa.array(near, mask=~np.isfinite(near)), pa.array(size)], names=["grp", "id", "label", "a", "b", "n"]
+                )
+
+    pairs = _pair_blocks(u.withColumn("grp", F.col("grp").cast("string")), sums.select(F.col("grp").cast("string").alias("grp"), "label", F.col("n").cast("long").alias("n"), "sums"), "label")
+    best = pairs.mapInArrow(products, "grp string, id long, label long, a double, b double, n long").groupBy("grp", "id", "label").agg(F.max("a").alias("a"), F.min("b").alias("b"), F.max("n").alias("n"))
+    return best.select("grp", "id", "label", F.when(F.col("n") > 1, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0).alias("silhouette"))
 
 
 def dispersion(df: DataFrame, group_col: str, label_col: str, vec_col: str) -> DataFrame:
@@ -105,29 +146,57 @@ def davies_bouldin(df: DataFrame, group_col: str, label_col: str, vec_col: str)
     cent = vector_sums(lab, ["grp", "label"], "v").select("grp", "label", F.transform("sums", lambda x: x / F.col("n")).alias("c"))
     gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
     scatter = lab.join(cent, ["grp", "label"]).groupBy("grp", "label").agg(F.avg(gap(F.transform("v", lambda x: x.cast("double")), F.col("c"))).alias("s"))
-    own = cent.join(scatter, ["grp", "label"])
-    other = own.select("grp", F.col("label").alias("l2"), F.col("c").alias("c2"), F.col("s").alias("s2"))
-    worst = own.join(other, "grp").where("label <> l2").groupBy("grp", "label").agg(F.max((F.col("s") + F.col("s2")) / gap(F.col("c"), F.col("c2"))).alias("r"))
+    own = cent.join(scatter, ["grp", "label"]).select(F.col("grp").cast("string").alias("grp"), "label", "c", "s")
+
+    def ratios(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, y = (batch.column(batch.schema.get_field_index(c))[row].values for c in ("l", "r"))
+                a, b, la, lb = _matrix(x, "c"), _matrix(y, "c"), _matrix(x, "label"), _matrix(y, "label")
+                gap = np.sqrt(np.stack([((b - v) ** 2).sum(axis=1) for v in a]))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    r = (_matrix(x, "s")[:, None] + _matrix(y, "s")[None, :]) / gap
+                r[(la[:, None] == lb[None, :]) | np.isnan(r)] = -1
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(la), pa.string()), pa.array(la), pa.array(r.max(axis=1))], names=["grp", "label", "r"])
+
+    worst = _pair_blocks(own, own, "label").mapInArrow(ratios, f"grp string, label {own.schema['label'].dataType.simpleString()}, r double").where("r >= 0").groupBy("grp", "label").agg(F.max("r").alias("r"))
     return worst.groupBy("grp").agg(F.avg("r").alias("davies_bouldin"))
 
 
-def graph_cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row (cohesion, cohesion_real): mean share of a point's neighbours that carry its label; all points, and without noise.
+def graph_cohesion(edges: DataFrame, labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, cohesion, cohesion_real): mean share of a point's neighbours that carry its label; all points, and without noise.
 
-    edges: (grp, id, neighbour); labels: (grp, id, label).
+    edges: (grp, id, neighbour); labels: (grp, id, label); keys: ["grp"] for a row a group, none for one row.
     """
     a, b = labels.select("grp", "id", F.col("label").alias("la")), labels.select("grp", F.col("id").alias("neighbour"), F.col("label").alias("lb"))
     per = edges.join(a, ["grp", "id"]).join(b, ["grp", "neighbour"]).groupBy("grp", "id", "la").agg(F.avg((F.col("la") == F.col("lb")).cast("double")).alias("s"))
-    return per.agg(F.avg("s").alias("cohesion"), F.avg(F.when(F.col("la") != -1, F.col("s"))).alias("cohesion_real"))
+    return per.groupBy(*(keys or [])).agg(F.avg("s").alias("cohesion"), F.avg(F.when(F.col("la") != -1, F.col("s"))).alias("cohesion_real"))
 
 
 def nearest_representatives(reps: DataFrame, k: int = 6) -> DataFrame:
-    """Per cluster its k nearest clusters of the topic by position of their representatives; similarity 1 / (1 + distance).
+    """Per cluster its k nearest clusters of the topic by position of their representatives, block by block; similarity 1 / (1 + distance).
 
     reps: (topic_group, cluster, x, y), one row a cluster.
     """
-    b = reps.select("topic_group", F.col("cluster").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    dx, dy = F.col("x").cast("double") - F.col("x2").cast("double"), F.col("y").cast("double") - F.col("y2").cast("double")
-    d = reps.join(b, "topic_group").where("cluster <> other").withColumn("distance", F.sqrt(dx * dx + dy * dy))
+    points = reps.select(F.col("topic_group").alias("grp"), F.col("cluster").cast("long").alias("cluster"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+    def near(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                p, q = (batch.column(batch.schema.get_field_index(c))[row].values for c in ("l", "r"))
+                a, b = _matrix(p, "cluster"), _matrix(q, "cluster")
+                dx, dy = _matrix(p, "x")[:, None] - _matrix(q, "x")[None, :], _matrix(p, "y")[:, None] - _matrix(q, "y")[None, :]
+                d = np.where(a[:, None] == b[None, :], np.inf, np.sqrt(dx * dx + dy * dy))
+                m = min(k, len(b))
+                i, j = np.nonzero((d <= np.partition(d, m - 1, axis=1)[:, m - 1 : m]) & np.isfinite(d))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(i), pa.string()), pa.array(a[i]), pa.array(b[j]), pa.array(d[i, j])], names=["topic_group", "cluster", "other", "distance"])
+
+    best = _pair_blocks(points, points, "cluster").mapInArrow(near, "topic_group string, cluster long, other long, distance double")
     rank = F.row_number().over(Window.partitionBy("topic_group", "cluster").orderBy("distance", "other"))
-    return d.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("topic_group", "cluster", "other", "rank", F.round(1 / (1 + F.col("distance")), 6).alias("similarity"))
+    return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("topic_group", "cluster", "other", "rank", F.round(1 / (1 + F.col("distance")), 6).alias("similarity"))

@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, topics, urls
 from ..operators import curation, temporal
-from ..sources.tables import index_fingerprint, table, validated
+from ..session import shared_dir
+from ..sources.tables import index_reuse, index_state, table, validated, write
+from .common import register, stats
 
 AS_OF = "2024-06-30"
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLE[name] = sql
-        return fn
-
-    return keep
+QUERIES, ORACLE, query = register()
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +27,15 @@ DUCK_CLEAN = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '\\p{
 DUCK_STRIP = "strip_accents({0})"
 
 
+_CANON = ", ".join(f"'{t}'" for t in topics.CANONICAL)
+_ALIAS = ", ".join(f"('{a}')" for a in topics.ALIAS_OF)
+_KEY = "trim(regexp_replace(regexp_replace(trim(lower(strip_accents(topics))), '[-_./:]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+TOPIC_REASON = f"""
+    WITH a AS (SELECT * FROM (VALUES {_ALIAS}) v(alias)), k AS (SELECT *, {_KEY} AS k FROM clustered_data)
+    SELECT *, CASE WHEN topics IS NULL OR k IN ('', '-', 'na', 'n a', 'none', 'null', 'nan', 'unknown', 'necunoscut') THEN 'missing_topic' WHEN k = 'root' THEN 'metadata_topic' WHEN k IN ({_CANON}) THEN 'canonical_topic'
+        WHEN k IN (SELECT alias FROM a) OR replace(k, ' ', '') IN (SELECT alias FROM a) OR replace(k, ' ', '') IN ({_CANON}) THEN 'mapped_topic_alias' WHEN topic_group IN ({_CANON}) THEN 'composite_topic' ELSE 'unmapped_topic' END AS reason FROM k"""
+
+
 def clean(c: str) -> str:
     return DUCK_CLEAN.format(c)
 
@@ -62,15 +64,6 @@ def _(spark, d):
 
 
 @query("S12_frequent_words", """
-    WITH w AS (SELECT DISTINCT row_idx, unnest(string_split(trim(regexp_replace(lower(strip_accents(coalesce(short_document, ''))), '[^a-z]+', ' ', 'g')), ' ')) AS word FROM clustered_data),
-         n AS (SELECT count(*) AS n FROM clustered_data)
-    SELECT word, count(*) AS n_docs FROM w, n WHERE word <> '' GROUP BY word, n.n HAVING count(*) * 10 >= n.n""")
-def _(spark, d):
-    """The words of a tenth of all short documents or more; the rule over whole documents is S12_frequent_words_documents."""
-    return frequent_words(table(spark, d, "clustered_data"), "short_document")
-
-
-@query("S12_frequent_words_documents", """
     WITH w AS (SELECT DISTINCT row_idx, unnest(string_split(trim(regexp_replace(lower(strip_accents(coalesce(document, ''))), '[^a-z]+', ' ', 'g')), ' ')) AS word FROM clustered_data),
          n AS (SELECT count(*) AS n FROM clustered_data)
     SELECT word, count(*) AS n_docs FROM w, n WHERE word <> '' GROUP BY word, n.n HAVING count(*) * 10 >= n.n""")
@@ -86,16 +79,24 @@ def frequent_words(df: DataFrame, column: str) -> DataFrame:
     return words.where(F.col("n_docs") * 10 >= df.count())
 
 
-@query("S17_index_fingerprint")
+@query("S17_index_reuse", """
+    SELECT topic_group, count(*) AS n, topic_group <> 'sport' AS reuse FROM clustered_data GROUP BY topic_group""")
 def _(spark, d):
-    return index_fingerprint(table(spark, d, "clustered_data"), "topic_group", "topic_row_idx", "short_document")
+    """An index state is stored, a text of one topic changes, and every other topic's index is still good."""
+    df = table(spark, d, "clustered_data").select("topic_group", "topic_row_idx", "short_document")
+    path = f"{shared_dir(spark)}/newsgrain/index-{uuid.uuid4().hex}"
+    write(index_state(df, "topic_group", "topic_row_idx", "short_document", 64), path)
+    changed = df.withColumn("short_document", F.when((F.col("topic_group") == "sport") & (F.col("topic_row_idx") == 0), "altfel").otherwise(F.col("short_document")))
+    return index_reuse(spark.read.parquet(path), index_state(changed, "topic_group", "topic_row_idx", "short_document", 64), "topic_group")
 
 
-@query("S20_topics_attached", """
-    SELECT topic_group, topic_group_reason, count(*) AS n FROM clustered_data WHERE document IS NOT NULL AND trim(document) <> '' GROUP BY ALL""")
+@query("S20_topics_attached", f"""
+    SELECT topic_group, reason AS topic_group_reason, count(*) AS n FROM ({TOPIC_REASON}) WHERE document IS NOT NULL AND trim(document) <> '' GROUP BY ALL""")
 def _(spark, d):
+    """The four columns of the clustering input with the topic and its reason worked out anew."""
     df = validated(table(spark, d, "clustered_data"), ["title", "topics", "short_document", "document"]).where(F.trim("document") != "")
-    return df.groupBy("topic_group", "topic_group_reason").agg(F.count("*").alias("n"))
+    label = F.col("topics")
+    return df.groupBy(topics.normalize_topic(label).alias("topic_group"), topics.topic_reason(label).alias("topic_group_reason")).agg(F.count("*").alias("n"))
 
 
 # --- text functions ---------------------------------------------------------------------------------------------------
@@ -124,30 +125,22 @@ def _(spark, d):
     return table(spark, d, "raw_articles").select("row_idx", text.deep_clean(F.col("summary")).alias("cleaned"))
 
 
-STOPWORDS = ["pentru", "care", "este", "din", "dupa", "fara", "sunt", "mai", "fata", "iar"]
-
-
-@query("X4_remove_stopwords", """
-    WITH t AS (SELECT row_idx, i, strip_accents(trim(w, '.,;:!?"''()…»«/\\')) AS w FROM (
-        SELECT row_idx, unnest(string_split(p, ' ')) AS w, generate_subscripts(string_split(p, ' '), 1) AS i FROM (
-            SELECT row_idx, trim(regexp_replace(coalesce(title, ''), '[\\s\\v\\x{85}\\p{Z}–—-]+', ' ', 'g')) AS p FROM clustered_data)))
-    SELECT a.row_idx, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (length(w) > 2 AND NOT regexp_full_match(w, '[0-9]+')
-        AND w NOT IN ('pentru', 'care', 'este', 'din', 'dupa', 'fara', 'sunt', 'mai', 'fata', 'iar')), '') AS kept
-    FROM clustered_data a JOIN t ON a.row_idx = t.row_idx GROUP BY a.row_idx""")
-def _(spark, d):
-    return table(spark, d, "clustered_data").select("row_idx", text.remove_stopwords(F.col("title"), STOPWORDS).alias("kept"))
+#: Documents without stopwords by rule: the tokens of a tenth of all documents or more.
+NOSTOP_SQL = """
+    SELECT a.row_idx, a.topic_group, a.cluster, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (w NOT IN (SELECT w FROM stop)), '') AS kept
+    FROM clustered_data a LEFT JOIN tokens t ON a.row_idx = t.row_idx GROUP BY ALL"""
+NOSTOP_WITH = """
+    tokens AS (SELECT row_idx, i, w FROM (SELECT row_idx, i, trim(strip_accents(w), '.,;:!?"''()…»«/\\') AS w FROM (
+            SELECT row_idx, unnest(string_split(p, ' ')) AS w, generate_subscripts(string_split(p, ' '), 1) AS i FROM (
+                SELECT row_idx, trim(regexp_replace({clean}, '[\\s\\v\\x{{85}}\\p{{Z}}–—-]+', ' ', 'g')) AS p FROM clustered_data))) WHERE length(w) > 2 AND NOT regexp_full_match(w, '[0-9]+')),
+    stop AS (SELECT w FROM tokens GROUP BY w HAVING count(DISTINCT row_idx) * 10 >= (SELECT count(*) FROM clustered_data))""".format(clean=clean("document"))
 
 
-@query("X4_remove_stopwords_documents", """
-    WITH t AS (SELECT row_idx, i, strip_accents(trim(w, '.,;:!?"''()…»«/\\')) AS w FROM (
-        SELECT row_idx, unnest(string_split(p, ' ')) AS w, generate_subscripts(string_split(p, ' '), 1) AS i FROM (
-            SELECT row_idx, trim(regexp_replace({clean}, '[\\s\\v\\x{{85}}\\p{{Z}}–—-]+', ' ', 'g')) AS p FROM clustered_data)))
-    SELECT a.row_idx, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (length(w) > 2 AND NOT regexp_full_match(w, '[0-9]+')
-        AND w NOT IN ({words})), '') AS kept
-    FROM clustered_data a JOIN t ON a.row_idx = t.row_idx GROUP BY a.row_idx""".format(clean=clean("document"), words=", ".join(f"'{w}'" for w in text.load_stopwords(text.STOPWORD_FILE))))
+@query("X4_remove_stopwords", f"WITH {NOSTOP_WITH} SELECT row_idx, kept FROM ({NOSTOP_SQL})")
 def _(spark, d):
-    """Whole documents, cleaned, without the words of the stopword list."""
-    return table(spark, d, "clustered_data").select("row_idx", text.document_nostop(F.col("document")).alias("kept"))
+    """Whole documents, cleaned, without the stopwords of the corpus."""
+    df = table(spark, d, "clustered_data")
+    return df.select("row_idx", text.document_nostop(F.col("document"), curation.corpus_stopwords(df, "document")).alias("kept"))
 
 
 DUCK_NORMAL = "trim(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '[^a-z0-9]+', ' ', 'g'))"
@@ -209,15 +202,7 @@ def _(spark, d):
     return table(spark, d, "clustered_data").select("row_idx", topics.normalize_topic(F.col("topics")).alias("topic_group"))
 
 
-_CANON = ", ".join(f"'{t}'" for t in topics.CANONICAL)
-_ALIAS = ", ".join(f"('{a}')" for a in topics.ALIAS_OF)
-_KEY = "trim(regexp_replace(regexp_replace(trim(lower(strip_accents(topics))), '[-_./:]+', ' ', 'g'), '\\s+', ' ', 'g'))"
-
-
-@query("G6_topic_reason", f"""
-    WITH a AS (SELECT * FROM (VALUES {_ALIAS}) v(alias)), k AS (SELECT row_idx, topics, topic_group, {_KEY} AS k FROM clustered_data)
-    SELECT row_idx, CASE WHEN topics IS NULL OR k IN ('', '-', 'na', 'n a', 'none', 'null', 'nan', 'unknown', 'necunoscut') THEN 'missing_topic' WHEN k = 'root' THEN 'metadata_topic' WHEN k IN ({_CANON}) THEN 'canonical_topic'
-        WHEN k IN (SELECT alias FROM a) OR replace(k, ' ', '') IN (SELECT alias FROM a) OR replace(k, ' ', '') IN ({_CANON}) THEN 'mapped_topic_alias' WHEN topic_group IN ({_CANON}) THEN 'composite_topic' ELSE 'unmapped_topic' END AS reason FROM k""")
+@query("G6_topic_reason", f"SELECT row_idx, reason FROM ({TOPIC_REASON})")
 def _(spark, d):
     return table(spark, d, "clustered_data").select("row_idx", topics.topic_reason(F.col("topics")).alias("reason"))
 
@@ -293,14 +278,71 @@ def _(spark, d):
     return df.select("row_idx", dates.whole_days(F.col("published_at").cast("timestamp"), F.lit("2019-01-01").cast("timestamp")).alias("days"))
 
 
-@query("D2_url_candidate", """
-    WITH m AS (SELECT row_idx, url, regexp_extract(url, '(?:^|[^0-9])(20[0-9]{2})[/._-](0?[1-9]|1[0-2])[/._-](0?[1-9]|[12][0-9]|3[01])(?:[^0-9]|$)', ['y', 'm', 'd']) AS a FROM clustered_data WHERE url IS NOT NULL)
-    SELECT row_idx, CASE WHEN a.y <> '' AND try_cast(a.y AS INT) BETWEEN 2015 AND 2025 THEN try_cast(a.y || '-' || lpad(a.m, 2, '0') || '-' || lpad(a.d, 2, '0') AS DATE) END AS found FROM m""")
+
+
+def _duck_date(y: str, m: str, d: str) -> str:
+    return f"CASE WHEN try_cast({y} AS INT) BETWEEN 2015 AND 2025 THEN try_cast({y} || '-' || lpad({m}, 2, '0') || '-' || lpad({d}, 2, '0') AS DATE) END"
+
+
+def duck_candidate(c: str) -> str:
+    """The date in a path or value, as dates.candidate_date; DuckDB's patterns do not look around, so a guard takes a character."""
+    month, day = "(0?[1-9]|1[0-2])", "(0?[1-9]|[12][0-9]|3[01])"
+    year_first = f"(?:^|[^0-9])(20[0-9]{{2}})[/._-]{month}[/._-]{day}(?:[^0-9]|$)"
+    day_first = f"(?:^|[^0-9]){day}[/._-]{month}[/._-](20[0-9]{{2}})(?:[^0-9]|$)"
+    compact = "(?:^|[^0-9])(20[0-9]{2})(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])(?:[^0-9]|$)"
+    g = lambda p, k: f"regexp_extract({c}, '{p}', {k})"
+    return (
+        f"CASE WHEN regexp_matches({c}, '{year_first}') THEN {_duck_date(g(year_first, 1), g(year_first, 2), g(year_first, 3))} WHEN regexp_matches({c}, '{day_first}') THEN {_duck_date(g(day_first, 3), g(day_first, 2), g(day_first, 1))} "
+        f"WHEN regexp_matches({c}, '{compact}') THEN {_duck_date(g(compact, 1), g(compact, 2), g(compact, 3))} END"
+    )
+
+
+def duck_url_date(url: str) -> str:
+    """The date in a link, as dates.url_date."""
+    u = f"coalesce(url_decode(replace({url}, '+', '%2B')), {url})"
+    rest = f"regexp_replace(CASE WHEN contains({u}, '://') THEN {u} ELSE 'http://' || {u} END, '^[^:]*://[^/?#]*', '')"
+    path, query_, fragment = f"regexp_extract({rest}, '^([^?#]*)', 1)", f"regexp_extract({rest}, '\\?([^#]*)', 1)", f"regexp_extract({rest}, '#(.*)$', 1)"
+    value = lambda n: f"regexp_extract({query_}, '(?:^|&){n}=([^&]*)', 1)"
+    keys = ", ".join(f"'{k}'" for k in dates.QUERY_KEYS)
+    entries = f"list_filter(string_split({query_}, '&'), lambda q: lower(split_part(q, '=', 1)) IN ({keys}))"
+    plain = "url_decode(replace(regexp_replace(q, '^[^=]*=?', ''), '+', '%2B'))"
+    known = f"list_filter(list_transform({entries}, lambda q: {duck_candidate(plain)}), lambda z: z IS NOT NULL)[1]"
+    in_query = f"CASE WHEN {value('year')} <> '' AND {value('month')} <> '' AND {value('day')} <> '' THEN {_duck_date(value('year'), value('month'), value('day'))} ELSE {known} END"
+    return f"coalesce({duck_candidate(path)}, {duck_candidate(fragment)}, {in_query}, {duck_candidate(u)})"
+
+
+def duck_text_date(t: str) -> str:
+    """The date in the head of a text, as dates.text_date."""
+    head = f"substr({t}, 1, {dates.SCAN_CHARS})"
+    cues = "|".join(dates.CUES)
+    out = []
+    rules = [(f"(?i)(?:^|[^\\p{{L}}\\p{{N}}_])([0-9]{{1,2}}\\s+{m}\\s+20[0-9]{{2}})(?:[^\\p{{L}}\\p{{N}}_]|$)", f"([0-9]+)\\s+{m}\\s+(20[0-9]{{2}})", 2, f"'{k:02d}'", 1) for k, m in enumerate(dates.MONTHS, 1)]
+    rules.append(("(?:^|[^\\p{L}\\p{N}_])([0-9]{1,2}[./][0-9]{1,2}[./]20[0-9]{2})(?:[^\\p{L}\\p{N}_]|$)", "([0-9]+)[./]([0-9]+)[./](20[0-9]{2})", 3, 2, 1))
+    rules.append(("(?:^|[^\\p{L}\\p{N}_])(20[0-9]{2}[-.][0-9]{2}[-.][0-9]{2})(?:[^\\p{L}\\p{N}_]|$)", "(20[0-9]{2})[-.]([0-9]+)[-.]([0-9]+)", 1, 2, 3))
+    for guard, inner, y, m, d in rules:
+        hit = f"regexp_extract({head}, '{guard}', 1)"
+        at = f"instr({head}, {hit})"  # from 1
+        before = f"lower(substr({head}, greatest({at} - {dates.CUE_CHARS}, 1), least({at} - 1, {dates.CUE_CHARS})))"
+        g = lambda k: k if isinstance(k, str) else f"regexp_extract({hit}, '(?i){inner}', {k})"  # noqa: B023, E731
+        out.append(f"WHEN {hit} <> '' AND ({at} - 1 <= {dates.HEADER_CHARS} OR regexp_matches({before}, '{cues}')) THEN {_duck_date(g(y), g(m), g(d))}")
+    return "CASE " + " ".join(out) + " END"
+
+
+def duck_dated(source: str, keep: str) -> str:
+    """Rows of `source` (with url and text) with the date, its source and its quality, as curation.attach_dates."""
+    return f"""
+        SELECT {keep}, CASE WHEN NOT late THEN d END AS day, CASE WHEN late THEN 'missing' ELSE s END AS timestamp_source,
+            CASE WHEN d IS NULL THEN 'missing' WHEN late THEN 'rejected_future' WHEN s = 'url' THEN 'high' WHEN s = 'text' AND year(d) < {dates.LOW_CONFIDENCE_BEFORE} THEN 'low' WHEN s = 'text' THEN 'medium' ELSE 'missing' END AS timestamp_quality
+        FROM (SELECT *, coalesce(CASE WHEN s = 'url' THEN d > DATE '{AS_OF}' + 2 WHEN s = 'text' THEN d > DATE '{AS_OF}' END, false) AS late FROM (
+            SELECT *, CASE WHEN u IS NOT NULL THEN 'url' WHEN t IS NOT NULL THEN 'text' ELSE 'missing' END AS s, coalesce(u, t) AS d FROM (SELECT *, {duck_url_date('url')} AS u, {duck_text_date('text')} AS t FROM {source})))"""
+
+
+@query("D2_url_candidate", f"SELECT row_idx, {duck_candidate('url')} AS found FROM clustered_data WHERE url IS NOT NULL")
 def _(spark, d):
     return table(spark, d, "clustered_data").where("url is not null").select("row_idx", dates.candidate_date(F.col("url"), AS_OF).alias("found"))
 
 
-@query("D6_D7_dated")
+@query("D6_D7_dated", duck_dated("raw_articles", "row_idx"))
 def _(spark, d):
     raw = table(spark, d, "raw_articles").select("row_idx", "url", "text")
     return curation.attach_dates(raw, AS_OF).select("row_idx", "timestamp_source", F.col("timestamp").alias("day"), "timestamp_quality")
@@ -370,12 +412,35 @@ def _(spark, d):
     return order.join(counts, "timestamp_quality", "left").select("timestamp_quality", F.coalesce("c", F.lit(0)).alias("n"))
 
 
-@query("A36_missing_values", "SELECT count(*) FILTER (title IS NULL) AS title, count(*) FILTER (topics IS NULL) AS topics, count(*) FILTER (url IS NULL) AS url, count(*) FILTER (document IS NULL) AS document, count(*) FILTER (published_at IS NULL) AS published_at FROM clustered_data")
+_CD = ("title", "topics", "url", "source_domain", "short_document", "document", "topic_group", "topic_group_reason", "published_at", "timestamp_source", "timestamp_quality", "best_min_cluster_size", "best_min_samples",
+       "best_cluster_selection_method", "best_cluster_selection_epsilon", "cluster", "cluster_membership_strength", "cluster_outlier_score", "cluster_assignment_reason", "umap_x", "umap_y", "cluster_size")
+
+
+@query("A36_missing_values", " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) - count({c}) AS missing FROM clustered_data" for c in _CD))
 def _(spark, d):
-    return table(spark, d, "clustered_data").agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in ("title", "topics", "url", "document", "published_at")])
+    """Missing values of every column, in one pass."""
+    return table(spark, d, "clustered_data").agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in _CD]).unpivot([], list(_CD), "name", "missing")
+
 
+#: The raw articles curated, in SQL: cleaned, dated, with documents, the first row of every document.
+CURATED_WITH = """
+    cleaned AS (SELECT row_idx, crawled_at, url, {title} AS title, {text} AS text FROM raw_articles),
+    raw_tokens AS (SELECT id, w FROM (SELECT id, trim(strip_accents(unnest(string_split(p, ' '))), '.,;:!?"''()…»«/\\') AS w FROM (
+            SELECT row_number() OVER () AS id, trim(regexp_replace({whole}, '[\\s\\v\\x{{85}}\\p{{Z}}–—-]+', ' ', 'g')) AS p FROM raw_articles)) WHERE length(w) > 2 AND NOT regexp_full_match(w, '[0-9]+')),
+    stop AS (SELECT w FROM raw_tokens GROUP BY w HAVING count(DISTINCT id) * 10 >= (SELECT count(*) FROM raw_articles)),
+    dated AS ({dated}),
+    documented AS (SELECT *, {document} AS document, {short} AS short_document FROM dated),
+    firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY row_idx, crawled_at) AS r FROM documented WHERE trim(title) <> '' AND trim(document) <> '') WHERE r = 1),
+    kept AS (SELECT row_idx, string_agg(w, ' ' ORDER BY i) AS document_nostop FROM (SELECT row_idx, i, trim(strip_accents(w), '.,;:!?"''()…»«/\\') AS w FROM (
+            SELECT row_idx, unnest(string_split(p, ' ')) AS w, generate_subscripts(string_split(p, ' '), 1) AS i FROM (
+                SELECT row_idx, trim(regexp_replace(document, '[\\s\\v\\x{{85}}\\p{{Z}}–—-]+', ' ', 'g')) AS p FROM firsts))) WHERE length(w) > 2 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN (SELECT w FROM stop) GROUP BY row_idx)""".format(
+    title=clean("title"), text=clean("text"), whole=clean("coalesce(title, '') || '. ' || coalesce(text, '')"), dated=duck_dated("cleaned", "row_idx, crawled_at, url, title, text"),
+    document=clean("title || '. ' || text"), short=clean("title || '. ' || substr(text, 1, 500)"),
+)
 
-@query("curated_corpus")
+
+@query("curated_corpus", f"""
+    WITH {CURATED_WITH} SELECT f.row_idx, title, document, short_document, coalesce(document_nostop, '') AS document_nostop, day, timestamp_source, timestamp_quality FROM firsts f LEFT JOIN kept USING (row_idx)""")
 def _(spark, d):
     """Curation end to end over the raw articles."""
     raw = table(spark, d, "raw_articles").withColumn("row_idx", F.struct("row_idx", "crawled_at"))
@@ -383,6 +448,18 @@ def _(spark, d):
     return out.select(F.col("row_idx.row_idx").alias("row_idx"), "title", "document", "short_document", "document_nostop", F.col("timestamp").alias("day"), "timestamp_source", "timestamp_quality")
 
 
+@query("coverage_end_to_end", f"""
+    WITH {CURATED_WITH} SELECT domain, count(*) AS n_rows, count(*) FILTER (timestamp_source = 'url') AS n_url, count(*) FILTER (timestamp_source = 'text') AS n_text, CAST(0 AS BIGINT) AS n_htmldate,
+        count(*) FILTER (timestamp_source = 'missing') AS n_missing, 100.0::DOUBLE * (count(*) - count(*) FILTER (timestamp_source = 'missing')) / count(*) AS coverage_pct
+    FROM (SELECT timestamp_source, CASE WHEN u = '' OR h = '' THEN 'missing' ELSE h END AS domain FROM (
+        SELECT timestamp_source, u, regexp_replace({DUCK_HOST.format("CASE WHEN contains(u, '://') THEN u ELSE 'http://' || u END")}, '^www\\.', '') AS h FROM (SELECT timestamp_source, trim(coalesce(url, '')) AS u FROM firsts))) GROUP BY domain""")
+def _(spark, d):
+    """Coverage by site over the curated raw articles."""
+    raw = table(spark, d, "raw_articles").withColumn("row_idx", F.struct("row_idx", "crawled_at"))
+    curated = curation.curate(raw, AS_OF, stopwords=())
+    return curation.domain_coverage(curated.withColumn("domain", urls.report_domain(F.col("url"))))
+
+
 # --- temporal ---------------------------------------------------------------------------------------------------------
 
 
@@ -495,36 +572,65 @@ _GATES = """least(1, timestamped_articles / 10.0::DOUBLE) * least(1, 0.35::DOUBL
     SELECT cluster, round(({_RAW}), 6) AS raw, round(greatest(0.0::DOUBLE, ({_RAW}) * {_GATES} - (p1 + p2 + p3 + p4 + p5)), 5) AS score FROM (SELECT *, {_PEN} FROM cluster_temporal_stats)""")
 def _(spark, d):
     """The score formula over stored measures (5 decimals, so that rounding habits do not matter)."""
-    s = temporal.suspicion(table(spark, d, "cluster_temporal_stats"))
+    s = temporal.suspicion(stats(spark, d))
     off = F.col("support_penalty") + F.col("long_sparse_span_penalty") + F.col("single_domain_penalty") + F.col("source_reliability_penalty") + F.col("compact_penalty")
     gated = F.col("suspicion_score_raw") * F.col("support_weight") * F.col("coverage_weight") * F.col("source_weight") * F.col("domain_weight")
     return s.select("cluster", F.round("suspicion_score_raw", 6).alias("raw"), F.round(F.greatest(F.lit(0.0), gated - off), 5).alias("score"))
 
 
-@query("B7_scored_profiles")
-def _(spark, d):
-    return temporal.suspicion(temporal.profile(articles(spark, d)))
-
-
-@query("B9_multiyear_repair", f"""
+#: Profiles with their scores, in SQL.
+PROFILE_WITH = f"""
+    {ARTICLES}, real AS (SELECT * FROM articles WHERE cluster <> -1),
+    {_burst_sql(1).replace('b AS', 'bd AS').replace('FROM b ', 'FROM bd ').replace('m AS', 'md AS').replace('FROM m)', 'FROM md)').replace('l AS', 'ld AS').replace('FROM l ', 'FROM ld ').replace('i AS', 'id AS')},
+    {_burst_sql(7).replace('b AS', 'bw AS').replace('FROM b ', 'FROM bw ').replace('m AS', 'mw AS').replace('FROM m)', 'FROM mw)').replace('l AS', 'lw AS').replace('FROM l ', 'FROM lw ').replace('i AS', 'iw AS')},
+    daily AS (SELECT cluster, CAST(1 AS BIGINT) AS score, count(DISTINCT g) AS periods, count(*) AS duration FROM id GROUP BY 1), weekly AS (SELECT cluster, CAST(1 AS BIGINT) AS score, count(DISTINCT g) AS periods, count(*) AS duration FROM iw GROUP BY 1),
+    base AS (SELECT cluster, count(*) AS total_articles, count(ts) AS n, min(ts) AS f, max(ts) AS t, count(ts) FILTER (timestamp_source = 'url') AS nu, count(ts) FILTER (timestamp_source = 'text') AS nt FROM real GROUP BY 1 HAVING count(ts) > 0),
+    act AS (SELECT cluster, count(*) AS active_days, max(c) AS peak FROM bd GROUP BY 1),
+    pd AS (SELECT cluster, domain, count(*) AS n, count(ts) AS nd FROM real GROUP BY 1, 2),
+    dom AS (SELECT cluster, count(*) AS domain_count, max(n) / CAST(sum(n) AS DOUBLE) AS top_share, max(nd) / CAST(greatest(sum(nd), 1) AS DOUBLE) AS top_dated FROM pd GROUP BY 1),
+    top AS (SELECT cluster, topic_group FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, topic_group) AS r FROM (SELECT cluster, topic_group, count(*) AS n FROM real GROUP BY 1, 2)) WHERE r = 1),
+    prof AS (SELECT base.*, active_days, peak, domain_count, top_share, top_dated, topic_group, greatest(floor((epoch_us(t) - epoch_us(f)) / 86400000000), 1) AS span, n / total_articles::DOUBLE AS cover, nu / n::DOUBLE + 0.35::DOUBLE * (nt / n::DOUBLE) AS rel,
+            coalesce(daily.score, 0) AS bsd, coalesce(daily.periods, 0) AS bpd, coalesce(daily.duration, 0) AS bdd, coalesce(weekly.score, 0) AS bsw, coalesce(weekly.duration, 0) AS bdw
+        FROM base JOIN act USING (cluster) JOIN dom USING (cluster) JOIN top USING (cluster) LEFT JOIN daily ON daily.cluster = base.cluster LEFT JOIN weekly ON weekly.cluster = base.cluster),
+    terms AS (SELECT *, active_days / span AS adr, n / span AS conc FROM prof),
+    scored AS (SELECT *, 4 * bsd + 3 * bsw + 4 * CASE WHEN bdd > 0 AND bdw > 0 THEN 1 ELSE 0 END + 2 * ln(1 + conc) + 2.5::DOUBLE * ln(1 + peak / greatest(conc, 1e-9::DOUBLE)) + 3 * (peak / greatest(n, 1)::DOUBLE) + 2.5::DOUBLE * (bdd / span)
+            + 1.5::DOUBLE * least(7 * bdw / span, 1) + 0.75::DOUBLE * ln(1 + total_articles) AS raw,
+        least(1, n / 10.0::DOUBLE) * least(1, 0.35::DOUBLE + 0.65::DOUBLE * cover) * (0.45::DOUBLE + 0.55::DOUBLE * least(1, rel)) * (0.60::DOUBLE + 0.40::DOUBLE * least(1, 1 - greatest(0, top_share - 0.5))) AS gate,
+        0.75::DOUBLE * greatest(0, 6 - n) + ln(1 + span) * greatest(0, span - 90) / 90 * (1 - adr) * (1 - cover) * 1.8::DOUBLE + 4 * greatest(0.0::DOUBLE, top_share - 0.5) + CASE WHEN domain_count = 1 THEN 1.75 ELSE 0 END
+            + 2 * greatest(0.0::DOUBLE, top_dated - 0.6) + 3 * (1 - rel) + 3 * greatest(0.0::DOUBLE, 0.20::DOUBLE - adr) AS pen FROM terms)"""
+
+
+@query("B7_scored_profiles", f"""
+    WITH {PROFILE_WITH} SELECT cluster, topic_group, total_articles, n AS timestamped_articles, CAST(span AS BIGINT) AS span_days, active_days, domain_count, bsd AS burst_score_daily, bsw AS burst_score_weekly, round(rel, 6) AS reliability, round(raw, 5) AS raw,
+        round(pen, 4) AS penalty, round(greatest(0.0::DOUBLE, raw * gate - pen), 3) AS suspicion_score FROM scored""")
+def _(spark, d):
+    """Profiles of the articles with their scores."""
+    s = temporal.suspicion(temporal.profile(articles(spark, d)))
+    return s.select("cluster", "topic_group", "total_articles", "timestamped_articles", "span_days", "active_days", "domain_count", "burst_score_daily", "burst_score_weekly", F.round("timestamp_source_reliability", 6).alias("reliability"), F.round("suspicion_score_raw", 5).alias("raw"), F.col("suspicion_penalty_total").alias("penalty"), "suspicion_score")
+
+
+REPAIRED_SQL = f"""
     SELECT cluster, burst_periods_daily >= 5 AND total_articles >= 50 AND active_days >= 20 AND domain_count >= 3 AS robust_recurring,
         round(greatest(0.0::DOUBLE, suspicion_score_raw * support_weight * coverage_weight * source_weight * domain_weight - (suspicion_penalty_total - p2
             + CASE WHEN burst_periods_daily >= 5 AND total_articles >= 50 AND active_days >= 20 AND domain_count >= 3 THEN 0.0 ELSE p2 END)), 3) AS repaired_score
-    FROM (SELECT *, {_PEN} FROM cluster_temporal_stats)""")
+    FROM (SELECT *, {_PEN} FROM cluster_temporal_stats)"""
+
+
+@query("B9_multiyear_repair", REPAIRED_SQL)
 def _(spark, d):
-    return temporal.multiyear_repair(table(spark, d, "cluster_temporal_stats")).select("cluster", "robust_recurring", "repaired_score")
+    return temporal.multiyear_repair(stats(spark, d)).select("cluster", "robust_recurring", "repaired_score")
 
 
 @query("B11_burst_off", """
-    SELECT cluster, round(greatest(0.0::DOUBLE, (suspicion_score_raw - (4 * burst_score_daily + 3 * burst_score_weekly + 4 * burst_stable + 2.5::DOUBLE * burst_duration_share_daily + 1.5::DOUBLE * burst_duration_share_weekly))
-        * support_weight * coverage_weight * source_weight * domain_weight - suspicion_penalty_total), 5) AS off FROM cluster_temporal_stats""")
+    SELECT cluster, round(greatest(0.0::DOUBLE, (coalesce(suspicion_score_raw, 0) - (4 * coalesce(burst_score_daily, 0) + 3 * coalesce(burst_score_weekly, 0) + 4 * coalesce(burst_stable, 0)))
+        * (coalesce(support_weight, 0) * coalesce(coverage_weight, 0) * coalesce(source_weight, 0) * coalesce(domain_weight, 0)) - coalesce(suspicion_penalty_total, 0)), 5) AS off FROM cluster_temporal_stats""")
 def _(spark, d):
-    return temporal.burst_off(table(spark, d, "cluster_temporal_stats")).select("cluster", F.round("score_without_bursts", 5).alias("off"))
+    return temporal.burst_off(stats(spark, d)).select("cluster", F.round("score_without_bursts", 5).alias("off"))
 
 
 @query("B12_multi_source", "SELECT cluster, CASE WHEN domain_count > 1 THEN suspicion_score ELSE 0.0 END AS multi_source_score FROM cluster_temporal_stats")
 def _(spark, d):
-    return table(spark, d, "cluster_temporal_stats").select("cluster", F.when(F.col("domain_count") > 1, F.col("suspicion_score")).otherwise(0.0).alias("multi_source_score"))
+    return stats(spark, d).select("cluster", F.when(F.col("domain_count") > 1, F.col("suspicion_score")).otherwise(0.0).alias("multi_source_score"))
 
 
 @query("B13_decomposition", """
@@ -532,11 +638,13 @@ def _(spark, d):
     FROM cluster_temporal_stats ORDER BY campaign_candidate_score DESC NULLS LAST, cluster LIMIT 12""")
 def _(spark, d):
     g = F.col("suspicion_score_raw") * F.col("support_weight") * F.col("coverage_weight") * F.col("source_weight") * F.col("domain_weight")
-    s = table(spark, d, "cluster_temporal_stats").orderBy(F.desc_nulls_last("campaign_candidate_score"), "cluster").limit(12)
+    s = stats(spark, d).orderBy(F.desc_nulls_last("campaign_candidate_score"), "cluster").limit(12)
     return s.select("cluster", F.col("suspicion_score_raw").alias("raw"), F.round(g, 6).alias("gated"), "suspicion_score", "campaign_candidate_score")
 
 
-@query("top_bursty_clusters")
+@query("top_bursty_clusters", f"""
+    WITH {PROFILE_WITH} SELECT cluster, topic_group, total_articles, n AS timestamped_articles, CAST(span AS BIGINT) AS span_days, bsd AS burst_score_daily, bpd AS burst_periods_daily, bsw AS burst_score_weekly, domain_count,
+        round(greatest(0.0::DOUBLE, raw * gate - pen), 3) AS suspicion_score FROM scored ORDER BY suspicion_score DESC, cluster LIMIT 20""")
 def top_bursty(spark, d):
     return temporal.top_bursty(articles(spark, d))
 
