@@ -160,9 +160,12 @@ def truncated_svd(weights: DataFrame, key: str, k: int = COMPONENTS) -> DataFram
     from ..session import materialize
 
     spark = weights.sparkSession
+    weights = materialize(weights, "term-weights")
     terms = weights.select(key, "term").distinct().withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("term")) - 1)  # at most the feature limit a group
     docs = weights.join(terms, [key, "term"]).groupBy(key, "id").agg(F.collect_list(F.struct("at", "weight")).alias("x"))
-    docs = materialize(docs.select(F.col(key).alias("grp"), "id", F.col("x.at").alias("at"), F.col("x.weight").alias("w")), "term-rows")
+    # a task holds the documents of few groups, so that it adds up few matrices
+    docs = docs.select(F.col(key).alias("grp"), "id", F.col("x.at").alias("at"), F.col("x.weight").alias("w")).repartitionByRange("grp", "id")
+    docs = materialize(docs, "term-rows")
     sizes = {r["grp"]: (r["n"], r["m"]) for r in docs.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.array_max("at") + 1).alias("m")).collect()}
     wide = {g: min(k, n - 1, m - 1) for g, (n, m) in sizes.items()}
     groups = sorted((g for g in sizes if wide[g] >= 2), key=str)
@@ -184,13 +187,13 @@ def truncated_svd(weights: DataFrame, key: str, k: int = COMPONENTS) -> DataFram
                         total[g] = np.zeros(basis.shape)
                     total[g][at] += np.outer(w, w @ basis[at])
             for g, z in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.string()), pa.array([z.tobytes()], pa.binary())], names=["grp", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.string()), pa.array([z.astype(np.float32).tobytes()], pa.binary())], names=["grp", "z"])
 
         return work
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(z) for z in pdf["z"])
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "z": [total.tobytes()]})
+        total = sum(np.frombuffer(z, np.float32).astype(np.float64) for z in pdf["z"])
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "z": [total.astype(np.float32).tobytes()]})
 
     def projected(sent):  # noqa: ANN001, ANN202
         def work(batches):  # noqa: ANN001, ANN202
@@ -213,7 +216,7 @@ def truncated_svd(weights: DataFrame, key: str, k: int = COMPONENTS) -> DataFram
         for turn in range(ROUNDS):
             sent = spark.sparkContext.broadcast(basis)
             sums = own.mapInArrow(product(sent), "grp string, z binary").groupBy("grp").applyInPandas(added, "grp string, z binary").collect()
-            fresh = {r["grp"]: np.frombuffer(bytes(r["z"])).reshape(basis[r["grp"]].shape) for r in sums}
+            fresh = {r["grp"]: np.frombuffer(bytes(r["z"]), np.float32).astype(np.float64).reshape(basis[r["grp"]].shape) for r in sums}
             if turn + 1 < ROUNDS:
                 basis = {g: np.linalg.qr(z)[0] for g, z in fresh.items()}
             else:  # the directions within the block

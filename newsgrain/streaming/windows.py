@@ -1,4 +1,4 @@
-"""Streaming forms of the tumbling counts, activity runs and deduplication. Undated rows never enter an event-time window."""
+"""Streaming forms of the tumbling counts, activity runs, running figures and deduplication. Undated rows never enter an event-time window."""
 
 from __future__ import annotations
 
@@ -24,3 +24,11 @@ def activity_runs(stream: DataFrame, gap: str = "1 day", lateness: str = "7 days
 def first_documents(stream: DataFrame, key: str = "document", lateness: str = "7 days") -> DataFrame:
     """Each document once, while the watermark remembers it."""
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
+
+
+def running_figures(stream: DataFrame) -> DataFrame:
+    """(cluster, n, dated, first_ts, last_ts, sites): figures of every cluster so far, for update or complete output; undated rows count in n.
+
+    The state is one row a cluster; the number of sites is approximate, by a sketch of bounded size.
+    """
+    return stream.groupBy("cluster").agg(F.count("*").alias("n"), F.count("ts").alias("dated"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.approx_count_distinct("domain", 0.05).alias("sites"))
