@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..session import materialize, spread
 from ..sources.tables import stopword_table
 
 CLEANED = ["title", "text", "summary", "keywords", "topics", "dialect", "author"]
@@ -23,7 +24,7 @@ def canonical(df: DataFrame, names: Sequence[str] = CANONICAL_COLUMNS) -> DataFr
     return df.select(*[F.col(n) if n in df.columns else F.lit("").alias(n) for n in names])
 
 
-def corpus_stopwords(df: DataFrame, column: str, share: float = 0.1) -> list[str]:
+def corpus_stopwords(df: DataFrame, column: str, share: float = 0.1, cleaned: bool = False) -> list[str]:
     """The stopwords of a corpus: those of the file the setting `spark.newsgrain.stopwords` names, else the tokens that stand in `share` of all rows or more.
 
     By the rule there are at most 1 / share times as many as a row has different tokens on average.
@@ -33,7 +34,8 @@ def corpus_stopwords(df: DataFrame, column: str, share: float = 0.1) -> list[str
         found = stopword_table(df.sparkSession, path)
     else:
         rows = df.count()
-        seen = df.select(F.explode(F.array_distinct(text.tokens(text.clean_text(F.col(column))))).alias("word"))
+        plain = F.col("t") if cleaned else text.clean_text(F.col("t"))
+        seen = spread(df.select(F.col(column).alias("t"))).select(F.explode(F.array_distinct(text.tokens(plain))).alias("word"))
         found = seen.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= F.lit(share) * rows)
     return sorted(r["word"] for r in found.select("word").collect())
 
@@ -50,9 +52,15 @@ def clean_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({c: text.clean_text(F.col(c) if c in df.columns else F.lit(None).cast("string")) for c in CLEANED})
 
 
-def build_documents(df: DataFrame, stopwords: Sequence[str] = ()) -> DataFrame:
-    """document, short_document (first 500 characters of the text) and document_nostop (document without `stopwords`) from title and text."""
+def build_documents(df: DataFrame, stopwords: Sequence[str] = (), cleaned: bool = False) -> DataFrame:
+    """document, short_document (first 500 characters of the text) and document_nostop (document without `stopwords`) from title and text.
+
+    cleaned: title and text are clean already, so that their joined form only has to be trimmed.
+    """
     title, body = F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))
+    if cleaned:
+        whole = df.withColumns({"document": F.trim(F.concat(title, F.lit(". "), body)), "short_document": F.trim(F.concat(title, F.lit(". "), F.substring(body, 1, 500)))})
+        return whole.withColumn("document_nostop", text.remove_stopwords(F.col("document"), list(stopwords)))
     return df.withColumns({
         "document": text.clean_text(F.concat(title, F.lit(". "), body)),
         "short_document": text.clean_text(F.concat(title, F.lit(". "), F.substring(body, 1, 500))),
@@ -88,10 +96,11 @@ def curate(raw: DataFrame, as_of: str, stopwords: Sequence[str] | None = None, p
 
     stopwords: those of the raw texts by rule unless given (see corpus_stopwords); page_dates: dates of stored pages by link.
     """
+    # written once, so that no later step cleans a text again
+    cleaned = materialize(clean_columns(spread(raw)), "cleaned")
     if stopwords is None:
-        whole = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("text", F.lit("")))
-        stopwords = corpus_stopwords(raw.select(whole.alias("whole")), "whole")
-    return keep_first_documents(build_documents(attach_dates(clean_columns(raw), as_of, page_dates), stopwords))
+        stopwords = corpus_stopwords(cleaned.select(F.concat("title", F.lit(". "), "text").alias("whole")), "whole", cleaned=True)
+    return keep_first_documents(build_documents(attach_dates(cleaned, as_of, page_dates), stopwords, cleaned=True))
 
 
 def domain_coverage(df: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 def terms(df: DataFrame, id_col: str, text_col: str, keys: list[str]) -> DataFrame:
     """(keys, id, term, tf): words of two or more letters, digits or underscores, in any script, and pairs of neighbouring ones, with their counts."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    w = df.select(*keys, F.col(id_col).alias("id"), words.alias("w"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("__t", F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    # documents are spread by id before they are opened: their terms are then counted where they stand
+    w = df.select(*keys, F.col(id_col).alias("id"), F.col(text_col).alias("__t")).repartition(parts, *keys, "id").select(*keys, "id", words.alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return w.select(*keys, "id", F.explode(F.concat("w", pairs)).alias("term")).groupBy(*keys, "id", "term").agg(F.count("*").alias("tf"))
 
@@ -25,6 +27,7 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, keys: list[str], min_df: in
     top = Window.partitionBy(*keys).orderBy(F.desc("cf"), "term")
     freq = freq.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_terms)
     idf = freq.join(n, keys).select(*keys, "term", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    # idf has at most max_terms rows a group; the planner broadcasts it where it is small
     w = t.join(idf, [*keys, "term"]).withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys, "id")))
     return w.withColumn("weight", F.col("w") / length).select(*keys, "id", "term", "weight")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text, topics, urls
 from ..operators import curation, temporal
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..sources.tables import index_reuse, index_state, table, validated, write
 from .common import register, stats
 
@@ -139,7 +139,7 @@ NOSTOP_WITH = """
 @query("X4_remove_stopwords", f"WITH {NOSTOP_WITH} SELECT row_idx, kept FROM ({NOSTOP_SQL})")
 def _(spark, d):
     """Whole documents, cleaned, without the stopwords of the corpus."""
-    df = table(spark, d, "clustered_data")
+    df = spread(table(spark, d, "clustered_data").select("row_idx", "document"))
     return df.select("row_idx", text.document_nostop(F.col("document"), curation.corpus_stopwords(df, "document")).alias("kept"))
 
 
@@ -368,7 +368,7 @@ def _(spark, d):
     WITH c AS (SELECT row_idx, crawled_at, {clean('title')} AS title, {DUCK_DOC} AS document FROM raw_articles)
     SELECT row_idx, title FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY row_idx, crawled_at) AS r FROM c WHERE title <> '' AND document <> '') WHERE r = 1""")
 def _(spark, d):
-    df = curation.build_documents(table(spark, d, "raw_articles")).withColumn("title", text.clean_text(F.col("title"))).withColumn("order", F.struct("row_idx", "crawled_at"))
+    df = curation.build_documents(spread(table(spark, d, "raw_articles"))).withColumn("title", text.clean_text(F.col("title"))).withColumn("order", F.struct("row_idx", "crawled_at"))
     return curation.keep_first_documents(df, "order").select("row_idx", "title")
 
 

@@ -65,6 +65,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where it has hardly more partitions than those; for steps whose work on a row far exceeds the exchange of it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a materialized table that nothing reads any more."""
     spark = df.sparkSession
