@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import tuesday_week, whole_days
+from ..session import materialize
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,11 @@ class BurstParams:
     least_buckets: int = 2
 
 
+def safe_div(a: Column, b: Column) -> Column:
+    """a / b, 0 where b is 0 or absent."""
+    return F.coalesce(F.when(b != 0, a / b), F.lit(0.0))
+
+
 def bucket_counts(df: DataFrame, step: int) -> DataFrame:
     """(cluster, bucket, c): dated articles per day (step 1) or per week from Tuesday (step 7)."""
     day = F.to_date("ts")
@@ -51,8 +57,13 @@ def burst_periods(levels: DataFrame, step: int) -> DataFrame:
 
 
 def burst_summary(df: DataFrame, step: int) -> DataFrame:
-    """(cluster, score, periods, duration): level reached, number of periods, their days or weeks."""
-    return burst_periods(burst_levels(bucket_counts(df, step), step), step).groupBy("cluster").agg(F.lit(1).cast("long").alias("score"), F.count("*").alias("periods"), F.sum("buckets").alias("duration"))
+    """burst_figures of articles."""
+    return burst_figures(bucket_counts(df, step), step)
+
+
+def burst_figures(counts: DataFrame, step: int) -> DataFrame:
+    """(cluster, score, periods, duration) of counts by bucket: level reached, number of periods, their days or weeks."""
+    return burst_periods(burst_levels(counts, step), step).groupBy("cluster").agg(F.lit(1).cast("long").alias("score"), F.count("*").alias("periods"), F.sum("buckets").alias("duration"))
 
 
 def dense_levels(df: DataFrame, step: int, p: BurstParams = BurstParams()) -> DataFrame:
@@ -71,31 +82,41 @@ def normalized_entropy(counts: DataFrame, key: str, count: str) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """The temporal measures of every cluster that has dated articles (noise, cluster -1, left out)."""
+    """The temporal measures of every cluster that has dated articles (noise, cluster -1, left out).
+
+    The articles are read twice: once into counts by cluster, day, site, source and topic, from which nearly everything
+    follows, and once for the spread of their days, which takes the hour of each.
+    """
     real = df.where("cluster <> -1")
-    dated = F.col("ts").isNotNull()
-    src = lambda s: F.count_if(dated & (F.col("timestamp_source") == s))
-    base = real.groupBy("cluster").agg(
-        F.count("*").alias("total_articles"), F.count_if(dated).alias("timestamped_articles"), src("url").alias("n_url"), src("text").alias("n_text"),
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.mode("topic_group", True).alias("topic_group"),
-        F.min_by(F.substring(F.coalesce("title", F.lit("")), 1, 200), "row_idx").alias("representative_title"),
+    cells = real.groupBy("cluster", F.to_date("ts").alias("day"), "domain", "timestamp_source", "topic_group").agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min(F.struct("row_idx", F.substring(F.coalesce("title", F.lit("")), 1, 200).alias("title"))).alias("first_row")
+    )
+    cells = materialize(cells, "temporal-cells")
+    dated = F.col("day").isNotNull()
+    held = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    base = cells.groupBy("cluster").agg(
+        F.sum("n").alias("total_articles"), held(dated).alias("timestamped_articles"), held(dated & (F.col("timestamp_source") == "url")).alias("n_url"), held(dated & (F.col("timestamp_source") == "text")).alias("n_text"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.min("first_row")["title"].alias("representative_title"),
     ).where("timestamped_articles > 0")
-    offsets = real.where(dated).join(base.select("cluster", "first_ts"), "cluster").groupBy("cluster").agg(F.coalesce(F.stddev_samp(whole_days(F.col("ts"), F.col("first_ts"))), F.lit(0.0)).alias("temporal_spread_days"))
-    daily = bucket_counts(real, 1)
+    topics = cells.where("topic_group is not null").groupBy("cluster", "topic_group").agg(F.sum("n").alias("n"))
+    topics = topics.groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("n"), "topic_group"))["topic_group"].alias("topic_group"))
+    offsets = real.where("ts is not null").join(base.select("cluster", "first_ts"), "cluster").groupBy("cluster").agg(F.coalesce(F.stddev_samp(whole_days(F.col("ts"), F.col("first_ts"))), F.lit(0.0)).alias("temporal_spread_days"))
+    daily = cells.where(dated).groupBy("cluster", F.col("day").alias("bucket")).agg(F.sum("n").alias("c"))
+    weekly = cells.where(dated).groupBy("cluster", tuesday_week(F.col("day")).alias("bucket")).agg(F.sum("n").alias("c"))
     gap = F.greatest(F.datediff("bucket", F.lag("bucket").over(Window.partitionBy("cluster").orderBy("bucket"))) - 1, F.lit(0))
     gap = F.when(F.lag("bucket").over(Window.partitionBy("cluster").orderBy("bucket")).isNotNull(), gap)
     days = daily.withColumn("gap", gap).groupBy("cluster").agg(
         F.count("*").alias("active_days"), F.max("c").alias("peak_day_count"), F.coalesce(F.median("gap"), F.lit(0.0)).alias("median_gap_days"), F.coalesce(F.max("gap"), F.lit(0)).cast("double").alias("max_gap_days")
     )
-    per_domain = real.groupBy("cluster", "domain").agg(F.count("*").alias("n"), F.count_if(dated).alias("n_dated"))
+    per_domain = cells.groupBy("cluster", "domain").agg(F.sum("n").alias("n"), held(dated).alias("n_dated"))
     domains = per_domain.groupBy("cluster").agg(
         F.count("*").alias("domain_count"), (F.max("n") / F.sum("n")).alias("top_domain_share"), F.count_if(F.col("n_dated") > 0).alias("timestamped_domain_count"),
         (F.max("n_dated") / F.greatest(F.sum("n_dated"), F.lit(1))).alias("top_timestamp_domain_share"),
     )
     entropy = normalized_entropy(per_domain, "cluster", "n").withColumnRenamed("entropy", "domain_entropy")
-    out = base.join(offsets, "cluster").join(days, "cluster").join(domains, "cluster").join(entropy, "cluster")
-    for step, name in ((1, "daily"), (7, "weekly")):
-        b = burst_summary(real, step).select("cluster", F.col("score").alias(f"burst_score_{name}"), F.col("periods").alias(f"burst_periods_{name}"), F.col("duration").alias(f"burst_duration_{name}"))
+    out = base.join(topics, "cluster", "left").join(offsets, "cluster").join(days, "cluster").join(domains, "cluster").join(entropy, "cluster")
+    for counts, step, name in ((daily, 1, "daily"), (weekly, 7, "weekly")):
+        b = burst_figures(counts, step).select("cluster", F.col("score").alias(f"burst_score_{name}"), F.col("periods").alias(f"burst_periods_{name}"), F.col("duration").alias(f"burst_duration_{name}"))
         out = out.join(b, "cluster", "left").fillna(0, [f"burst_score_{name}", f"burst_periods_{name}", f"burst_duration_{name}"])
     n, total = F.col("timestamped_articles"), F.col("total_articles")
     span = F.greatest(whole_days(F.col("last_ts"), F.col("first_ts")), F.lit(1))
@@ -104,11 +125,11 @@ def profile(df: DataFrame) -> DataFrame:
         .withColumn("timestamp_coverage_ratio", n / F.greatest(total, F.lit(1)))
         .withColumn("timestamp_source_url_share", F.col("n_url") / n).withColumn("timestamp_source_text_share", F.col("n_text") / n)
         .withColumn("timestamp_source_reliability", F.col("timestamp_source_url_share") + 0.35 * F.col("timestamp_source_text_share"))
-        .withColumn("active_day_ratio", F.col("active_days") / F.col("span_days"))
+        .withColumn("active_day_ratio", safe_div(F.col("active_days"), F.col("span_days")))
         .withColumn("peak_day_share", F.col("peak_day_count") / F.greatest(n, F.lit(1)))
-        .withColumn("concentration", n / F.col("span_days"))
+        .withColumn("concentration", safe_div(n, F.col("span_days")))
         .withColumn("peak_to_baseline_ratio", F.col("peak_day_count") / F.greatest(F.col("concentration"), F.lit(1e-9)))
-        .withColumn("days_per_timestamped_article", F.col("span_days") / n)
+        .withColumn("days_per_timestamped_article", safe_div(F.col("span_days"), n))
         .withColumn("compactness_index", F.col("active_day_ratio") * F.col("timestamp_coverage_ratio"))
         .withColumn("burst_stable", F.when((F.col("burst_duration_daily") > 0) & (F.col("burst_duration_weekly") > 0), 1).otherwise(0))
         .withColumn("burst_duration_share_daily", F.col("burst_duration_daily") / F.col("span_days"))

@@ -251,6 +251,19 @@ def _(spark, d):
     return table(spark, d, "clustered_data").select("row_idx", urls.unquote(F.col("url")).alias("plain"))
 
 
+@query("L5_query_parameters", """
+    WITH q AS (SELECT row_idx, list_filter(string_split(regexp_extract(url || CASE WHEN row_idx % 2 = 0 THEN CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'Page=' || row_idx || '&page=&x=1%202&x=' || row_idx ELSE '' END, '\\?([^#]*)', 1), '&'), lambda p: p <> '') AS p FROM clustered_data WHERE url IS NOT NULL AND NOT contains(url, '#')),
+        e AS (SELECT row_idx, i, lower(split_part(x, '=', 1)) AS k, regexp_replace(x, '^[^=]*=?', '') AS v FROM (SELECT row_idx, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM q))
+    SELECT row_idx, k AS name, arg_max(v, i) AS value FROM e GROUP BY row_idx, k""")
+def _(spark, d):
+    """Parameters of links by lower-case name, the last value of a repeated one; every second link gets some."""
+    u, odd = F.col("url"), F.col("row_idx") % 2 == 0
+    more = F.when(odd, F.concat(F.when(F.contains(u, F.lit("?")), "&").otherwise("?"), F.lit("Page="), F.col("row_idx").cast("string"), F.lit("&page=&x=1%202&x="), F.col("row_idx").cast("string"))).otherwise("")
+    df = table(spark, d, "clustered_data").where("url is not null and not contains(url, '#')")
+    found = urls.query_map(F.regexp_extract(F.concat(u, more), r"\?([^#]*)", 1))
+    return df.select("row_idx", F.explode(found).alias("name", "value"))
+
+
 # --- dates ------------------------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from ..functions import text
 from ..functions.text import ROUTINE_HEALTH_TERMS, normalize_text, shorten
 from ..operators import campaign, curation, density, evaluation, serving, text_model, vectors
 from ..operators.ranks import row_numbers
-from ..session import spread
+from ..session import materialize, spread
 from ..sources.tables import table
 from .common import articles_table as cd
 from .common import register, stats
@@ -664,7 +664,8 @@ def _(spark, d):
 
 def nostop(spark, d):
     df = spread(cd(spark, d).select("topic_group", "row_idx", "cluster", "document"))
-    return df.select("topic_group", "row_idx", "cluster", text.document_nostop(F.col("document"), curation.corpus_stopwords(df, "document")).alias("document_nostop"))
+    kept = text.document_nostop(F.col("document"), curation.corpus_stopwords(df, "document"))
+    return materialize(df.select("topic_group", "row_idx", "cluster", kept.alias("document_nostop")), "documents-nostop")  # read several times
 
 
 #: TF-IDF of documents without stopwords by topic, in SQL.
