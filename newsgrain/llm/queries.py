@@ -13,6 +13,7 @@ from .grid_clusters import group_pairs, group_report, occurrence_groups
 from .leaks import leaked_spans, leaks
 from .lookalike import look_classes, look_pairs
 from .near_dups import classes, near_duplicates, row_pairs
+from .oracle import ORACLE as EXACT
 from .permutation_index import nearest, similar_pairs
 from .personal import personal_data, redacted
 from .ranking import combined_ranking, weighting_report
@@ -144,7 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_redacted": p9_redacted,
 }
 _STANDING = ", ".join(f"(rank() OVER (ORDER BY CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END NULLS FIRST) - 1) / n AS s{k}" for k, c in enumerate(SCORES))
-ORACLE: dict[str, str] = {
+ORACLE: dict[str, str] = EXACT | {
     "p1_found": """
         WITH v AS (SELECT topic_group AS t, topic_row_idx AS i, vec FROM article_vectors
                    WHERE vec IS NOT NULL AND len(list_filter(vec, lambda x: x IS NULL)) = 0
