@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import queries_core, queries_more, queries_serving
+from . import queries_core, queries_more, queries_serving, queries_stream
 
-MODULES = [queries_core, queries_serving, queries_more]
+MODULES = [queries_core, queries_serving, queries_more, queries_stream]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
