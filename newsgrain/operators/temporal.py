@@ -88,19 +88,24 @@ def profile(df: DataFrame) -> DataFrame:
     follows, and once for the spread of their days, which takes the hour of each.
     """
     real = df.where("cluster <> -1")
-    cells = real.groupBy("cluster", F.to_date("ts").alias("day"), "domain", "timestamp_source", "topic_group").agg(
+    source = F.lower(F.coalesce("timestamp_source", F.lit("missing"))).alias("source")
+    cells = real.groupBy("cluster", F.to_date("ts").alias("day"), "domain", source, "topic_group").agg(
         F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min(F.struct("row_idx", F.substring(F.coalesce("title", F.lit("")), 1, 200).alias("title"))).alias("first_row")
     )
     cells = materialize(cells, "temporal-cells")
     dated = F.col("day").isNotNull()
     held = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     base = cells.groupBy("cluster").agg(
-        F.sum("n").alias("total_articles"), held(dated).alias("timestamped_articles"), held(dated & (F.col("timestamp_source") == "url")).alias("n_url"), held(dated & (F.col("timestamp_source") == "text")).alias("n_text"),
+        F.sum("n").alias("total_articles"), held(dated).alias("timestamped_articles"), *[held(F.col("source") == s).alias(f"n_{s}") for s in ("url", "text", "missing")],
         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.min("first_row")["title"].alias("representative_title"),
     ).where("timestamped_articles > 0")
-    topics = cells.where("topic_group is not null").groupBy("cluster", "topic_group").agg(F.sum("n").alias("n"))
+    topics = cells.where(dated & F.col("topic_group").isNotNull()).groupBy("cluster", "topic_group").agg(F.sum("n").alias("n"))
     topics = topics.groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("n"), "topic_group"))["topic_group"].alias("topic_group"))
-    offsets = real.where("ts is not null").join(base.select("cluster", "first_ts"), "cluster").groupBy("cluster").agg(F.coalesce(F.stddev_samp(whole_days(F.col("ts"), F.col("first_ts"))), F.lit(0.0)).alias("temporal_spread_days"))
+    # from sums of whole days, which are the same however the rows are divided
+    day = whole_days(F.col("ts"), F.col("first_ts"))
+    sums = real.where("ts is not null").join(base.select("cluster", "first_ts"), "cluster").groupBy("cluster").agg(F.count("*").alias("k"), F.sum(day).cast("double").alias("s"), F.sum(day * day).cast("double").alias("q"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("q") - F.col("s") * F.col("s") / F.col("k")) / (F.col("k") - 1))
+    offsets = sums.select("cluster", F.when(F.col("k") > 1, spread).otherwise(0.0).alias("temporal_spread_days"))
     daily = cells.where(dated).groupBy("cluster", F.col("day").alias("bucket")).agg(F.sum("n").alias("c"))
     weekly = cells.where(dated).groupBy("cluster", tuesday_week(F.col("day")).alias("bucket")).agg(F.sum("n").alias("c"))
     gap = F.greatest(F.datediff("bucket", F.lag("bucket").over(Window.partitionBy("cluster").orderBy("bucket"))) - 1, F.lit(0))
@@ -123,7 +128,7 @@ def profile(df: DataFrame) -> DataFrame:
     return (
         out.withColumn("span_days", span).withColumn("first_seen", F.to_date("first_ts")).withColumn("last_seen", F.to_date("last_ts"))
         .withColumn("timestamp_coverage_ratio", n / F.greatest(total, F.lit(1)))
-        .withColumn("timestamp_source_url_share", F.col("n_url") / n).withColumn("timestamp_source_text_share", F.col("n_text") / n)
+        .withColumns({f"timestamp_source_{s}_share": safe_div(F.col(f"n_{s}"), total) for s in ("url", "text", "missing")})
         .withColumn("timestamp_source_reliability", F.col("timestamp_source_url_share") + 0.35 * F.col("timestamp_source_text_share"))
         .withColumn("active_day_ratio", safe_div(F.col("active_days"), F.col("span_days")))
         .withColumn("peak_day_share", F.col("peak_day_count") / F.greatest(n, F.lit(1)))
@@ -134,7 +139,7 @@ def profile(df: DataFrame) -> DataFrame:
         .withColumn("burst_stable", F.when((F.col("burst_duration_daily") > 0) & (F.col("burst_duration_weekly") > 0), 1).otherwise(0))
         .withColumn("burst_duration_share_daily", F.col("burst_duration_daily") / F.col("span_days"))
         .withColumn("burst_duration_share_weekly", F.least(7 * F.col("burst_duration_weekly") / F.col("span_days"), F.lit(1.0)))
-        .drop("n_url", "n_text", "first_ts", "last_ts")
+        .drop("n_url", "n_text", "n_missing", "first_ts", "last_ts")
     )
 
 
@@ -180,12 +185,40 @@ def multiyear_repair(stats: DataFrame) -> DataFrame:
 
     Robustly recurring: 5 or more daily periods, 50 or more articles, 20 or more active days, 3 or more sites.
     """
-    robust = (F.col("burst_periods_daily") >= 5) & (F.col("total_articles") >= 50) & (F.col("active_days") >= 20) & (F.col("domain_count") >= 3)
-    fresh = penalties()["long_sparse_span_penalty"]
-    lifted = F.when(robust, 0.0).otherwise(fresh)
-    total = F.col("suspicion_penalty_total") - fresh + lifted
-    gated = F.col("suspicion_score_raw") * F.col("support_weight") * F.col("coverage_weight") * F.col("source_weight") * F.col("domain_weight")
-    return stats.withColumn("robust_recurring", robust).withColumn("repaired_score", F.round(F.greatest(F.lit(0.0), gated - total), 3))
+    zero = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0))
+    robust = (zero("burst_periods_daily") >= 5) & (zero("total_articles") >= 50) & (zero("active_days") >= 20) & (zero("domain_count") >= 3)
+    span = zero("span_days")
+    fresh = F.log1p(span) * F.greatest(F.lit(0.0), span - 90) / 90 * (1 - zero("active_day_ratio")) * (1 - zero("timestamp_coverage_ratio")) * 1.8
+    total = zero("suspicion_penalty_total") - zero("long_sparse_span_penalty") + F.when(robust, 0.0).otherwise(fresh)
+    gates = zero("support_weight") * zero("coverage_weight") * zero("source_weight") * zero("domain_weight")
+    return stats.withColumn("robust_recurring", robust).withColumn("repaired_score", F.round(F.greatest(F.lit(0.0), zero("suspicion_score_raw") * gates - total), 3))
+
+
+#: The columns of the temporal table in its order, but for those of campaign scoring, which follow.
+TABLE_COLUMNS = (
+    "cluster", "topic_group", "total_articles", "timestamped_articles", "timestamp_coverage_ratio", "timestamp_source_url_share", "timestamp_source_text_share", "timestamp_source_missing_share", "timestamp_source_reliability",
+    "domain_count", "top_domain_share", "timestamped_domain_count", "top_timestamp_domain_share", "domain_entropy", "first_seen", "last_seen", "span_days", "temporal_spread_days", "active_days", "active_day_ratio",
+    "median_gap_days", "max_gap_days", "days_per_timestamped_article", "compactness_index", "peak_day_count", "peak_day_share", "peak_to_baseline_ratio", "burst_score_daily", "burst_duration_daily", "burst_periods_daily",
+    "burst_duration_share_daily", "burst_score_weekly", "burst_duration_weekly", "burst_periods_weekly", "burst_duration_share_weekly", "burst_stable", "concentration", "support_weight", "coverage_weight", "source_weight",
+    "domain_weight", "long_sparse_span_penalty", "single_domain_penalty", "source_reliability_penalty", "suspicion_score_raw", "suspicion_penalty_total", "suspicion_score", "representative_title", "burst_score",
+    "burst_duration_days", "article_count", "num_burst_periods",
+)
+CAMPAIGN_COLUMNS = (
+    "organic_event_title", "public_affairs_title", "public_affairs_signal", "campaign_support_weight", "campaign_recurrence_weight", "campaign_active_days_weight", "campaign_source_diversity_weight", "campaign_span_weight",
+    "campaign_narrative_weight", "campaign_candidate_score", "campaign_candidate",
+)
+#: The places the doubles of the table are rounded to, where not four.
+PLACES = {"temporal_spread_days": 2, "median_gap_days": 2, "max_gap_days": 2, "suspicion_score": 3}
+
+
+def temporal_table(df: DataFrame) -> DataFrame:
+    """The temporal table of articles: profiles, scores, the older names of four columns and the campaign columns, by falling score."""
+    from .campaign import campaign_columns
+
+    s = suspicion(profile(df))
+    s = s.withColumns({c: F.round(c, PLACES.get(c, 4)) for c, t in s.dtypes if t == "double"})
+    s = s.withColumns({"burst_score": F.col("burst_score_daily"), "burst_duration_days": F.col("burst_duration_daily"), "article_count": F.col("total_articles"), "num_burst_periods": F.col("burst_periods_daily")})
+    return campaign_columns(s).select(*TABLE_COLUMNS, *CAMPAIGN_COLUMNS).orderBy(F.desc("suspicion_score"), "cluster")
 
 
 def burst_off(stats: DataFrame) -> DataFrame:

@@ -534,12 +534,13 @@ def _(spark, d):
 
 
 @query("A16_source_shares", f"""
-    WITH {ARTICLES} SELECT cluster, round(count(*) FILTER (timestamp_source = 'url') / count(*)::DOUBLE, 6) AS url_share, round(count(*) FILTER (timestamp_source = 'text') / count(*)::DOUBLE, 6) AS text_share,
-        round((count(*) FILTER (timestamp_source = 'url') + 0.35::DOUBLE * count(*) FILTER (timestamp_source = 'text')) / count(*), 6) AS reliability
-    FROM articles WHERE ts IS NOT NULL AND cluster <> -1 GROUP BY cluster""")
+    WITH {ARTICLES} SELECT cluster, round(count(*) FILTER (s = 'url') / count(*)::DOUBLE, 6) AS url_share, round(count(*) FILTER (s = 'text') / count(*)::DOUBLE, 6) AS text_share, round(count(*) FILTER (s = 'missing') / count(*)::DOUBLE, 6) AS missing_share,
+        round((count(*) FILTER (s = 'url') + 0.35::DOUBLE * count(*) FILTER (s = 'text')) / count(*), 6) AS reliability
+    FROM (SELECT *, lower(coalesce(timestamp_source, 'missing')) AS s FROM articles WHERE cluster <> -1) GROUP BY cluster HAVING count(ts) > 0""")
 def _(spark, d):
     p = temporal.profile(articles(spark, d))
-    return p.select("cluster", F.round("timestamp_source_url_share", 6).alias("url_share"), F.round("timestamp_source_text_share", 6).alias("text_share"), F.round("timestamp_source_reliability", 6).alias("reliability"))
+    share = lambda c: F.round(f"timestamp_source_{c}_share", 6).alias(f"{c}_share")
+    return p.select("cluster", share("url"), share("text"), share("missing"), F.round("timestamp_source_reliability", 6).alias("reliability"))
 
 
 @query("A17_W6_gaps", f"""
@@ -551,7 +552,7 @@ def _(spark, d):
 
 
 @query("A9_topic_mode", f"""
-    WITH {ARTICLES}, n AS (SELECT cluster, topic_group, count(*) AS n FROM articles WHERE cluster <> -1 AND cluster IN (SELECT cluster FROM articles WHERE ts IS NOT NULL) GROUP BY 1, 2)
+    WITH {ARTICLES}, n AS (SELECT cluster, topic_group, count(*) AS n FROM articles WHERE cluster <> -1 AND ts IS NOT NULL GROUP BY 1, 2)
     SELECT cluster, topic_group FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, topic_group) AS r FROM n) WHERE r = 1""")
 def _(spark, d):
     return temporal.profile(articles(spark, d)).select("cluster", "topic_group")
@@ -597,13 +598,13 @@ PROFILE_WITH = f"""
     {_burst_sql(1).replace('b AS', 'bd AS').replace('FROM b ', 'FROM bd ').replace('m AS', 'md AS').replace('FROM m)', 'FROM md)').replace('l AS', 'ld AS').replace('FROM l ', 'FROM ld ').replace('i AS', 'id AS')},
     {_burst_sql(7).replace('b AS', 'bw AS').replace('FROM b ', 'FROM bw ').replace('m AS', 'mw AS').replace('FROM m)', 'FROM mw)').replace('l AS', 'lw AS').replace('FROM l ', 'FROM lw ').replace('i AS', 'iw AS')},
     daily AS (SELECT cluster, CAST(1 AS BIGINT) AS score, count(DISTINCT g) AS periods, count(*) AS duration FROM id GROUP BY 1), weekly AS (SELECT cluster, CAST(1 AS BIGINT) AS score, count(DISTINCT g) AS periods, count(*) AS duration FROM iw GROUP BY 1),
-    base AS (SELECT cluster, count(*) AS total_articles, count(ts) AS n, min(ts) AS f, max(ts) AS t, count(ts) FILTER (timestamp_source = 'url') AS nu, count(ts) FILTER (timestamp_source = 'text') AS nt FROM real GROUP BY 1 HAVING count(ts) > 0),
+    base AS (SELECT cluster, count(*) AS total_articles, count(ts) AS n, min(ts) AS f, max(ts) AS t, count(*) FILTER (lower(timestamp_source) = 'url') AS nu, count(*) FILTER (lower(timestamp_source) = 'text') AS nt, count(*) FILTER (lower(coalesce(timestamp_source, 'missing')) = 'missing') AS nm FROM real GROUP BY 1 HAVING count(ts) > 0),
     act AS (SELECT cluster, count(*) AS active_days, max(c) AS peak FROM bd GROUP BY 1),
     pd AS (SELECT cluster, domain, count(*) AS n, count(ts) AS nd FROM real GROUP BY 1, 2),
-    dom AS (SELECT cluster, count(*) AS domain_count, max(n) / CAST(sum(n) AS DOUBLE) AS top_share, max(nd) / CAST(greatest(sum(nd), 1) AS DOUBLE) AS top_dated FROM pd GROUP BY 1),
-    top AS (SELECT cluster, topic_group FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, topic_group) AS r FROM (SELECT cluster, topic_group, count(*) AS n FROM real GROUP BY 1, 2)) WHERE r = 1),
-    prof AS (SELECT base.*, active_days, peak, domain_count, top_share, top_dated, topic_group, greatest(floor((epoch_us(t) - epoch_us(f)) / 86400000000), 1) AS span, n / total_articles::DOUBLE AS cover, nu / n::DOUBLE + 0.35::DOUBLE * (nt / n::DOUBLE) AS rel,
-            coalesce(daily.score, 0) AS bsd, coalesce(daily.periods, 0) AS bpd, coalesce(daily.duration, 0) AS bdd, coalesce(weekly.score, 0) AS bsw, coalesce(weekly.duration, 0) AS bdw
+    dom AS (SELECT cluster, count(*) AS domain_count, max(n) / CAST(sum(n) AS DOUBLE) AS top_share, max(nd) / CAST(greatest(sum(nd), 1) AS DOUBLE) AS top_dated, count(*) FILTER (nd > 0) AS dated_domains FROM pd GROUP BY 1),
+    top AS (SELECT cluster, topic_group FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, topic_group) AS r FROM (SELECT cluster, topic_group, count(*) AS n FROM real WHERE ts IS NOT NULL GROUP BY 1, 2)) WHERE r = 1),
+    prof AS (SELECT base.*, active_days, peak, domain_count, top_share, top_dated, dated_domains, topic_group, greatest(floor((epoch_us(t) - epoch_us(f)) / 86400000000), 1) AS span, n / total_articles::DOUBLE AS cover, nu / total_articles::DOUBLE + 0.35::DOUBLE * (nt / total_articles::DOUBLE) AS rel,
+            coalesce(daily.score, 0) AS bsd, coalesce(daily.periods, 0) AS bpd, coalesce(daily.duration, 0) AS bdd, coalesce(weekly.score, 0) AS bsw, coalesce(weekly.periods, 0) AS bpw, coalesce(weekly.duration, 0) AS bdw
         FROM base JOIN act USING (cluster) JOIN dom USING (cluster) JOIN top USING (cluster) LEFT JOIN daily ON daily.cluster = base.cluster LEFT JOIN weekly ON weekly.cluster = base.cluster),
     terms AS (SELECT *, active_days / span AS adr, n / span AS conc FROM prof),
     scored AS (SELECT *, 4 * bsd + 3 * bsw + 4 * CASE WHEN bdd > 0 AND bdw > 0 THEN 1 ELSE 0 END + 2 * ln(1 + conc) + 2.5::DOUBLE * ln(1 + peak / greatest(conc, 1e-9::DOUBLE)) + 3 * (peak / greatest(n, 1)::DOUBLE) + 2.5::DOUBLE * (bdd / span)
@@ -622,9 +623,31 @@ def _(spark, d):
     return s.select("cluster", "topic_group", "total_articles", "timestamped_articles", "span_days", "active_days", "domain_count", "burst_score_daily", "burst_score_weekly", F.round("timestamp_source_reliability", 6).alias("reliability"), F.round("suspicion_score_raw", 5).alias("raw"), F.col("suspicion_penalty_total").alias("penalty"), "suspicion_score")
 
 
+# DuckDB rounds doubles by multiplying, which lifts a value just below a half (source_weight): as a decimal it is rounded as it stands
+@query("B6_temporal_table", f"""
+    WITH {PROFILE_WITH}, gaps AS (SELECT cluster, greatest(datediff('day', lag(bucket) OVER (PARTITION BY cluster ORDER BY bucket), bucket) - 1, 0) AS gap, lag(bucket) OVER (PARTITION BY cluster ORDER BY bucket) AS prev FROM bd),
+        gap AS (SELECT cluster, coalesce(median(gap) FILTER (prev IS NOT NULL), 0.0) AS med, CAST(coalesce(max(gap) FILTER (prev IS NOT NULL), 0) AS DOUBLE) AS mx FROM gaps GROUP BY 1),
+        ent AS (SELECT cluster, CASE WHEN count(*) <= 1 THEN 0.0::DOUBLE ELSE round(sum(-p * ln(p + 1e-12::DOUBLE)) / ln(count(*)), 4) END AS entropy FROM (SELECT cluster, n / CAST(sum(n) OVER (PARTITION BY cluster) AS DOUBLE) AS p FROM pd) GROUP BY 1),
+        spr AS (SELECT r.cluster, coalesce(stddev_samp(floor((epoch_us(ts) - epoch_us(f)) / 86400000000)), 0.0) AS spread FROM real r JOIN base USING (cluster) WHERE ts IS NOT NULL GROUP BY 1),
+        ttl AS (SELECT cluster, left(coalesce(arg_min(coalesce(title, ''), row_idx), ''), 200) AS title FROM real GROUP BY 1)
+    SELECT cluster, topic_group, total_articles, n AS timestamped_articles, round(cover, 4) AS timestamp_coverage_ratio, round(nu / total_articles::DOUBLE, 4) AS timestamp_source_url_share, round(nt / total_articles::DOUBLE, 4) AS timestamp_source_text_share,
+        round(nm / total_articles::DOUBLE, 4) AS timestamp_source_missing_share, round(rel, 4) AS timestamp_source_reliability, domain_count, round(top_share, 4) AS top_domain_share, dated_domains AS timestamped_domain_count, round(top_dated, 4) AS top_timestamp_domain_share, entropy AS domain_entropy,
+        CAST(f AS DATE) AS first_seen, CAST(t AS DATE) AS last_seen, CAST(span AS BIGINT) AS span_days, round(spread, 2) AS temporal_spread_days, active_days, round(adr, 4) AS active_day_ratio, round(med, 2) AS median_gap_days, round(mx, 2) AS max_gap_days, round(span / n, 4) AS days_per_timestamped_article,
+        round(adr * cover, 4) AS compactness_index, peak AS peak_day_count, round(peak / n::DOUBLE, 4) AS peak_day_share, round(peak / greatest(conc, 1e-9::DOUBLE), 4) AS peak_to_baseline_ratio, bsd AS burst_score_daily, bdd AS burst_duration_daily, bpd AS burst_periods_daily, round(bdd / span, 4) AS burst_duration_share_daily,
+        bsw AS burst_score_weekly, bdw AS burst_duration_weekly, bpw AS burst_periods_weekly, round(least(7 * bdw / span, 1), 4) AS burst_duration_share_weekly, CASE WHEN bdd > 0 AND bdw > 0 THEN 1 ELSE 0 END AS burst_stable, round(conc, 4) AS concentration, round(least(1, n / 10.0::DOUBLE), 4) AS support_weight,
+        round(least(1, 0.35::DOUBLE + 0.65::DOUBLE * cover), 4) AS coverage_weight, CAST(round(CAST(0.45::DOUBLE + 0.55::DOUBLE * least(1, rel) AS DECIMAL(38, 16)), 4) AS DOUBLE) AS source_weight, round(0.60::DOUBLE + 0.40::DOUBLE * least(1, 1 - greatest(0, top_share - 0.5)), 4) AS domain_weight,
+        round(ln(1 + span) * greatest(0, span - 90) / 90 * (1 - adr) * (1 - cover) * 1.8::DOUBLE, 4) AS long_sparse_span_penalty, round(4 * greatest(0.0::DOUBLE, top_share - 0.5) + CASE WHEN domain_count = 1 THEN 1.75 ELSE 0 END + 2 * greatest(0.0::DOUBLE, top_dated - 0.6), 4) AS single_domain_penalty,
+        round(3 * (1 - rel), 4) AS source_reliability_penalty, round(raw, 4) AS suspicion_score_raw, round(pen, 4) AS suspicion_penalty_total, round(greatest(0.0::DOUBLE, raw * gate - pen), 3) AS suspicion_score, title AS representative_title, bsd AS burst_score, bdd AS burst_duration_days,
+        total_articles AS article_count, bpd AS num_burst_periods
+    FROM scored JOIN gap USING (cluster) JOIN ent USING (cluster) JOIN spr USING (cluster) JOIN ttl USING (cluster)""")
+def _(spark, d):
+    """The temporal table of the articles, without its campaign columns (which B8 and B14 check)."""
+    return temporal.temporal_table(articles(spark, d)).select(*temporal.TABLE_COLUMNS)
+
+
 REPAIRED_SQL = f"""
     SELECT cluster, burst_periods_daily >= 5 AND total_articles >= 50 AND active_days >= 20 AND domain_count >= 3 AS robust_recurring,
-        round(greatest(0.0::DOUBLE, suspicion_score_raw * support_weight * coverage_weight * source_weight * domain_weight - (suspicion_penalty_total - p2
+        round(greatest(0.0::DOUBLE, suspicion_score_raw * support_weight * coverage_weight * source_weight * domain_weight - (coalesce(suspicion_penalty_total, 0) - coalesce(long_sparse_span_penalty, 0)
             + CASE WHEN burst_periods_daily >= 5 AND total_articles >= 50 AND active_days >= 20 AND domain_count >= 3 THEN 0.0 ELSE p2 END)), 3) AS repaired_score
     FROM (SELECT *, {_PEN} FROM cluster_temporal_stats)"""
 

@@ -154,3 +154,17 @@ def test_streams(spark, tmp_path):
 def test_registered_function(spark):
     register(spark)
     assert spark.sql("SELECT strip_diacritics_exact('ﬁnă') AS x, strip_diacritics_exact(NULL) AS y").collect()[0].asDict() == {"x": "fina", "y": None}
+
+
+ARTICLES = "row_idx long, cluster long, ts timestamp, domain string, timestamp_source string, topic_group string, title string"
+
+
+def test_temporal_table(spark):
+    from newsgrain.operators import temporal
+
+    rows = [(i, 1, DAY + dt.timedelta(days=i % 3), "a.md", "url" if i % 2 else None, "x", f"t{i}") for i in range(8)] + [(20, 1, None, "b.md", "Missing", "y", "late"), (30, -1, DAY, "a.md", "url", "x", "noise"), (31, 2, None, "a.md", "url", "x", "undated")]
+    (r,) = temporal.temporal_table(spark.createDataFrame(rows, ARTICLES)).collect()
+    assert len(r) == 63 and (r["cluster"], r["total_articles"], r["timestamped_articles"], r["representative_title"], r["topic_group"]) == (1, 9, 8, "t0", "x")
+    assert (r["timestamp_source_url_share"], r["timestamp_source_missing_share"]) == (round(4 / 9, 4), round(5 / 9, 4))
+    assert r["burst_score"] == r["burst_score_daily"] and r["article_count"] == 9
+    assert temporal.temporal_table(spark.createDataFrame([], ARTICLES)).columns == [*temporal.TABLE_COLUMNS, *temporal.CAMPAIGN_COLUMNS]
