@@ -6,16 +6,23 @@ partners are no family names, until nothing changes. Heads of bodies ("Union", "
 in longer runs, places because they stand alone. A few common names are given beforehand, for corpora too small to learn
 from; any other set may take their place.
 
-Defined cases: no texts give the names given beforehand; texts without capitals teach nothing.
+All texts are counted, whatever their number and length.
+
+Defined cases: no texts give the names given beforehand; null texts and texts without capitals teach nothing.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import drop_materialized, materialize
 from .fold import LOOKALIKES
 
 #: Some common given names, without marks, in lower case.
@@ -26,7 +33,8 @@ COMMON = frozenset(
     "philip richard robert rose ruth sarah simon thomas walter william александр алексей анна антон борис вера виктор владимир галина дмитрий екатерина елена иван игорь ирина лидия людмила марина "
     "михаил надежда наталья николай олег ольга павел светлана сергей тимур федор юлия".split()
 )
-VARIETY, EXCLUSIVE, SHARE, ALONE = 4, 0.6, 0.5, 0.3
+VARIETY, EXCLUSIVE, SHARE, ALONE, FIRST = 4, 0.6, 0.5, 0.3, 0.6
+COUNTS = ["lower", "mentions", "first", "second", "near", "two"]
 
 
 @lru_cache(300_000)
@@ -47,52 +55,164 @@ def _word():
     return regex.compile(r"[\p{L}\p{M}'’]+(?:-[\p{L}\p{M}'’]+)*")
 
 
-def _runs(text: str, lower: Counter) -> Iterable[list[str]]:
-    """The capitalised runs of a text, folded; counts the words in lower case."""
-    run: list[str] = []
-    end = 0
-    for m in _word().finditer(text):
-        f, shape = form(m.group())
-        if shape == "low" or len(f) < 2:
-            lower[f] += 1
-            if run:
-                yield run
+#: Distinct pieces and runs a task counts before it sends them.
+SENT_COUNTS = 300_000
+
+
+class _Pieces(dict):
+    """What stands between two spaces, remembered by spelling: its words, folded, those in lower case apart.
+
+    (words in lower case, chains of capitalised words, whether the first chain begins and the last one ends the piece).
+    """
+
+    def __missing__(self, piece: str) -> tuple[list[str], list[list[str]], bool, bool] | None:
+        lower: list[str] = []
+        chains: list[list[str]] = []
+        first = last = False
+        for m in _word().finditer(piece):
+            f, shape = form(m.group())
+            if shape == "low" or len(f) < 2:
+                lower.append(f)
+                continue
+            first |= m.start() == 0
+            last = m.end() == len(piece)
+            chains.append([f])
+        found = (lower, chains, first, last)
+        if len(self) < SENT_COUNTS:
+            self[piece] = found
+        return found
+
+
+def counted(texts: Iterable[str]) -> Iterator[tuple[Counter, Counter]]:
+    """(words in lower case, capitalised runs with single spaces between their words), folded, in as many parts as memory asks for."""
+    pieces, known = Counter(), _Pieces()
+    runs: Counter = Counter()
+
+    def part() -> tuple[Counter, Counter]:
+        lower: Counter = Counter()
+        for piece, n in pieces.items():
+            for f in known[piece][0]:
+                lower[f] += n
+        return lower, runs
+
+    for text in texts:
+        split = text.split(" ")
+        pieces.update(split)
+        run: list[str] = []
+        for piece in split:
+            _, chains, first, last = known[piece]
+            if not chains:
+                if run:
+                    runs[tuple(run)] += 1
+                    run = []
+                continue
+            if run and not first:
+                runs[tuple(run)] += 1
+                run = []
+            run += chains[0]
+            for chain in chains[1:]:
+                runs[tuple(run)] += 1
+                run = [*chain]
+            if not last:
+                runs[tuple(run)] += 1
                 run = []
-            continue
-        if run and text[end : m.start()] != " ":
-            yield run
-            run = []
-        run.append(f)
-        end = m.end()
-    if run:
-        yield run
+        if run:
+            runs[tuple(run)] += 1
+        if len(pieces) + len(runs) > SENT_COUNTS:
+            yield part()
+            pieces, runs = Counter(), Counter()
+    yield part()
+
+
+def _measured(lower: Counter, runs: Counter) -> tuple[dict[str, list[int]], dict[tuple[str, str], list[int]]]:
+    """(word: in lower case, in runs, first and second of runs of two), (two words: side by side, as a run of two; both ways)."""
+    words: defaultdict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    pairs: defaultdict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+    for f, n in lower.items():
+        words[f][0] += n
+    for run, n in runs.items():
+        for f in run:
+            words[f][1] += n
+        for a, b in zip(run, run[1:]):
+            if a != b:
+                two = n if len(run) == 2 else 0
+                words[a][2] += two
+                words[b][3] += two
+                for pair in ((a, b), (b, a)):
+                    pairs[pair][0] += n
+                    pairs[pair][1] += two
+    return words, pairs
 
 
 def learnt_given_names(texts: Iterable[str], known: frozenset[str] = COMMON) -> frozenset[str]:
     """The names known beforehand and those the texts teach (folded, in lower case)."""
-    mentions, lower, first, second = Counter(), Counter(), Counter(), Counter()
-    beside: defaultdict[str, Counter] = defaultdict(Counter)
+    every_lower, every_run = Counter(), Counter()
+    for lower, runs in counted(texts):
+        every_lower.update(lower)
+        every_run.update(runs)
+    words, pairs = _measured(every_lower, every_run)
+    beside: defaultdict[str, dict[str, int]] = defaultdict(dict)
     partners: defaultdict[str, set] = defaultdict(set)
-    for text in texts:
-        for run in _runs(text, lower):
-            mentions.update(run)
-            for a, b in zip(run, run[1:]):
-                if a != b:
-                    beside[a][b] += 1
-                    beside[b][a] += 1
-            if len(run) == 2 and run[0] != run[1]:
-                a, b = run
-                first[a] += 1
-                second[b] += 1
-                partners[a].add(b)
-                partners[b].add(a)
-    given = {t for t, p in partners.items() if len(p) >= VARIETY and first[t] >= 0.6 * (first[t] + second[t]) and lower[t] < mentions[t]}
+    for (a, b), (near, two) in pairs.items():
+        beside[a][b] = near
+        if two:
+            partners[a].add(b)
+    given = {t for t, p in partners.items() if len(p) >= VARIETY and words[t][2] >= FIRST * (words[t][2] + words[t][3]) and words[t][0] < words[t][1]}
     while True:
         family = {
             u for u in partners
-            if u not in given and first[u] + second[u] >= ALONE * mentions[u] and sum(n for g, n in beside[u].items() if g in given) >= EXCLUSIVE * mentions[u]
+            if u not in given and words[u][2] + words[u][3] >= ALONE * words[u][1] and sum(n for g, n in beside[u].items() if g in given) >= EXCLUSIVE * words[u][1]
         }
-        left = {t for t in given if len(partners[t] & family) >= VARIETY and sum(n for u, n in beside[t].items() if u in family) >= SHARE * mentions[t]}
+        left = {t for t in given if len(partners[t] & family) >= VARIETY and sum(n for u, n in beside[t].items() if u in family) >= SHARE * words[t][1]}
         if left == given:
             return known | frozenset(given)
         given = left
+
+
+def corpus_given_names(texts: DataFrame, text_col: str, cleaned: Callable[[str], str], known: frozenset[str] = COMMON) -> frozenset[str]:
+    """`learnt_given_names` of all rows of a table; cleaned: what is done to a text first.
+
+    Words and pairs are counted where the texts stand and added up in tables; the rounds are joins of the pairs in which a
+    possible given name stands. Only the names themselves reach the driver.
+    """
+    spark = texts.sparkSession
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (cleaned(t) for batch in batches for t in batch.column(0).to_pylist())
+        for lower, runs in counted(every):
+            words, pairs = _measured(lower, runs)
+            rows = [(w, None, *n, 0, 0) for w, n in words.items()] + [(a, b, 0, 0, 0, 0, *n) for (a, b), n in pairs.items()]
+            for lo in range(0, len(rows), SENT_COUNTS):
+                columns = zip(*rows[lo : lo + SENT_COUNTS])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 2 else pa.int64()) for k, c in enumerate(columns)], names=["word", "other", *COUNTS])
+
+    parts = texts.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string")).mapInArrow(work, "word string, other string, " + ", ".join(f"{c} long" for c in COUNTS))
+    counts = materialize(parts.groupBy("word", "other").agg(*(F.sum(c).alias(c) for c in COUNTS)), "names-counts")
+    counts.createOrReplaceTempView("names_counts")
+    given = materialize(spark.sql(f"""
+        SELECT w.word FROM names_counts w JOIN (SELECT word FROM names_counts WHERE other IS NOT NULL AND two > 0 GROUP BY word HAVING count(*) >= {VARIETY}) v ON v.word = w.word
+        WHERE w.other IS NULL AND w.first >= {FIRST}D * (w.first + w.second) AND w.lower < w.mentions"""), "names-given")
+    given.createOrReplaceTempView("names_given")
+    # a: possible given names; possible: whether b may be a family name by its runs of two
+    pairs = materialize(spark.sql(f"""
+        SELECT p.word AS a, p.other AS b, p.near, p.two, a.mentions AS na, b.mentions AS nb, b.first + b.second > 0 AND b.first + b.second >= {ALONE}D * b.mentions AS possible
+        FROM names_counts p JOIN names_given g ON g.word = p.word JOIN names_counts a ON a.word = p.word AND a.other IS NULL JOIN names_counts b ON b.word = p.other AND b.other IS NULL
+        WHERE p.other IS NOT NULL"""), "names-pairs")
+    pairs.createOrReplaceTempView("names_pairs")
+    drop_materialized(counts)
+    size = given.count()
+    while size:
+        left = materialize(spark.sql(f"""
+            WITH kept AS (SELECT p.* FROM names_pairs p LEFT SEMI JOIN names_given g ON g.word = p.a),
+                 family AS (SELECT k.b FROM kept k LEFT ANTI JOIN names_given g ON g.word = k.b WHERE k.possible GROUP BY k.b, k.nb HAVING sum(k.near) >= {EXCLUSIVE}D * k.nb)
+            SELECT k.a AS word FROM kept k LEFT SEMI JOIN family f ON f.b = k.b
+            GROUP BY k.a, k.na HAVING count_if(k.two > 0) >= {VARIETY} AND sum(k.near) >= {SHARE}D * k.na"""), "names-given")
+        drop_materialized(given)
+        given, before, size = left, size, left.count()
+        given.createOrReplaceTempView("names_given")
+        if size == before:
+            break
+    names = known | frozenset(r["word"] for r in given.collect())
+    drop_materialized(given)
+    drop_materialized(pairs)
+    return names

@@ -10,8 +10,9 @@ Two occurrences in one place have no cell in common unless they share a name the
 occupy can be joined to one of them only, because more than half of it must be shared.
 
 Names are read from the text without its site lines, in one spelling (case, marks, look-alikes and invisible characters
-aside). Persons are told by given names learnt from a bounded hash sample of the documents. Nothing grows with the corpus but the tables; labels spread in rounds of joins, each written to the shared
-folder.
+aside). Persons are told by given names learnt from all documents, counted where they stand. Nothing grows with the
+corpus but the tables and the set of given names, which every task holds; labels spread in rounds of joins, each written to the
+shared folder.
 
 Defined cases: null and blank texts, texts that name no place or neither body nor person, and members of small groups are in no group;
 copies are members like others; a null membership strength comes last; an empty table gives an empty result.
@@ -29,15 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_materialized, materialize
-from .arrowio import column, hash_sample, int64
+from .arrowio import column, int64
 from .blocks import pairs_within
-from .given_names import COMMON, learnt_given_names
+from .given_names import COMMON, corpus_given_names
 from .given_names import form as _form
 
 MIN_CELL = 3
 MIN_GROUP = 5
-#: Documents the given names are learnt from at most, and characters of such a document.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS = 3000, 20_000
 #: Cells a task sends at a time.
 SENT_CELLS = 200_000
 PLACE, BODY, PERSON = range(3)
@@ -55,6 +54,12 @@ def _patterns():
     return regex.compile(rf"(?<![\p{{L}}\p{{M}}\d]){name}(?: {name})*"), regex.compile("[­͏​-‏‪-‮⁠-⁯﻿]"), regex.compile("[   -   　\t]")
 
 
+def plain(text: str) -> str:
+    """The text without invisible characters and with one kind of space."""
+    _, gone, space = _patterns()
+    return space.sub(" ", gone.sub("", text))
+
+
 class Names:
     """What capitalised runs name, remembered by spelling; given: the folded given names of the corpus."""
 
@@ -83,15 +88,14 @@ class Names:
 
     def entities(self, text: str) -> list[Counter[str]]:
         """The places, bodies and persons of a text with their numbers of mentions."""
-        run, gone, space = _patterns()
         found: list[Counter[str]] = [Counter(), Counter(), Counter()]
-        plain = space.sub(" ", gone.sub("", text))
-        for m in run.finditer(plain):
+        text = plain(text)
+        for m in _patterns()[0].finditer(text):
             end = m.start() - 1
             before = None
-            if end > 0 and plain[end] in " \n":
-                first = plain.rfind(" ", 0, end)
-                before = plain[max(first, plain.rfind("\n", first + 1, end)) + 1 : end] or None
+            if end > 0 and text[end] in " \n":
+                first = text.rfind(" ", 0, end)
+                before = text[max(first, text.rfind("\n", first + 1, end)) + 1 : end] or None
             named = self._named(before, m.group())
             if named:
                 found[named[0]][named[1]] += 1
@@ -171,9 +175,7 @@ def occurrence_groups(df: DataFrame, id_col: str, text_col: str, source_col: str
     spark = df.sparkSession
     cols = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")).alias("source")]
     texts = df.select(*cols).where("id is not null and text is not null")
-    sample = hash_sample(texts.where(F.length("text") <= SAMPLE_CHARS), F.col("id"), [F.col("text")], SAMPLE_DOCUMENTS)
-    run, gone, space = _patterns()
-    given = spark.sparkContext.broadcast(learnt_given_names([space.sub(" ", gone.sub("", r["text"])) for r in sample], COMMON))
+    given = spark.sparkContext.broadcast(corpus_given_names(texts, "text", plain, COMMON))
     found = texts.mapInArrow(_cells(lines, source_col is not None, given), "id long, place long, body long, weight long")
     found = materialize(found.withColumn("cell", F.xxhash64("place", "body")), "grid-occupied")
     found.createOrReplaceTempView("grid_occupied")
