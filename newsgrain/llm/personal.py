@@ -2,9 +2,10 @@
 
 Method: a skip-chain conditional random field labels the tokens of names; distant repeated or similar tokens share
 potentials and loopy message passing makes the labels of a document consistent. Numbers and addresses have a written
-form, so they enter as patterns with their check digits. Given names are learnt from a bounded sample of the corpus
-itself, and the field is trained on it: tokens next to a given name are weak labels, and endings, shapes and neighbours
-are what it learns from them. Every text is searched for names with and without capitals.
+form, so they enter as patterns with their check digits. Given names are learnt from all documents of the corpus
+itself, and the field is trained on all of them: tokens next to a given name are weak labels, and endings, shapes and
+neighbours are what it learns from them. Every text is searched for names with and without capitals. The given and
+family names of the corpus are sent to every task.
 
 Invisible characters, full-width forms and kinds of space or hyphen do not hide anything; what is reported are exactly
 the characters that stand in the text.
@@ -15,20 +16,28 @@ one document are one row; copies of a document each give their rows; an empty ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.cloudpickle import dumps as pickled
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowio import column, hash_sample
-from .given_names import COMMON, form, learnt_given_names
-from .skip_chain import FAMILY, FEATURE_BITS, GIVEN, Model, O, decode, empty_model, train
+from ..session import drop_materialized, materialize
+from .arrowio import column, int64
+from .given_names import COMMON, corpus_given_names, form, learnt_given_names
+from .skip_chain import FAMILY, FEATURE_BITS, GIVEN, Graph, Model, O, decode, train
 
-#: Documents the names are learnt from and the field is trained on at most, drawn by the order of a hash from those of at most so many characters.
-TRAINING_DOCUMENTS, TRAINING_CHARS = 3000, 20_000
+#: Documents that are made one graph.
+BATCH = 1000
+#: A type is a family name if it stands beside a given name in this share of its runs or more.
+FAMILY_SHARE = 0.5
+#: Columns of the table of graphs, and parts of one in which sums over it are counted.
+GRAPH, SCALE = ["features", "labels", "chain", "repeated", "similar"], 1 << 20
 
 #: Characters that are written otherwise but mean the same (full-width forms, spaces, hyphens).
 _SPACES = [0x09, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
@@ -288,49 +297,88 @@ class Batch:
         return out
 
 
-def weak_labels(batch: Batch, lex: Lexicon, family: frozenset[str] | None = None) -> tuple[np.ndarray, frozenset[str]]:
-    """(labels from the given names alone, the family names among them).
+def marked_runs(texts: Iterable[str]) -> Counter[str]:
+    """The capitalised runs of plain texts with their numbers."""
+    out: Counter[str] = Counter()
+    for t in texts:
+        out.update(_patterns()["run"].findall(t))
+    return out
 
-    In capitalised runs a type that mostly stands beside a given name is a family name there; in other runs only the
-    family names so found (or those given) are.
-    """
-    n = len(batch.tokens)
-    given = [lex.given[w] for w in batch.tokens]
-    beside: dict[str, list[int]] = {}
-    for i, f in enumerate(batch.types):
-        if given[i] or not batch.marked[i]:
-            continue
-        near = any(0 <= j < n and batch.run_of[j] == batch.run_of[i] and given[j] for j in (i - 1, i + 1))
-        c = beside.setdefault(f, [0, 0])
-        c[0] += near
-        c[1] += 1
-    share = {f: a / b for f, (a, b) in beside.items()}
-    out = np.full(n, O)
-    for marked in (True, False):
-        if not marked and family is None:
-            family = frozenset(batch.types[i] for i in np.flatnonzero(out == FAMILY))
-        for i in range(n):
-            if not given[i] or out[i] == GIVEN or batch.marked[i] != marked:
-                continue
-            score = (lambda f: share[f]) if marked else (lambda f: float(f in family))
-            sides = [(score(batch.types[j]), -d, j) for d, j in ((0, i + 1), (1, i - 1)) if 0 <= j < n and batch.run_of[j] == batch.run_of[i] and not given[j] and out[j] == O]
-            if sides and max(sides)[0] >= 0.5:
+
+def _read(run: str, lex: Lexicon) -> tuple[list[str], list[bool]]:
+    """Of the tokens of a run: their types, and whether they are given names."""
+    words = _patterns()["word"].findall(run)
+    return [form(w)[0] for w in words], [lex.given[w] for w in words]
+
+
+def beside_given(runs: Iterable[tuple[str, int]], lex: Lexicon) -> dict[str, list[int]]:
+    """Of every type that is no given name: how often it stands beside one, and how often in a run."""
+    out: dict[str, list[int]] = {}
+    for run, n in runs:
+        types, given = _read(run, lex)
+        if len(types) > 1:
+            for f, own, left, right in zip(types, given, [False, *given], [*given[1:], False]):
+                if not own:
+                    c = out.setdefault(f, [0, 0])
+                    c[0] += n * (left or right)
+                    c[1] += n
+    return out
+
+
+def run_labels(types: list[str], given: list[bool], share: Mapping[str, float]) -> list[int]:
+    """Labels of a run: a given name and that neighbour which is most of a family name (share: 0.5 or more for such types)."""
+    n = len(types)
+    out = [O] * n
+    for i in range(n):
+        if given[i]:
+            sides = [(share.get(types[j], 0.0), -d, j) for d, j in ((0, i + 1), (1, i - 1)) if 0 <= j < n and not given[j] and out[j] == O]
+            if sides and max(sides)[0] >= FAMILY_SHARE:
                 out[i], out[max(sides)[2]] = GIVEN, FAMILY
-    return out, family
+    return out
+
+
+def families_in(runs: Iterable[str], lex: Lexicon, share: Mapping[str, float]) -> set[str]:
+    """The family names among the types of capitalised runs."""
+    out: set[str] = set()
+    for run in runs:
+        types, given = _read(run, lex)
+        if len(types) > 1:
+            out.update(f for f, label in zip(types, run_labels(types, given, share)) if label == FAMILY)
+    return out
+
+
+def weak_labels(batch: Batch, lex: Lexicon, share: Mapping[str, float], family: Mapping[str, float]) -> np.ndarray:
+    """Labels from the given names alone.
+
+    In capitalised runs a type that mostly stands beside a given name (`share`) is a family name there; in other runs only the
+    family names so found (`family`) are.
+    """
+    out: list[int] = []
+    ends = [*np.flatnonzero(np.diff(batch.run_of)) + 1, len(batch.tokens)] if batch.tokens else []
+    for end in ends:
+        lo = len(out)
+        out += run_labels(batch.types[lo:end], [lex.given[w] for w in batch.tokens[lo:end]], share if batch.marked[lo] else family)
+    return np.array(out, dtype=np.int64)
+
+
+def graphs(texts: list[str], in_lower: list[bool], lex: Lexicon, share: Mapping[str, float], family: Mapping[str, float]) -> Iterator[Graph]:
+    """What the field is trained on: plain texts as they are, and copies of some in lower case, which teach it texts without capitals."""
+    own = Batch(texts, lex, unmarked=False)  # there only the copies know which words are family names
+    low = Batch([t.lower() for t, x in zip(texts, in_lower) if x], lex)
+    for batch in (own, low):
+        if batch.tokens:
+            yield Graph(batch.features, weak_labels(batch, lex, share, family), batch.edges)
 
 
 def train_names(texts: list[str], known: frozenset[str] = COMMON) -> Model:
     """The field from weak labels; a copy of every third text in lower case teaches it texts without capitals."""
     lex = lexicon(learnt_given_names(texts, known))
-    own = Batch(texts, lex, unmarked=False)  # there only the copies know which words are family names
-    labels, family = weak_labels(own, lex)
-    low = Batch([t.lower() for t in texts[::3]], lex)
-    low_labels, _ = weak_labels(low, lex, family)
-    if not len(labels) + len(low_labels):
-        model = empty_model()
-    else:
-        parts = [x for x in (own.features, low.features) if len(x)]
-        model = train(np.concatenate(parts), np.concatenate((labels, low_labels)), [np.concatenate((a, b + len(labels))) for a, b in zip(own.edges, low.edges)])
+    runs = marked_runs(texts)
+    share = {f: a / b for f, (a, b) in beside_given(runs.items(), lex).items() if a / b >= FAMILY_SHARE}
+    family = dict.fromkeys(families_in(runs, lex, share), 1.0)
+    made = [g for lo in range(0, len(texts), BATCH) for g in graphs(texts[lo : lo + BATCH], [k % 3 == 0 for k in range(lo, min(lo + BATCH, len(texts)))], lex, share, family)]
+    empty = Graph(np.empty((0, 1), np.int64), np.empty(0, np.int64), [np.empty((0, 2), np.int64)] * 3)
+    model = train(lambda f: [sum(x) for x in zip(*map(f, made or [empty]))])
     model.given = lex.given.names
     return model
 
@@ -351,9 +399,89 @@ def find_all(texts: list[str], model: Model) -> list[list[tuple[int, int, str]]]
     return out
 
 
+def _cleaned(text: str) -> str:
+    return plain(text)[0]
+
+
+def _packed(graph: Graph) -> list[bytes]:
+    return [graph.features.astype("<u2").tobytes(), graph.labels.astype("u1").tobytes(), *(e.astype("<u4").tobytes() for e in graph.edges)]
+
+
+def _unpacked(features: bytes, labels: bytes, *edges: bytes) -> Graph:
+    told = np.frombuffer(labels, "u1").astype(np.int64)
+    return Graph(np.frombuffer(features, "<u2").reshape(len(told), -1).astype(np.int64), told, [np.frombuffer(e, "<u4").reshape(-1, 2).astype(np.int64) for e in edges])
+
+
+def _summed(table: DataFrame, f: Callable[[Graph], list[np.ndarray]]) -> list[np.ndarray]:
+    """The arrays that `f` makes of the graphs of a table, added up where they stand.
+
+    Sums are of whole numbers, so that they do not depend on the order of the tasks.
+    """
+    spark = table.sparkSession
+    shapes = [x.shape for x in f(Graph(np.zeros((2, 1), np.int64), np.zeros(2, np.int64), [np.array([[0, 1]])] * 3))]
+    sent = spark.sparkContext.broadcast(pickled(f))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, total = pickle.loads(sent.value), None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                flat = np.concatenate([np.rint(x.ravel() * SCALE).astype(np.int64) for x in made(_unpacked(*(batch.column(c)[k].as_py() for c in range(5))))])
+                total = flat if total is None else total + flat
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([int64(at), int64(total[at])], names=["at", "n"])
+
+    rows = table.mapInArrow(work, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
+    total = np.zeros(sum(int(np.prod(x)) for x in shapes))
+    total[rows.column("at").to_numpy()] = rows.column("n").to_numpy() / SCALE
+    cuts = np.cumsum([int(np.prod(x)) for x in shapes])[:-1]
+    return [x.reshape(shape) for x, shape in zip(np.split(total, cuts), shapes)]
+
+
 def _model(docs: DataFrame, id_col: str, text_col: str) -> Model:
-    sample = hash_sample(docs.where(F.col(text_col).isNotNull() & (F.length(F.col(text_col).cast("string")) <= TRAINING_CHARS)), F.col(id_col), [F.col(text_col).cast("string").alias("t")], TRAINING_DOCUMENTS)
-    return train_names([plain(r["t"])[0] for r in sample])
+    """`train_names` of all documents of a table: counts, labels and every step of the training are sums over tables.
+
+    Copies in lower case are of the documents whose hash is a multiple of three.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), (F.pmod(F.xxhash64(id_col), F.lit(3)) == 0).alias("low")).where("text is not null")
+    lex = spark.sparkContext.broadcast(corpus_given_names(texts, "text", _cleaned, COMMON))
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = marked_runs(map(_cleaned, batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(runs.keys(), pa.string()), pa.array(runs.values(), pa.int64())], names=["run", "n"])
+
+    def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = beside_given(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), lexicon(lex.value))
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), *(pa.array([c[k] for c in found.values()], pa.int64()) for k in range(2))], names=["type", "near", "n"])
+
+    runs = materialize(texts.select("text").mapInArrow(runs_of, "run string, n long").groupBy("run").agg(F.sum("n").alias("n")), "field-runs")
+    beside = runs.mapInArrow(counts_of, "type string, near long, n long").groupBy("type").agg(F.sum("near").alias("near"), F.sum("n").alias("n"))
+    share = spark.sparkContext.broadcast({r["type"]: r["near"] / r["n"] for r in beside.where(F.col("near") / F.col("n") >= FAMILY_SHARE).collect()})
+
+    def families_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(families_in(batch.column(0).to_pylist(), lexicon(lex.value), share.value), pa.string())], names=["type"])
+
+    family = spark.sparkContext.broadcast(dict.fromkeys((r["type"] for r in runs.select("run").mapInArrow(families_of, "type string").distinct().collect()), 1.0))
+    drop_materialized(runs)
+
+    def graphs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every, low = [[*map(_cleaned, batch.column(0).to_pylist())], batch.column(1).to_pylist()]
+            for lo in range(0, len(every), BATCH):
+                made = [_packed(g) for g in graphs(every[lo : lo + BATCH], low[lo : lo + BATCH], lexicon(lex.value), share.value, family.value)]
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*made)], names=GRAPH)
+
+    table = materialize(texts.mapInArrow(graphs_of, ", ".join(f"{c} binary" for c in GRAPH)), "field-graphs")
+    model = train(lambda f: _summed(table, f))
+    drop_materialized(table)
+    model.given = lex.value
+    return model
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:

@@ -7,11 +7,12 @@ array operations over all its edges.
 
 Training: node weights begin as a softmax regression over hashed features and potentials as the label pairs seen on
 edges; then all of them are trained together, by the gradient of the likelihood whose marginals message passing gives.
+Every step is a sum over all graphs, so they may stand anywhere.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,8 +21,8 @@ O, GIVEN, FAMILY = 0, 1, 2
 LABELS = 3
 FEATURE_BITS = 16
 ROUNDS = 6
-#: Passes of the regression, steps of the common training, and the bounds of the potentials at its start.
-EPOCHS, JOINT_STEPS, BOUNDS = 8, 10, (4.0, 2.0, 2.0)
+#: Steps of the regression and of the common training, and the bounds of the potentials at its start.
+STEPS, JOINT_STEPS, BOUNDS = 8, 10, (4.0, 2.0, 2.0)
 
 
 @dataclass
@@ -40,10 +41,9 @@ def _log_normal(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def _edge_potential(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
+def _edge_potential(told: np.ndarray, bound: float) -> np.ndarray:
     """Log of how much more often label pairs stand on an edge than by chance."""
-    joint = np.ones((LABELS, LABELS))
-    np.add.at(joint, (a, b), 1)
+    joint = told + 1
     joint /= joint.sum()
     return np.clip(np.log(joint / (joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True))), -bound, bound)
 
@@ -54,33 +54,56 @@ def _scattered(features: np.ndarray, error: np.ndarray, size: int) -> np.ndarray
     return np.stack([np.bincount(flat, weights=np.repeat(error[:, k], width), minlength=size) for k in range(LABELS)], axis=1)
 
 
-def train(features: np.ndarray, labels: np.ndarray, edges: Sequence[np.ndarray], epochs: int = EPOCHS, steps: int = JOINT_STEPS, rate: float = 0.3) -> Model:
-    """features: n x F feature numbers; edges: chain, repeated and similar ones, each m x 2 node numbers."""
-    w = np.zeros((1 << FEATURE_BITS, LABELS))
+@dataclass
+class Graph:
+    features: np.ndarray  # n x F feature numbers
+    labels: np.ndarray
+    edges: Sequence[np.ndarray]  # chain, repeated and similar ones, each m x 2 node numbers
+
+
+def label_counts(graph: Graph) -> list[np.ndarray]:
+    """How many nodes have each label, and how many edges of each kind each pair of labels."""
+    out = [np.bincount(graph.labels, minlength=LABELS).astype(float)]
+    for e in graph.edges:
+        a, b = graph.labels[e].T
+        out.append(np.bincount(a * LABELS + b, minlength=LABELS * LABELS).reshape(LABELS, LABELS).astype(float))
+    return out
+
+
+def gradient(model: Model, graph: Graph, joint: bool) -> list[np.ndarray]:
+    """Sums over a graph: the errors of the nodes by feature and, if `joint`, the beliefs of label pairs of every kind of edge."""
+    belief, pairs = _node_scores(model, graph.features), []
+    if joint:
+        belief, pairs = propagate(belief, graph.edges, model.potentials)
+    error = np.exp(belief).T - np.eye(LABELS)[graph.labels]
+    return [_scattered(graph.features, error, len(model.weights)), *(p.sum(axis=0) for p in pairs)]
+
+
+def train(summed: Callable[[Callable[[Graph], list[np.ndarray]]], list[np.ndarray]], steps: int = STEPS, joint_steps: int = JOINT_STEPS, rate: float = 0.3) -> Model:
+    """summed: adds up, over all graphs wherever they stand, the arrays that a function makes of one."""
+    model = empty_model()
+    nodes, *told = summed(label_counts)
+    if not nodes.sum():
+        return model
     seen = np.full((1 << FEATURE_BITS, 1), 1e-6)
-    rng = np.random.default_rng(7)
-    target = np.eye(LABELS)[labels]
-    for _ in range(epochs):
-        for at in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // 2000)):
-            f = features[at]
-            error = np.exp(_log_normal(w[f].sum(axis=1))) - target[at]
-            used, place = np.unique(f, return_inverse=True)
-            g = _scattered(place.reshape(f.shape), error, len(used)) / len(at) + 1e-5 * w[used]
-            seen[used] += (g * g).sum(axis=1, keepdims=True)
-            w[used] -= rate * g / np.sqrt(seen[used])
-    model = Model(w, [_edge_potential(*labels[e].T, bound=b) for e, b in zip(edges, BOUNDS)])
-    moved = [np.full((LABELS, LABELS), 1e-6) for _ in edges]
+
+    def step(g: np.ndarray, rate: float, decay: float) -> None:
+        nonlocal seen
+        g = g / nodes.sum() + decay * model.weights
+        seen = seen + (g * g).sum(axis=1, keepdims=True)
+        model.weights = model.weights - rate * g / np.sqrt(seen)
+
     for _ in range(steps):
-        belief, pairs = propagate(_node_scores(model, features), edges, model.potentials)
-        g = _scattered(features, np.exp(belief).T - target, len(w)) / max(len(labels), 1) + 1e-6 * w
-        seen += (g * g).sum(axis=1, keepdims=True)
-        w -= 0.3 * rate * g / np.sqrt(seen)
-        for k, (e, p) in enumerate(zip(edges, pairs)):
-            if not len(e):
+        step(summed(lambda graph: gradient(model, graph, False))[0], rate, 1e-5)
+    model.potentials = [_edge_potential(t, b) for t, b in zip(told, BOUNDS)]
+    moved = [np.full((LABELS, LABELS), 1e-6) for _ in told]
+    for _ in range(joint_steps):
+        g, *pairs = summed(lambda graph: gradient(model, graph, True))
+        step(g, 0.3 * rate, 1e-6)
+        for k, (p, t) in enumerate(zip(pairs, told)):
+            if not t.sum():
                 continue
-            told = np.zeros((LABELS, LABELS))
-            np.add.at(told, tuple(labels[e].T), 1)
-            g = (p.sum(axis=0) - told) / len(e) + 1e-3 * model.potentials[k]
+            g = (p - t) / t.sum() + 1e-3 * model.potentials[k]
             moved[k] += g * g
             model.potentials[k] = model.potentials[k] - 0.3 * rate * g / np.sqrt(moved[k])
     return model
@@ -106,29 +129,38 @@ def propagate(node: np.ndarray, edges: Sequence[np.ndarray], potentials: Sequenc
     if not m:
         return node, [np.zeros((0, LABELS, LABELS)) for _ in edges]
     cuts = np.cumsum([0, *(len(e) for e in edges)])
-    kinds = [(slice(a, b), p) for a, b, p in zip(cuts, cuts[1:], potentials)] + [(slice(m + a, m + b), p.T) for a, b, p in zip(cuts, cuts[1:], potentials)]
+    kinds = [(slice(a, b), np.exp(p)) for a, b, p in zip(cuts, cuts[1:], potentials)] + [(slice(m + a, m + b), np.exp(p).T) for a, b, p in zip(cuts, cuts[1:], potentials)]
     src, dst = np.concatenate((every[:, 0], every[:, 1])), np.concatenate((every[:, 1], every[:, 0]))
-    back = np.concatenate((np.arange(m, 2 * m), np.arange(m)))
-    message = np.zeros((LABELS, 2 * m))
+    # scores and messages are logs against the first label: two numbers each
+    own = node[1:] - node[0]
+    message = np.zeros((LABELS - 1, 2 * m))
 
     def gathered() -> np.ndarray:
-        return node + np.stack([np.bincount(dst, weights=message[k], minlength=n) for k in range(LABELS)])
+        return own + np.stack([np.bincount(dst, weights=x, minlength=n) for x in message])
+
+    def without(total: np.ndarray) -> np.ndarray:
+        """What a node knows but for its neighbour on the edge."""
+        out = total[:, src]
+        out[:, :m] -= message[:, m:]
+        out[:, m:] -= message[:, :m]
+        return np.exp(np.clip(out, -300, 300))
 
     for _ in range(ROUNDS):
-        out = np.exp(_normal(gathered()[:, src] - message[:, back]))
-        fresh = np.empty_like(message)
-        for part, potential in kinds:
-            fresh[:, part] = np.exp(potential).T @ out[:, part]
-        message = 0.5 * message + 0.5 * _normal(np.log(np.maximum(fresh, 1e-300)))
+        out = without(gathered())
+        for part, p in kinds:
+            x, y = out[0, part], out[1, part]
+            first = p[0, 0] + p[1, 0] * x + p[2, 0] * y
+            for k in range(1, LABELS):
+                message[k - 1, part] = 0.5 * message[k - 1, part] + 0.5 * np.log((p[0, k] + p[1, k] * x + p[2, k] * y) / first)
     total = gathered()
     pairs = []
     if with_pairs:
-        without = total[:, src] - message[:, back]  # what a node knows but for its neighbour on the edge
-        for a, b, p in zip(cuts, cuts[1:], potentials):
-            x = without[:, a:b].T[:, :, None] + p[None] + without[:, m + a : m + b].T[:, None, :]
-            x = np.exp(x - x.max(axis=(1, 2), keepdims=True)) if b > a else x
-            pairs.append(x / x.sum(axis=(1, 2), keepdims=True) if b > a else x)
-    return _normal(total), pairs
+        out = np.concatenate((np.ones((1, 2 * m)), without(total)))
+        out /= out.sum(axis=0)
+        for part, p in kinds[: len(edges)]:
+            x = out[:, None, part] * out[None, :, m + part.start : m + part.stop] * p[:, :, None]
+            pairs.append((x / x.sum(axis=(0, 1))).transpose(2, 0, 1))
+    return _normal(np.concatenate((np.zeros((1, n)), total))), pairs
 
 
 def decode(model: Model, features: np.ndarray, edges: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
