@@ -17,12 +17,15 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import compress
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_materialized, materialize
+from .arrowio import keeping
 from .fold import LOOKALIKES
 
 #: Some common given names, without marks, in lower case.
@@ -40,6 +43,8 @@ COUNTS = ["lower", "mentions", "first", "second", "near", "two"]
 @lru_cache(300_000)
 def form(word: str) -> tuple[str, str]:
     """(folded form, shape) of a token."""
+    if word.isascii() and word.islower():
+        return word, "low"
     base = unicodedata.normalize("NFKD", word)
     latin = any("a" <= c.lower() <= "z" for c in base)
     folded = "".join((LOOKALIKES.get(c, c) if latin else c) for c in base if not unicodedata.combining(c)).casefold()
@@ -60,12 +65,18 @@ SENT_COUNTS = 300_000
 
 
 class _Pieces(dict):
-    """What stands between two spaces, remembered by spelling: its words, folded, those in lower case apart.
+    """Numbers of the pieces of texts (what stands between two spaces), by spelling.
 
-    (words in lower case, chains of capitalised words, whether the first chain begins and the last one ends the piece).
+    Of each: its words in lower case, and its capitalised ones (chains of them, whether the first chain begins and the last one
+    ends the piece; None: it has none), all folded.
     """
 
-    def __missing__(self, piece: str) -> tuple[list[str], list[list[str]], bool, bool] | None:
+    def __init__(self):
+        super().__init__()
+        self.lower: list[list[str]] = []
+        self.named: list[tuple[list[list[str]], bool, bool] | None] = []
+
+    def __missing__(self, piece: str) -> int:
         lower: list[str] = []
         chains: list[list[str]] = []
         first = last = False
@@ -77,50 +88,58 @@ class _Pieces(dict):
             first |= m.start() == 0
             last = m.end() == len(piece)
             chains.append([f])
-        found = (lower, chains, first, last)
-        if len(self) < SENT_COUNTS:
-            self[piece] = found
-        return found
+        self[piece] = k = len(self)
+        self.lower.append(lower)
+        self.named.append((chains, first, last) if chains else None)
+        return k
 
 
 def counted(texts: Iterable[str]) -> Iterator[tuple[Counter, Counter]]:
     """(words in lower case, capitalised runs with single spaces between their words), folded, in as many parts as memory asks for."""
-    pieces, known = Counter(), _Pieces()
-    runs: Counter = Counter()
+    known, runs = _Pieces(), Counter()
+    counts, numbers = np.zeros(0, np.int64), []
+
+    def count() -> np.ndarray:
+        more = np.bincount(np.array(numbers, np.int64), minlength=len(known))
+        more[: len(counts)] += counts
+        return more
 
     def part() -> tuple[Counter, Counter]:
         lower: Counter = Counter()
-        for piece, n in pieces.items():
-            for f in known[piece][0]:
+        for words, n in zip(known.lower, count().tolist()):
+            for f in words:
                 lower[f] += n
         return lower, runs
 
     for text in texts:
-        split = text.split(" ")
-        pieces.update(split)
+        own = [*map(known.__getitem__, text.split(" "))]
+        numbers += own
+        if len(numbers) > SENT_COUNTS:
+            counts, numbers = count(), []
+        found = [*map(known.named.__getitem__, own)]
+        told: list[tuple[str, ...]] = []
         run: list[str] = []
-        for piece in split:
-            _, chains, first, last = known[piece]
-            if not chains:
-                if run:
-                    runs[tuple(run)] += 1
-                    run = []
-                continue
-            if run and not first:
-                runs[tuple(run)] += 1
+        before = -1
+        for k in compress(range(len(found)), found):
+            chains, first, last = found[k]
+            if run and (k != before + 1 or not first):
+                told.append(tuple(run))
                 run = []
+            before = k
             run += chains[0]
             for chain in chains[1:]:
-                runs[tuple(run)] += 1
+                told.append(tuple(run))
                 run = [*chain]
             if not last:
-                runs[tuple(run)] += 1
+                told.append(tuple(run))
                 run = []
         if run:
-            runs[tuple(run)] += 1
-        if len(pieces) + len(runs) > SENT_COUNTS:
+            told.append(tuple(run))
+        runs.update(told)
+        if len(known) + len(runs) > SENT_COUNTS:
             yield part()
-            pieces, runs = Counter(), Counter()
+            known, runs = _Pieces(), Counter()
+            counts, numbers = np.zeros(0, np.int64), []
     yield part()
 
 
@@ -186,7 +205,7 @@ def corpus_given_names(texts: DataFrame, text_col: str, cleaned: Callable[[str],
                 columns = zip(*rows[lo : lo + SENT_COUNTS])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 2 else pa.int64()) for k, c in enumerate(columns)], names=["word", "other", *COUNTS])
 
-    parts = texts.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string")).mapInArrow(work, "word string, other string, " + ", ".join(f"{c} long" for c in COUNTS))
+    parts = texts.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string")).mapInArrow(keeping(work), "word string, other string, " + ", ".join(f"{c} long" for c in COUNTS))
     counts = materialize(parts.groupBy("word", "other").agg(*(F.sum(c).alias(c) for c in COUNTS)), "names-counts")
     counts.createOrReplaceTempView("names_counts")
     given = materialize(spark.sql(f"""

@@ -20,6 +20,7 @@ import pickle
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import lru_cache
+from itertools import accumulate, chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_materialized, materialize
-from .arrowio import column, int64
+from .arrowio import caches_kept, column, keeping
 from .given_names import COMMON, corpus_given_names, form, learnt_given_names
-from .skip_chain import FAMILY, FEATURE_BITS, GIVEN, Graph, Model, O, decode, train
+from .skip_chain import FAMILY, FEATURE_BITS, GIVEN, LABELS, Graph, Model, O, decode, graph_of, train
 
 #: Documents that are made one graph.
 BATCH = 1000
 #: A type is a family name if it stands beside a given name in this share of its runs or more.
 FAMILY_SHARE = 0.5
-#: Columns of the table of graphs, and parts of one in which sums over it are counted.
-GRAPH, SCALE = ["features", "labels", "chain", "repeated", "similar"], 1 << 20
+#: Columns of the table of graphs (those of the second list are for message passing), parts of one in which sums over it are
+#: counted, and numbers of a sum that travel as one value.
+GRAPH, WHOLE, SCALE, BLOCK = ["features", "told", "pairs"], ["node_rows", "chain", "repeated", "similar"], 1 << 20, 1 << 14
+#: Spellings of pieces that a lexicon remembers.
+PIECES = 300_000
 
 #: Characters that are written otherwise but mean the same (full-width forms, spaces, hyphens).
 _SPACES = [0x09, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
@@ -84,7 +88,8 @@ def _patterns():
         "street": [regex.compile(STREET, i, words=STREET_WORDS, short=STREET_SHORT), regex.compile(STREET_RU, i, words=STREET_RU_WORDS)], "street_en": regex.compile(STREET_EN), "street_en_low": regex.compile(STREET_EN, i),
         "not_code": regex.compile(NOT_A_CODE, i), "card_before": regex.compile(CARD_BEFORE, i), "invisible": re.compile(INVISIBLE),
         "hint": regex.compile(r"@|[(\[{]\s?(?:at|a\s?rond|AT|A\s?ROND)\s?[)\]}]|(?<=\s)(?:arond|AROND)(?=\s)"), "digit": regex.compile(r"\d"),
-        "six": regex.compile(r"(?<!\d)\d{6}(?![\d/]|[.,]\d)"), "same": re.compile("[" + "".join(chr(c) for c in SAME) + "]"),
+        "six": regex.compile(r"(?<!\d)\d{6}(?![\d/]|[.,]\d)"), "same": re.compile("[" + "".join(chr(c) for c in SAME) + "]"), "odd": re.compile("[" + "".join(chr(c) for c in SAME) + INVISIBLE[1:]),
+        "phone_begins": regex.compile(r"\+\d|(?<!\d)0\d\d"), "hint_begins": regex.compile(r"@|[(\[{](?:\s|a|$)|arond", i),
         "run": regex.compile(r"(?<![\p{L}\p{M}\p{N}_@.+-])(?:\p{Lu}[\p{L}\p{M}'’]+(?:-\p{Lu}[\p{L}\p{M}'’]+)?)(?: (?:\p{Lu}[\p{L}\p{M}'’]+(?:-\p{Lu}[\p{L}\p{M}'’]+)?)(?![\p{L}\p{M}\p{N}_@]))+"),
         "word": regex.compile(r"[\p{L}\p{M}'’]+(?:-[\p{L}\p{M}'’]+)*"),
     }
@@ -92,6 +97,8 @@ def _patterns():
 
 def plain(text: str) -> tuple[str, np.ndarray | None]:
     """The text with one way of writing spaces, hyphens and ASCII, and where its characters stood (None: at the same places)."""
+    if not _patterns()["odd"].search(text):
+        return text, None
     same = _patterns()["same"].sub(lambda m: SAME[ord(m.group())], text)
     gone = [m.start() for m in _patterns()["invisible"].finditer(same)]
     if not gone:
@@ -109,16 +116,45 @@ def code_checks(digits: str) -> bool:
     return d[0] in (0, 2) and sum(a * b for a, b in zip(d, (7, 3, 1) * 4)) % 10 == d[12]
 
 
-def written_forms(t: str) -> list[tuple[int, int, str]]:
-    """Spans of emails, phones, identity numbers and addresses in a plain text."""
+#: What a piece of a text (what stands between two spaces) shows, as bits: a match of a written form needs a piece that shows it.
+DIGIT, HINT, STREET_SIGN, STREET_RU_SIGN, STREET_EN_SIGN, SIX, PHONE_BEGINS = (1 << k for k in range(7))
+
+
+#: Above them: whether a word of the piece is a given name, and how many of its tokens as written are.
+GIVEN_WORD, GIVEN_TOKENS = 1 << 7, 8
+
+
+@lru_cache(300_000)
+def signs(piece: str) -> int:
+    """What a piece shows."""
+    p, low = _patterns(), piece.lower()
+    found = 0
+    if p["digit"].search(piece):
+        found = DIGIT | bool(p["six"].search(piece)) * SIX | bool(p["phone_begins"].search(piece)) * PHONE_BEGINS
+    if p["hint_begins"].search(piece):
+        found |= HINT
+    if not _STREET_TOKENS.isdisjoint(low.replace("(", " ").replace("„", " ").replace('"', " ").replace("«", " ").split()) or any([x in low for x in _STREET_DOTTED]):
+        found |= STREET_SIGN
+    if "д." in low or "дом" in low:
+        found |= STREET_RU_SIGN
+    if any([x in low for x in _SIGNS_EN]):
+        found |= STREET_EN_SIGN
+    return found
+
+
+def written_forms(t: str, bits: list[int] | None = None) -> list[tuple[int, int, str]]:
+    """Spans of emails, phones, identity numbers and addresses in a plain text; bits: what its pieces show."""
     p = _patterns()
     out: list[tuple[int, int, str]] = []
+    shown = 0
+    for x in set(map(signs, t.split(" ")) if bits is None else bits):
+        shown |= x
 
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y, _ in out)
 
     end = 0
-    for h in p["hint"].finditer(t):
+    for h in p["hint"].finditer(t) if shown & HINT else ():
         # an address stands around its sign, within one run of characters that is as long as it likes
         if h.start() >= end:
             first = h.start()
@@ -130,27 +166,27 @@ def written_forms(t: str) -> list[tuple[int, int, str]]:
             if m and m.start() < h.end() and m.end() > h.end():
                 out.append((*m.span(), "email"))
                 end = m.end()
-    if not p["digit"].search(t):
+    if not shown & DIGIT:
         return out
-    low = t.lower()
-    if not _STREET_TOKENS.isdisjoint(low.replace("(", " ").replace("„", " ").replace('"', " ").replace("«", " ").split()) or any([x in low for x in _STREET_DOTTED]):
+    if shown & STREET_SIGN:
         out += [(*m.span(), "address") for m in p["street"][0].finditer(t) if free(*m.span())]
-    if "д." in low or "дом" in low:
+    if shown & STREET_RU_SIGN:
         out += [(*m.span(), "address") for m in p["street"][1].finditer(t) if free(*m.span())]
-    if any([x in low for x in _SIGNS_EN]):
-        english = p["street_en_low"] if t == low else p["street_en"]
+    if shown & STREET_EN_SIGN:
+        english = p["street_en_low"] if t == t.lower() else p["street_en"]
         out += [(*m.span(), "address") for m in english.finditer(t) if free(*m.span())]
     for m in p["code"].finditer(t):
         if free(*m.span()) and code_checks(m.group().replace(" ", "")) and not p["not_code"].match(t, 0, m.start()):
             out.append((*m.span(), "id_number"))
-    for six in p["six"].finditer(t):
+    for six in p["six"].finditer(t) if shown & SIX else ():
         m = p["card"].match(t, 0, six.end())
         if not m:
             continue
         letters = m.group()[:2]
         if free(*m.span()) and (letters.isupper() or p["card_before"].match(t, 0, m.start())) and letters.lower() not in ("nr", "no"):
             out.append((*m.span(), "id_number"))
-    out += [(*m.span(), "phone") for m in p["phone"].finditer(t) if free(*m.span())]
+    if shown & PHONE_BEGINS:
+        out += [(*m.span(), "phone") for m in p["phone"].finditer(t) if free(*m.span())]
     return out
 
 
@@ -179,11 +215,27 @@ class _Given(dict):
         return found
 
 
+class _Bits(dict):
+    """What a piece shows, its given names included; looked up once a spelling."""
+
+    def __init__(self, given: _Given):
+        super().__init__()
+        self.given = given
+
+    def __missing__(self, piece: str) -> int:
+        tokens = sum(map(self.given.__getitem__, piece.replace("/", " ").split()))
+        found = signs(piece) | any([self.given[w] for w in _patterns()["word"].findall(piece)]) * GIVEN_WORD | tokens << GIVEN_TOKENS
+        if len(self) < PIECES:
+            self[piece] = found
+        return found
+
+
 class Lexicon:
     """The given names, and what follows from them for tokens: features and runs, remembered by spelling."""
 
     def __init__(self, given: frozenset[str]):
         self.given = _Given(given)
+        self.bits = _Bits(self.given)
         self.own, self.near, self.run = lru_cache(300_000)(self._own), lru_cache(300_000)(self._near), lru_cache(300_000)(self._run)
 
     def _own(self, word: str) -> tuple[int, ...]:
@@ -197,37 +249,48 @@ class Lexicon:
         (f, shape), given = form(word), self.given[word]
         return (_feature(side, "s", f[-3:], given), _feature(side, "g", given, shape))
 
-    def _run(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, ...]], list[str], int]:
-        """Of a run of tokens: (token, start, end), the features and the folded form of each, and how many are given names."""
+    def _run(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, ...]], list[str], list[bool]]:
+        """Of a run of tokens: (token, start, end), the features and the folded form of each, and whether it is a given name."""
         words = [(m.group(), *m.span()) for m in _patterns()["word"].finditer(text)]
         near = [None, *(w for w, _, _ in words), None]
         features = [self.own(w) + self.near("l", near[i]) + self.near("r", near[i + 2]) for i, (w, _, _) in enumerate(words)]
-        return words, features, [form(w)[0] for w, _, _ in words], sum(self.given[w] for w, _, _ in words)
+        return words, features, [form(w)[0] for w, _, _ in words], [self.given[w] for w, _, _ in words]
 
-    def unmarked(self, t: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Runs of a given name and its neighbours that are no capitalised runs (`found`)."""
-        inside = sum(self.run(t[a:b])[3] for a, b in found)
+    def unmarked(self, t: str, found: list[tuple[int, int]], bits: list[int] | None = None) -> list[tuple[int, int]]:
+        """Runs of a given name and its neighbours that are no capitalised runs (`found`); bits: what the pieces of the text show."""
+        if bits is None:
+            bits = [*map(self.bits.__getitem__, t.split(" "))]
+        told = sum([x >> GIVEN_TOKENS for x in bits if x >= GIVEN_WORD])
         # as many given names as the capitalised runs hold: none is left over
-        if sum(map(self.given.__getitem__, t.replace("/", " ").split())) <= inside:
+        if not told or told <= sum([sum(self.run(t[a:b])[3]) for a, b in found]):
             return []
-        words = [m.span() for m in _patterns()["word"].finditer(t)]
+        pieces = t.split(" ")
+        starts = [0, *accumulate([len(x) + 1 for x in pieces])]
+
+        def words_of(i: int) -> list[tuple[int, int]]:
+            return [(starts[i] + m.start(), starts[i] + m.end()) for m in _patterns()["word"].finditer(pieces[i])] if 0 <= i < len(pieces) else []
+
         out: list[tuple[int, int]] = []
         at = 0
-        for k, (a, b) in enumerate(words):
-            while at < len(found) and found[at][1] <= a:
-                at += 1
-            if not self.given[t[a:b]] or at < len(found) and found[at][0] < b:
-                continue
-            left = words[k - 1][0] if k and t[words[k - 1][1] : a] == " " else a
-            right = words[k + 1][1] if k + 1 < len(words) and t[b : words[k + 1][0]] == " " else b
-            if at and left < found[at - 1][1]:
-                left = a
-            if at < len(found) and right > found[at][0]:
-                right = b
-            if out and left < out[-1][1]:
-                left = min(out[-1][0], left)
-                out.pop()
-            out.append((left, right))
+        for i in compress(range(len(pieces)), [x & GIVEN_WORD for x in bits]):
+            # no word goes beyond its piece, so its neighbours stand there or in the pieces beside it
+            before, own = words_of(i - 1), words_of(i)
+            words = [*before, *own, *words_of(i + 1)]
+            for k, (a, b) in enumerate(own, len(before)):
+                while at < len(found) and found[at][1] <= a:
+                    at += 1
+                if not self.given[t[a:b]] or at < len(found) and found[at][0] < b:
+                    continue
+                left = words[k - 1][0] if k and t[words[k - 1][1] : a] == " " else a
+                right = words[k + 1][1] if k + 1 < len(words) and t[b : words[k + 1][0]] == " " else b
+                if at and left < found[at - 1][1]:
+                    left = a
+                if at < len(found) and right > found[at][0]:
+                    right = b
+                if out and left < out[-1][1]:
+                    left = min(out[-1][0], left)
+                    out.pop()
+                out.append((left, right))
         return out
 
 
@@ -241,38 +304,38 @@ STEM, ENDING = 5, 3
 
 
 class Batch:
-    """Candidate tokens of a list of plain texts as one graph."""
+    """Candidate tokens of a list of plain texts as one graph; tokens of equal runs share their rows of features."""
 
-    def __init__(self, texts: list[str], lex: Lexicon, unmarked: bool = True):
-        """unmarked: whether to take runs without capitals."""
+    def __init__(self, texts: list[str], lex: Lexicon, unmarked: list[bool] | bool = True, bits: list[list[int]] | None = None):
+        """unmarked: whether to take runs without capitals (of each text); bits: what their pieces show."""
         p = _patterns()
-        self.spans: list[tuple[int, int, int]] = []  # text, start, end
-        self.tokens: list[str] = []
-        self.types: list[str] = []
+        self.runs: list[tuple[int, int, str, bool]] = []  # text, start, run, whether of capitalised words
+        self.first: list[int] = []  # its first node
         features: list[tuple[int, ...]] = []
-        chain: list[tuple[int, int]] = []
+        rows: list[int] = []
+        row_of: dict[str, int] = {}
         repeated: list[tuple[int, int]] = []
         similar: list[tuple[int, int]] = []
-        self.run_of: list[int] = []
-        self.marked: list[bool] = []  # in a run of capitalised words
-        runs = 0
+        n = 0
         for k, t in enumerate(texts):
             found = [m.span() for m in p["run"].finditer(t)]
             last: dict[str, int] = {}
             stems: dict[str, tuple[str, int]] = {}
-            for marked, (a, b) in [(True, x) for x in found] + [(False, x) for x in (lex.unmarked(t, found) if unmarked else [])]:
-                words, own, types, _ = lex.run(t[a:b])
+            every = [(True, x) for x in found]
+            if unmarked if isinstance(unmarked, bool) else unmarked[k]:
+                every += [(False, x) for x in lex.unmarked(t, found, bits and bits[k])]
+            for marked, (a, b) in every:
+                run = t[a:b]
+                words, own, types, _ = lex.run(run)
                 if len(words) < 2:
                     continue
-                runs += 1
-                n = len(self.tokens)
-                features += own
-                self.tokens += [w for w, _, _ in words]
-                self.types += types
-                self.spans += [(k, a + x, a + y) for _, x, y in words]
-                self.run_of += [runs] * len(words)
-                self.marked += [marked] * len(words)
-                chain += [(i - 1, i) for i in range(n + 1, n + len(words))]
+                self.runs.append((k, a, run, marked))
+                self.first.append(n)
+                row = row_of.get(run)
+                if row is None:
+                    row = row_of[run] = len(features)
+                    features += own
+                rows += range(row, row + len(words))
                 for i, f in enumerate(types, n):
                     if f in last:
                         repeated.append((last[f], i))
@@ -282,18 +345,24 @@ class Batch:
                         if other != f and abs(len(other) - len(f)) <= ENDING:
                             similar.append((at, i))
                         stems[f[:STEM]] = (f, i)
-        self.features = np.array(features, dtype=np.int64).reshape(len(features), len(features[0]) if features else 1)
-        self.edges = [np.array(e, dtype=np.int64).reshape(-1, 2) for e in (chain, repeated, similar)]
-
-    def names(self, labels: np.ndarray) -> list[tuple[int, int, int]]:
+                n += len(words)
+        width = len(features[0]) if features else 1
+        self.features = np.fromiter(chain.from_iterable(features), np.int64, len(features) * width).reshape(-1, width)
+        self.rows = np.array(rows, dtype=np.int64)
+        right = np.delete(np.arange(n), self.first)
+        self.edges = [np.stack((right - 1, right), axis=1), *(np.array(e, dtype=np.int64).reshape(-1, 2) for e in (repeated, similar))]
+
+    def names(self, labels: np.ndarray, lex: Lexicon) -> list[tuple[int, int, int]]:
         """(text, start, end) of a given name beside a family name."""
-        out, i = [], 0
-        while i + 1 < len(self.tokens):
-            if self.run_of[i] == self.run_of[i + 1] and {labels[i], labels[i + 1]} == {GIVEN, FAMILY}:
-                out.append((self.spans[i][0], self.spans[i][1], self.spans[i + 1][2]))
-                i += 2
-            else:
-                i += 1
+        out, free = [], 0
+        left, right = self.edges[0].T
+        at = left[(labels[left] != labels[right]) & (labels[left] != O) & (labels[right] != O)]
+        for i, r in zip(at.tolist(), (np.searchsorted(self.first, at, "right") - 1).tolist()):
+            if i >= free:
+                k, start, run, _ = self.runs[r]
+                words = lex.run(run)[0]
+                out.append((k, start + words[i - self.first[r]][1], start + words[i + 1 - self.first[r]][2]))
+                free = i + 2
         return out
 
 
@@ -354,20 +423,22 @@ def weak_labels(batch: Batch, lex: Lexicon, share: Mapping[str, float], family:
     family names so found (`family`) are.
     """
     out: list[int] = []
-    ends = [*np.flatnonzero(np.diff(batch.run_of)) + 1, len(batch.tokens)] if batch.tokens else []
-    for end in ends:
-        lo = len(out)
-        out += run_labels(batch.types[lo:end], [lex.given[w] for w in batch.tokens[lo:end]], share if batch.marked[lo] else family)
+    known: dict[tuple[str, bool], list[int]] = {}
+    for _, _, run, marked in batch.runs:
+        told = known.get((run, marked))
+        if told is None:
+            _, _, types, given = lex.run(run)
+            told = known[run, marked] = run_labels(types, given, share if marked else family)
+        out += told
     return np.array(out, dtype=np.int64)
 
 
 def graphs(texts: list[str], in_lower: list[bool], lex: Lexicon, share: Mapping[str, float], family: Mapping[str, float]) -> Iterator[Graph]:
     """What the field is trained on: plain texts as they are, and copies of some in lower case, which teach it texts without capitals."""
-    own = Batch(texts, lex, unmarked=False)  # there only the copies know which words are family names
-    low = Batch([t.lower() for t, x in zip(texts, in_lower) if x], lex)
-    for batch in (own, low):
-        if batch.tokens:
-            yield Graph(batch.features, weak_labels(batch, lex, share, family), batch.edges)
+    low = [t.lower() for t in compress(texts, in_lower)]
+    batch = Batch(texts + low, lex, [False] * len(texts) + [True] * len(low))  # there only the copies know which words are family names
+    if batch.runs:
+        yield graph_of(batch.features, batch.rows, weak_labels(batch, lex, share, family), batch.edges)
 
 
 def train_names(texts: list[str], known: frozenset[str] = COMMON) -> Model:
@@ -377,8 +448,9 @@ def train_names(texts: list[str], known: frozenset[str] = COMMON) -> Model:
     share = {f: a / b for f, (a, b) in beside_given(runs.items(), lex).items() if a / b >= FAMILY_SHARE}
     family = dict.fromkeys(families_in(runs, lex, share), 1.0)
     made = [g for lo in range(0, len(texts), BATCH) for g in graphs(texts[lo : lo + BATCH], [k % 3 == 0 for k in range(lo, min(lo + BATCH, len(texts)))], lex, share, family)]
-    empty = Graph(np.empty((0, 1), np.int64), np.empty(0, np.int64), [np.empty((0, 2), np.int64)] * 3)
-    model = train(lambda f: [sum(x) for x in zip(*map(f, made or [empty]))])
+    none = np.empty(0, np.int64)
+    empty = graph_of(none.reshape(0, 1), none, none, [none.reshape(0, 2)] * 3)
+    model = train(lambda f, _: [sum(x) for x in zip(*map(f, made or [empty]))])
     model.given = lex.given.names
     return model
 
@@ -386,10 +458,12 @@ def train_names(texts: list[str], known: frozenset[str] = COMMON) -> Model:
 def find_all(texts: list[str], model: Model) -> list[list[tuple[int, int, str]]]:
     """Per text: the spans (start, end, kind) in the original characters, in order, without overlaps."""
     made = [plain(t) for t in texts]
-    out: list[list[tuple[int, int, str]]] = [written_forms(t) for t, _ in made]
-    batch = Batch([t for t, _ in made], lexicon(model.given))
-    labels, _ = decode(model, batch.features, batch.edges)
-    for k, a, b in batch.names(labels.tolist()):
+    lex = lexicon(model.given)
+    bits = [[*map(lex.bits.__getitem__, t.split(" "))] for t, _ in made]
+    out: list[list[tuple[int, int, str]]] = [written_forms(t, x) for (t, _), x in zip(made, bits)]
+    batch = Batch([t for t, _ in made], lex, bits=bits)
+    labels, _ = decode(model, batch.features, batch.rows, batch.edges)
+    for k, a, b in batch.names(labels, lex):
         if all(b <= x or a >= y for x, y, _ in out[k]):
             out[k].append((a, b, "name"))
     for k, (_, at) in enumerate(made):
@@ -404,39 +478,62 @@ def _cleaned(text: str) -> str:
 
 
 def _packed(graph: Graph) -> list[bytes]:
-    return [graph.features.astype("<u2").tobytes(), graph.labels.astype("u1").tobytes(), *(e.astype("<u4").tobytes() for e in graph.edges)]
+    chain, *skip = graph.edges
+    return [graph.features.astype("<u2").tobytes(), graph.told.astype("<u4").tobytes(), np.stack(graph.pairs).astype("<u4").tobytes(), graph.rows.astype("<u4").tobytes(), chain[:, 1].astype("<u4").tobytes(), *(e.astype("<u4").tobytes() for e in skip)]
+
 
+def _unpacked(features: pa.Buffer, told: pa.Buffer, pairs: pa.Buffer, rows: pa.Buffer | None = None, *edges: pa.Buffer) -> Graph:
+    """A graph, without nodes and edges if only the first columns are given."""
 
-def _unpacked(features: bytes, labels: bytes, *edges: bytes) -> Graph:
-    told = np.frombuffer(labels, "u1").astype(np.int64)
-    return Graph(np.frombuffer(features, "<u2").reshape(len(told), -1).astype(np.int64), told, [np.frombuffer(e, "<u4").reshape(-1, 2).astype(np.int64) for e in edges])
+    def numbers(x: pa.Buffer, kind: str, *shape: int) -> np.ndarray:
+        return np.frombuffer(x, kind).astype(np.int64).reshape(shape)
 
+    counts = numbers(told, "<u4", -1, LABELS)
+    chain, skip = [numbers(e, "<u4", -1) for e in edges[:1]], [numbers(e, "<u4", -1, 2) for e in edges[1:]]
+    nodes = np.empty(0, np.int64) if rows is None else numbers(rows, "<u4", -1)
+    return Graph(numbers(features, "<u2", len(counts), -1), counts, nodes, [*(np.stack((x - 1, x), axis=1) for x in chain), *skip], [*numbers(pairs, "<u4", -1, LABELS, LABELS)])
 
-def _summed(table: DataFrame, f: Callable[[Graph], list[np.ndarray]]) -> list[np.ndarray]:
-    """The arrays that `f` makes of the graphs of a table, added up where they stand.
 
-    Sums are of whole numbers, so that they do not depend on the order of the tasks.
+def _summed(table: DataFrame, f: Callable[[Graph], list[np.ndarray]], whole: bool) -> list[np.ndarray]:
+    """The arrays that `f` makes of the graphs of a table, added up where they stand; whole: whether `f` needs nodes and edges.
+
+    Sums are of whole numbers, so that they do not depend on the order of the tasks. They travel in blocks of `BLOCK`
+    numbers; a block without any is left out.
     """
     spark = table.sparkSession
-    shapes = [x.shape for x in f(Graph(np.zeros((2, 1), np.int64), np.zeros(2, np.int64), [np.array([[0, 1]])] * 3))]
+    one = graph_of(np.zeros((1, 1), np.int64), np.zeros(2, np.int64), np.zeros(2, np.int64), [np.array([[0, 1]])] * 3)
+    shapes = [x.shape for x in f(one)]
+    sizes = [int(np.prod(x)) for x in shapes]
     sent = spark.sparkContext.broadcast(pickled(f))
+    columns = GRAPH + WHOLE * whole
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, total = pickle.loads(sent.value), None
         for batch in batches:
             for k in range(batch.num_rows):
-                flat = np.concatenate([np.rint(x.ravel() * SCALE).astype(np.int64) for x in made(_unpacked(*(batch.column(c)[k].as_py() for c in range(5))))])
-                total = flat if total is None else total + flat
+                flat = np.concatenate([x.ravel() for x in made(_unpacked(*(batch.column(c)[k].as_buffer() for c in range(len(columns)))))])
+                flat *= SCALE
+                whole_numbers = np.rint(flat, out=flat).astype(np.int64)
+                total = whole_numbers if total is None else np.add(total, whole_numbers, out=total)
         if total is not None:
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([int64(at), int64(total[at])], names=["at", "n"])
+            parts = [(k, x.tobytes()) for k, x in enumerate(np.split(total, range(BLOCK, len(total), BLOCK))) if x.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["block", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(x.as_buffer(), np.int64)
+                total[k] = total[k] + part if k in total else part.copy()
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "sums"])
 
-    rows = table.mapInArrow(work, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    rows = table.select(*columns).mapInArrow(work, "block long, sums binary").repartition("block").mapInArrow(add, "block long, sums binary").toArrow()
     sent.destroy()
-    total = np.zeros(sum(int(np.prod(x)) for x in shapes))
-    total[rows.column("at").to_numpy()] = rows.column("n").to_numpy() / SCALE
-    cuts = np.cumsum([int(np.prod(x)) for x in shapes])[:-1]
-    return [x.reshape(shape) for x, shape in zip(np.split(total, cuts), shapes)]
+    total = np.zeros(sum(sizes))
+    for k, x in zip(rows.column("block").to_pylist(), rows.column("sums")):
+        part = np.frombuffer(x.as_buffer(), np.int64)
+        total[k * BLOCK : k * BLOCK + len(part)] = part / SCALE
+    return [x.reshape(shape) for x, shape in zip(np.split(total, np.cumsum(sizes)[:-1]), shapes)]
 
 
 def _model(docs: DataFrame, id_col: str, text_col: str) -> Model:
@@ -458,15 +555,15 @@ def _model(docs: DataFrame, id_col: str, text_col: str) -> Model:
             found = beside_given(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), lexicon(lex.value))
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), *(pa.array([c[k] for c in found.values()], pa.int64()) for k in range(2))], names=["type", "near", "n"])
 
-    runs = materialize(texts.select("text").mapInArrow(runs_of, "run string, n long").groupBy("run").agg(F.sum("n").alias("n")), "field-runs")
-    beside = runs.mapInArrow(counts_of, "type string, near long, n long").groupBy("type").agg(F.sum("near").alias("near"), F.sum("n").alias("n"))
+    runs = materialize(texts.select("text").mapInArrow(keeping(runs_of), "run string, n long").groupBy("run").agg(F.sum("n").alias("n")), "field-runs")
+    beside = runs.mapInArrow(keeping(counts_of), "type string, near long, n long").groupBy("type").agg(F.sum("near").alias("near"), F.sum("n").alias("n"))
     share = spark.sparkContext.broadcast({r["type"]: r["near"] / r["n"] for r in beside.where(F.col("near") / F.col("n") >= FAMILY_SHARE).collect()})
 
     def families_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(families_in(batch.column(0).to_pylist(), lexicon(lex.value), share.value), pa.string())], names=["type"])
 
-    family = spark.sparkContext.broadcast(dict.fromkeys((r["type"] for r in runs.select("run").mapInArrow(families_of, "type string").distinct().collect()), 1.0))
+    family = spark.sparkContext.broadcast(dict.fromkeys((r["type"] for r in runs.select("run").mapInArrow(keeping(families_of), "type string").distinct().collect()), 1.0))
     drop_materialized(runs)
 
     def graphs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,10 +572,10 @@ def _model(docs: DataFrame, id_col: str, text_col: str) -> Model:
             for lo in range(0, len(every), BATCH):
                 made = [_packed(g) for g in graphs(every[lo : lo + BATCH], low[lo : lo + BATCH], lexicon(lex.value), share.value, family.value)]
                 if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*made)], names=GRAPH)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*made)], names=GRAPH + WHOLE)
 
-    table = materialize(texts.mapInArrow(graphs_of, ", ".join(f"{c} binary" for c in GRAPH)), "field-graphs")
-    model = train(lambda f: _summed(table, f))
+    table = materialize(texts.mapInArrow(keeping(graphs_of), ", ".join(f"{c} binary" for c in GRAPH + WHOLE)), "field-graphs")
+    model = train(lambda f, whole: _summed(table, f, whole))
     drop_materialized(table)
     model.given = lex.value
     return model
@@ -499,7 +596,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 take = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([column(batch, "id").take(take), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["id", "kind", "found"])
 
-    return plain_docs.mapInArrow(work, f"id {plain_docs.schema['id'].dataType.simpleString()}, kind string, found string")
+    return plain_docs.mapInArrow(keeping(work), f"id {plain_docs.schema['id'].dataType.simpleString()}, kind string, found string")
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "redacted", model: Model | None = None) -> DataFrame:
@@ -514,7 +611,9 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ou
         texts = [t if isinstance(t, str) else "" for t in text]
         out = []
         for lo in range(0, len(texts), 1000):
-            for t, spans in zip(texts[lo : lo + 1000], find_all(texts[lo : lo + 1000], sent.value)):
+            with caches_kept():
+                every = find_all(texts[lo : lo + 1000], sent.value)
+            for t, spans in zip(texts[lo : lo + 1000], every):
                 parts, at = [], 0
                 for a, b, kind in spans:
                     parts += [t[at:a], f"[{kind.upper()}]"]
