@@ -50,3 +50,13 @@ def test_kmeans_of_large_topics(run, monkeypatch, divided):  # noqa: F811
         by.setdefault(r["topic_group"], {})[r["topic_row_idx"]] = r["label"]
     assert len(got) == len(vecs) and {t: len(set(x.values())) for t, x in by.items()} == {"a": 3, "b": 3, "small": 9}
     assert all(len({by["a"][i] for i in range(30 * c, 30 * c + 30)}) == 1 for c in range(3))
+
+
+def test_mini_batches_of_large_topics(spark, monkeypatch):
+    """They too are fitted in tasks, and every row has its nearest centre's label."""
+    monkeypatch.setattr(text_model, "LARGE_TOPIC", 60)
+    monkeypatch.setattr(text_model, "kmeans", no_library)
+    vecs = [(t, i, v) for t, i, v in blobs() if t == "a" and i < 90]
+    df, k = spark.createDataFrame(vecs, "g string, id long, vec array<double>"), spark.createDataFrame([("a", 3)], "grp string, k long")
+    got = {r["id"]: r["label"] for r in text_model.kmeans_by_topic(df, "g", "id", "vec", k, batches=True).collect()}
+    assert len(got) == 90 and [len({got[i] for i in range(30 * c, 30 * c + 30)}) for c in range(3)] == [1, 1, 1] and len(set(got.values())) == 3
