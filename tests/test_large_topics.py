@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from test_whole_job import SWEEP, blobs, run, tables_of  # noqa: F401
 
-from newsgrain.operators import text_model
+from newsgrain.operators import text_model, vectors
 
 
 def plain_lloyd(x, k, seed, max_iter):
@@ -60,3 +60,14 @@ def test_mini_batches_of_large_topics(spark, monkeypatch):
     df, k = spark.createDataFrame(vecs, "g string, id long, vec array<double>"), spark.createDataFrame([("a", 3)], "grp string, k long")
     got = {r["id"]: r["label"] for r in text_model.kmeans_by_topic(df, "g", "id", "vec", k, batches=True).collect()}
     assert len(got) == 90 and [len({got[i] for i in range(30 * c, 30 * c + 30)}) for c in range(3)] == [1, 1, 1] and len(set(got.values())) == 3
+
+
+@pytest.mark.parametrize("pairs", [500_000_000, 2_000])
+def test_all_nearest_without_pairs_of_blocks(spark, monkeypatch, pairs):
+    """The rows of the search of single rows, ties too, in one task a group and in several."""
+    monkeypatch.setattr(vectors, "PAIRS_A_CELL", pairs)
+    rows = [(t, i, [round(z, 1) for z in v]) for t, i, v in blobs()] + [("one", 1, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "g string, id long, vec array<double>")
+    key = lambda x: sorted((r["grp"], r["id"], r["neighbour"], r["rank"], r["score"]) for r in x.collect())
+    for k in (1, 10):
+        assert key(vectors.all_nearest(df, "id", "vec", "g", k)) == key(vectors.exact_knn(df, df, "id", "vec", "g", k))
