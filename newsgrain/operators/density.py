@@ -3,10 +3,12 @@
 Published algorithm (Campello, Moulavi, Sander 2013): core distances, mutual reachability, minimum spanning tree,
 hierarchy condensed by a least cluster size, clusters chosen by stability (`eom`) or as leaves (`leaf`). A topic is one
 group of vectors; its tree is built in Prim's order with memory linear in the rows, so one task holds one topic's
-vectors. A topic beyond `MAX_ROWS` is divided into blocks: core distances are merged from pairs of blocks, and the
-spanning tree is that of the union of the trees of all pairs of blocks, which holds every edge of the whole tree. The
-result is the same: distances are rounded, and equal ones are ordered by id. Only the edges of the tree and the
-hierarchy of one topic, both linear in its rows, then stand in one task.
+vectors. In a topic beyond `MAX_ROWS` every row first gets its core distances and some near rows, in tasks of some rows
+each. A spanning tree of those near rows tells, for every row, the largest edge on the way to one root; an edge longer
+than that on both its ends is on a circle of shorter ones and not of the least tree. The others, which are few, are
+found by a second pass over all pairs, and the least tree is that of these. The result is the same: distances are
+rounded, and equal ones are ordered by id. Only the near rows, the edges and the hierarchy of one topic, all linear in
+its rows, stand in one task.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import row_numbers
+from .vectors import nearest_rows, side_by_side
 
-MAX_ROWS = 50_000
+MAX_ROWS = 8_000
+#: Near rows that the first tree of a large topic is made of, at least; rows its parts are joined through.
+NEAR, JOINS = 12, 4_096
 BLOCK = 512
 #: Distances are rounded, so that they are the same in whichever block they are computed.
 DECIMALS = 6
@@ -195,51 +199,158 @@ def _matrix(vecs) -> np.ndarray:  # noqa: ANN001
     return np.stack(vecs.to_numpy()).astype(np.float64)
 
 
-def _divided(rows: DataFrame, sizes: dict[str, int], least: int, samples: int, method: str, epsilon: float) -> DataFrame:
-    """density_clusters of groups of more than MAX_ROWS rows; sizes: their rows."""
+def _first_tree(x: np.ndarray, core: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Edges (i, j, distance) of a spanning tree, nearly the least, from the near rows of each row."""
+    n = len(x)
+    i, j = np.repeat(np.arange(n), near.shape[1]), near.ravel()
+    keep = (j >= 0) & (i != j)
+    i, j = np.minimum(i[keep], j[keep]), np.maximum(i[keep], j[keep])
+    i, j = np.divmod(np.unique(i * n + j), n)
+    edges = forest(np.column_stack([i, j, _reach(x, core, i, j)]))
+    part = _parts(edges, n)
+    names, sizes = np.unique(part, return_counts=True)
+    if len(names) > 1:  # every part is joined to the largest through its row nearest to some of that
+        main = names[sizes.argmax()]
+        own = np.flatnonzero(part == main)
+        own = own[:: max(1, len(own) // JOINS)]
+        rest = np.flatnonzero(part != main)
+        sq = (x * x).sum(axis=1)
+        to, d = np.empty(len(rest), dtype=np.int64), np.empty(len(rest))
+        for a in range(0, len(rest), BLOCK):
+            rows = rest[a : a + BLOCK]
+            far = np.maximum(sq[rows, None] + sq[own] - 2 * x[rows] @ x[own].T, core[own] ** 2)
+            to[a : a + BLOCK] = own[far.argmin(axis=1)]
+        d = _reach(x, core, rest, to)
+        order = np.lexsort((d, part[rest]))
+        _, first = np.unique(part[rest][order], return_index=True)
+        pick = order[first]
+        edges = np.vstack([edges, np.column_stack([np.minimum(rest[pick], to[pick]), np.maximum(rest[pick], to[pick]), d[pick]])])
+    return edges
+
+
+def _reach(x: np.ndarray, core: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Mutual reachability of rows i and j."""
+    sq = np.einsum("ij,ij->i", x, x)
+    d = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.empty(0)])
+    d = np.round(np.sqrt(np.maximum(sq[i] + sq[j] - 2 * d, 0)), DECIMALS)
+    return np.maximum(np.maximum(core[i], core[j]), d)
+
+
+def _parts(edges: np.ndarray, n: int) -> np.ndarray:
+    """The least row of each row's connected part."""
+    i, j = edges[:, 0].astype(np.int64), edges[:, 1].astype(np.int64)
+    part = np.arange(n)
+    while True:
+        low = np.minimum(part[i], part[j])
+        new = part.copy()
+        np.minimum.at(new, part[i], low)
+        np.minimum.at(new, part[j], low)
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == part).all():
+            return part
+        part = new
+
+
+def _to_root(edges: np.ndarray, n: int) -> np.ndarray:
+    """Of a spanning tree: the largest edge on the way from each row to a root, which stands where most edges are short."""
+    short = edges[edges[:, 2] <= np.quantile(edges[:, 2], 0.9)] if len(edges) else edges
+    names, sizes = np.unique(_parts(short, n), return_counts=True)
+    i, j, d = np.concatenate([edges[:, 0], edges[:, 1]]).astype(np.int64), np.concatenate([edges[:, 1], edges[:, 0]]).astype(np.int64), np.concatenate([edges[:, 2], edges[:, 2]])
+    order = np.argsort(i, kind="stable")
+    begin, to, d = np.searchsorted(i[order], np.arange(n + 1)).tolist(), j[order].tolist(), d[order].tolist()
+    largest = [-1.0] * n
+    root = int(names[sizes.argmax()])
+    largest[root] = 0.0
+    todo = [root]
+    while todo:
+        v = todo.pop()
+        for e in range(begin[v], begin[v + 1]):
+            w = to[e]
+            if largest[w] < 0:
+                largest[w] = max(largest[v], d[e])
+                todo.append(w)
+    return np.array(largest)
+
+
+def _divided(rows: DataFrame, configs: dict[str, list[tuple]]) -> DataFrame:
+    """(grp, id, label, strength) of groups of more than MAX_ROWS rows. configs: by group (name, least size, samples, method, epsilon); the names are the groups that come out."""
+    import pyarrow as pa
+
     from ..session import materialize
 
-    spark = rows.sparkSession
-    counts = spark.createDataFrame([(g, n, -(-2 * n // MAX_ROWS)) for g, n in sizes.items()], "grp string, n long, blocks long")
-    numbered = row_numbers(rows.join(F.broadcast(counts), "grp"), "grp", [F.col("id")], "pos")
-    numbered = materialize(numbered.select("grp", "id", "vec", "n", "blocks", "pos", F.floor(F.col("pos") * F.col("blocks") / F.col("n")).alias("block")), "density-rows")
-    parts = max(2, max(-(-2 * n // MAX_ROWS) for n in sizes.values()))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, c = pdf[pdf["asks"]], pdf[pdf["answers"]]
-        d = nearest_distances(_matrix(q["vec"]), _matrix(c["vec"]), min(samples, len(c)))
-        return pd.DataFrame({"grp": q["grp"], "pos": q["pos"], "d": list(d)})
-
-    sent = numbered.withColumn("o", F.explode(every)).withColumn("side", F.explode(F.array(F.lit("q"), F.lit("c"))))
-    own = F.col("side") == "q"
-    sent = sent.select("grp", "pos", "vec", F.when(own, F.col("block")).otherwise(F.col("o")).alias("qb"), F.when(own, F.col("o")).otherwise(F.col("block")).alias("cb"), own.alias("asks"), (~own).alias("answers"))
-    found = sent.repartition(parts * parts, "grp", "qb", "cb").groupBy("grp", "qb", "cb").applyInPandas(near, "grp string, pos long, d array<double>")
-    core = found.groupBy("grp", "pos").agg(F.element_at(F.sort_array(F.flatten(F.collect_list("d"))), samples).alias("core"))
-    cored = materialize(numbered.join(core, ["grp", "pos"]), "density-cores")
-
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        e = spanning_tree(_matrix(pdf["vec"]), pdf["core"].to_numpy())
-        pos = pdf["pos"].to_numpy()
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "bucket": int(pdf["lo"].iloc[0]), "i": pos[e[:, 0].astype(int)], "j": pos[e[:, 1].astype(int)], "d": e[:, 2]})
-
-    pairs = cored.withColumn("o", F.explode(every)).where("o <> block").select("grp", "pos", "vec", "core", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"))
-    edges_of = "grp string, bucket long, i long, j long, d double"
-    trees = pairs.repartition(parts * parts, "grp", "lo", "hi").groupBy("grp", "lo", "hi").applyInPandas(tree, edges_of)
-
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = forest(pdf[["i", "j", "d"]].to_numpy(np.float64))
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "bucket": 0, "i": e[:, 0].astype(np.int64), "j": e[:, 1].astype(np.int64), "d": e[:, 2]})
+    k = max([NEAR, *(c[2] for own in configs.values() for c in own)])
+
+    def near(grp, own, others):  # noqa: ANN001, ANN202
+        found, value = nearest_rows(own, others, k, distance=True)
+        d = np.round(np.sqrt(np.maximum(-value, 0)), DECIMALS)  # missing ones are infinite
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel())) for v in (own["vec"], found, d)]
+        for a in range(0, len(d), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([grp] * len(d[a : a + 10_000]), pa.string()), pa.array(own["id"][a : a + 10_000]), *[x.slice(a, 10_000) for x in lists]], names=["grp", "id", "vec", "near", "d"])
+
+    rows = rows.select(F.col("grp").cast("string").alias("grp"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    found = materialize(side_by_side(rows, near, "grp string, id long, vec array<double>, near array<long>, d array<double>"), "density-near")
+
+    def reach(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x, ids, d = _matrix(pdf["vec"]), pdf["id"].to_numpy(), np.stack(pdf["d"].to_numpy())
+        near = np.stack(pdf["near"].to_numpy()).astype(np.int64)
+        near = np.where(near >= 0, np.minimum(np.searchsorted(ids, near), len(ids) - 1), -1)
+        cores = [d[:, c[2] - 1] for c in configs[pdf["grp"].iloc[0]]]
+        tops = [_to_root(_first_tree(x, core, near), len(x)) for core in cores]
+        return pd.DataFrame({"grp": pdf["grp"], "id": ids, "vec": pdf["vec"], "pos": np.arange(len(ids)), "core": list(np.stack(cores, axis=1)), "top": list(np.stack(tops, axis=1))})
+
+    bounds = materialize(found.groupBy("grp").applyInPandas(reach, "grp string, id long, vec array<double>, pos long, core array<double>, top array<double>"), "density-bounds")
+
+    def edges(grp, own, others):  # noqa: ANN001, ANN202
+        names = [c[0] for c in configs[grp]]
+        x, most = own["vec"], own["top"].max(axis=1)
+        sq = np.einsum("ij,ij->i", x, x)
+        x32 = x.astype(np.float32)
+        kept = {name: [] for name in names}
+        for other in others:
+            y, most_y = other["vec"], other["top"].max(axis=1)
+            ysq = np.einsum("ij,ij->i", y, y)
+            y32, half = y.astype(np.float32), (ysq / 2).astype(np.float32)
+            margin = 1e-5 * max(float(sq.max()), float(ysq.max()), 1e-30)
+            floor = ((sq - (most + 2e-6) ** 2) / 2 - margin).astype(np.float32)
+            buffer, mask = np.empty((256, len(y)), np.float32), np.empty((256, len(y)), bool)
+            hits = []
+            for a in range(0, len(x), 256):
+                m = min(256, len(x) - a)
+                s = np.matmul(x32[a : a + m], y32.T, out=buffer[:m])
+                s -= half
+                hit = np.flatnonzero(np.greater_equal(s, floor[a : a + m, None], out=mask[:m]))
+                r, c = a + hit // len(y), hit % len(y)
+                first = (most[r] > most_y[c]) | ((most[r] == most_y[c]) & (own["pos"][r] < other["pos"][c]))  # of its two ends one tells of an edge
+                hits.append((r[first], c[first]))
+            r, c = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+            dots = np.concatenate([np.einsum("ij,ij->i", x[r[a : a + 65536]], y[c[a : a + 65536]]) for a in range(0, len(r), 65536)] or [np.empty(0)])
+            d = np.round(np.sqrt(np.maximum(sq[r] + ysq[c] - 2 * dots, 0)), DECIMALS)
+            p, q = own["pos"][r], other["pos"][c]
+            for at, name in enumerate(names):
+                m = np.maximum(np.maximum(own["core"][r, at], other["core"][c, at]), d)
+                keep = (m <= np.maximum(own["top"][r, at], other["top"][c, at])) & (p != q)
+                kept[name].append(np.column_stack([np.minimum(p, q)[keep], np.maximum(p, q)[keep], m[keep]]))
+                if sum(map(len, kept[name])) > 4 * len(x) + 1_000_000:
+                    kept[name] = [forest(np.concatenate(kept[name]))]
+        for name in names:
+            e = forest(np.concatenate(kept[name])) if kept[name] else np.empty((0, 3))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(e), pa.string()), pa.array([grp] * len(e), pa.string()), pa.array(e[:, 0].astype(np.int64)), pa.array(e[:, 1].astype(np.int64)), pa.array(e[:, 2])], names=["name", "grp", "i", "j", "d"])
+
+    passed = bounds.select("grp", "id", "vec", "pos", "core", "top")
+    trees = side_by_side(passed, edges, "name string, grp string, i long, j long, d double")
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         e = forest(pdf[["i", "j", "d"]].to_numpy(np.float64))
+        grp, name = pdf["grp"].iloc[0], pdf["name"].iloc[0]
+        _, least, _, method, epsilon = next(c for c in configs[grp] if c[0] == name)
         labels, strength = condensed_labels(e, len(e) + 1, least, method, epsilon)
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "pos": np.arange(len(labels)), "label": labels, "strength": strength})
+        return pd.DataFrame({"name": name, "grp": grp, "pos": np.arange(len(labels)), "label": labels, "strength": strength})
 
-    thinned = trees.groupBy("grp", "bucket").applyInPandas(thin, edges_of)
-    labelled = thinned.groupBy("grp").applyInPandas(label, "grp string, pos long, label long, strength double")
-    return cored.select("grp", "pos", "id").join(labelled, ["grp", "pos"]).select("grp", "id", "label", "strength")
+    labelled = trees.groupBy("name", "grp").applyInPandas(label, "name string, grp string, pos long, label long, strength double")
+    return bounds.select("grp", "pos", "id").join(labelled, ["grp", "pos"]).select(F.col("name").alias("grp"), "id", "label", "strength")
 
 
 def density_clusters(df: DataFrame, group_col: str, id_col: str, vec_col: str, min_cluster_size: int = 8, min_samples: int = 3, method: str = "eom", epsilon: float = 0.0) -> DataFrame:
@@ -256,7 +367,7 @@ def density_clusters(df: DataFrame, group_col: str, id_col: str, vec_col: str, m
 
     whole = rows.where(~F.col("grp").isin(list(large))) if large else rows
     out = whole.groupBy("grp").applyInPandas(fit, "grp string, id long, label long, strength double")
-    return out.unionByName(_divided(rows.where(F.col("grp").isin(list(large))), large, min_cluster_size, min_samples, method, epsilon)) if large else out
+    return out.unionByName(_divided(rows.where(F.col("grp").isin(list(large))), {g: [(g, min_cluster_size, min_samples, method, epsilon)] for g in large})) if large else out
 
 
 #: Configurations (least cluster size, samples, selection, epsilon) tried for every topic, and those of some topics in their stead.

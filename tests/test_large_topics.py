@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from test_whole_job import SWEEP, blobs, run, tables_of  # noqa: F401
 
-from newsgrain.operators import text_model, vectors
+from newsgrain.operators import density, text_model, vectors
 
 
 def plain_lloyd(x, k, seed, max_iter):
@@ -71,3 +71,27 @@ def test_all_nearest_without_pairs_of_blocks(spark, monkeypatch, pairs):
     key = lambda x: sorted((r["grp"], r["id"], r["neighbour"], r["rank"], r["score"]) for r in x.collect())
     for k in (1, 10):
         assert key(vectors.all_nearest(df, "id", "vec", "g", k)) == key(vectors.exact_knn(df, df, "id", "vec", "g", k))
+
+
+def spread_points(n=400):
+    """Dense and thin places, far ones, and repeated rows: the near rows of this do not hang together."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, s, size=(n // 4, 5)) for c, s in ((0, 1), (9, 0.2), (-40, 0.1), (3, 4))])
+    x[10:30] = x[10]
+    return [("t", i * 3, v.tolist()) for i, v in enumerate(x)]
+
+
+def no_pairs(*_):
+    raise AssertionError("a tree of every pair of blocks, row by row")
+
+
+@pytest.mark.parametrize("pairs", [500_000_000, 30_000])
+@pytest.mark.parametrize("config", [(8, 3, "eom", 0.0), (12, 6, "leaf", 0.5)])
+def test_density_of_a_large_topic_by_two_passes(spark, monkeypatch, pairs, config):
+    monkeypatch.setattr(vectors, "PAIRS_A_CELL", pairs)
+    df = spark.createDataFrame(spread_points(), "g string, id long, vec array<double>")
+    key = lambda: sorted((r["id"], r["label"], round(r["strength"], 9)) for r in density.density_clusters(df, "g", "id", "vec", *config).collect())
+    whole = key()
+    monkeypatch.setattr(density, "MAX_ROWS", 100)
+    monkeypatch.setattr(density, "spanning_tree", no_pairs)
+    assert key() == whole and len({x[1] for x in whole}) > 2
