@@ -403,9 +403,12 @@ def sweep(df: DataFrame, group_col: str, id_col: str, vec_col: str) -> DataFrame
     configs = [(t, k, *c) for t in names for k, c in enumerate(TOPIC_CONFIGS.get(t, DEFAULT_CONFIGS))]
     table = spark.createDataFrame(configs, "topic string, number int, min_cluster_size int, min_samples int, cluster_selection_method string, cluster_selection_epsilon double")
     rows = df.where(F.col(vec_col).isNotNull()).select(F.col(group_col).alias("topic"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    large = {r["topic"] for r in rows.groupBy("topic").count().where(F.col("count") > MAX_ROWS).collect()}
     parts = []
-    for c in sorted({c[2:] for c in configs}):  # a bounded number of configurations
-        own = [(t, k) for t, k, *rest in configs if tuple(rest) == c]
+    if large:  # one pass serves all configurations
+        parts.append(_divided(rows.where(F.col("topic").isin(list(large))).withColumnRenamed("topic", "grp"), {t: [(f"{t}\u0001{k}", *c) for u, k, *c in configs if u == t] for t in large}))
+    for c in sorted({c[2:] for c in configs if c[0] not in large}):  # a bounded number of configurations
+        own = [(t, k) for t, k, *rest in configs if tuple(rest) == c and t not in large]
         of = spark.createDataFrame([(t, f"{t}\u0001{k}") for t, k in own], "topic string, grp string")
         parts.append(density_clusters(rows.join(F.broadcast(of), "topic"), "grp", "id", "vec", *c))  # at most one row a topic
     found = parts[0] if parts else None
@@ -423,7 +426,7 @@ def sweep(df: DataFrame, group_col: str, id_col: str, vec_col: str) -> DataFrame
     sil = vectors.silhouette_cosine(real, "grp", "id", "label", "vec").groupBy("grp").agg(F.avg("silhouette").alias("silhouette"))
     db = vectors.davies_bouldin(real, "grp", "label", "vec")
     ch = vectors.dispersion(real, "grp", "label", "vec").select("grp", "calinski_harabasz")
-    edges = vectors.exact_knn(rows, rows, "id", "vec", "topic").select(F.col("grp").alias("topic"), "id", "neighbour")
+    edges = vectors.all_nearest(rows, "id", "vec", "topic").select(F.col("grp").alias("topic"), "id", "neighbour")
     keyed = spark.createDataFrame([(t, f"{t}\u0001{k}") for t, k, *_ in configs], "topic string, grp string")
     edges = materialize(edges, "sweep-edges").join(F.broadcast(keyed), "topic")  # four rows a topic
     cohesion = vectors.graph_cohesion(edges, found, ["grp"]).withColumnsRenamed({"cohesion": "graph_cohesion", "cohesion_real": "graph_cohesion_real"})

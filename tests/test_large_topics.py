@@ -95,3 +95,16 @@ def test_density_of_a_large_topic_by_two_passes(spark, monkeypatch, pairs, confi
     monkeypatch.setattr(density, "MAX_ROWS", 100)
     monkeypatch.setattr(density, "spanning_tree", no_pairs)
     assert key() == whole and len({x[1] for x in whole}) > 2
+
+
+def test_density_sweep_of_large_topics(spark, monkeypatch):
+    """All configurations of a large topic from the same two passes, with the rows of the small path."""
+    df = spark.createDataFrame([x for x in blobs() if x[0] == "a"], "g string, id long, vec array<double>")
+    found = lambda: sorted(density.sweep(df, "g", "id", "vec").collect(), key=lambda r: r["min_cluster_size"])
+    whole = found()
+    monkeypatch.setattr(density, "MAX_ROWS", 80)
+    monkeypatch.setattr(density, "density_clusters", no_pairs)
+    got = found()
+    assert len(got) == len(whole) == 4
+    for one, other in zip(got, whole):
+        assert all(a == b or isinstance(a, float) and abs(a - b) <= 1e-9 * abs(b) for a, b in zip(one, other)), [x for x in zip(one, other) if x[0] != x[1]]  # sums are in another order
